@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
 from .language_id import language_id
 from .line_dedup import dedup_lines
+from .lm_scoring import lm_scores
 from .packing import best_fit_packing
 from .pii import digest, personal_data
 from .simhash import simhash_components
@@ -24,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(_documents(spark, sf_dir)))
 
@@ -82,6 +87,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_personal_data": op3_personal_data,
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
