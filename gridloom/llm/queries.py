@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
 from .language_id import language_id
+from .licenses import licence_scan
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .packing import best_fit_packing
 from .pii import digest, personal_data
+from .secrets import labelled_findings, secret_scan
 from .simhash import simhash_components
 
 
@@ -41,6 +43,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_documents(spark, sf_dir)).drop("ids")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_documents(spark, sf_dir), labelled_findings(spark))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -49,6 +55,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return licence_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(_documents(spark, sf_dir))
 
@@ -91,8 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_licence_scan": op9_licence_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_exact_dedup": OP10_SQL}
