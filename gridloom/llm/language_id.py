@@ -184,6 +184,21 @@ def _score(model):
     return run
 
 
+def fit_trees(source: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sample_per_lang: int = 3000) -> FrozenTrees:
+    """Trees of a bounded sample of the labelled rows outside the held-out fold."""
+    labelled = source.select(source[id_col].cast("long").alias("doc_id"), source[text_col].cast("string").alias("text"), source[lang_col].cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~_held(folds, held_fold))
+    sizes = labelled.groupBy("lang").count()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sampled = labelled.join(F.broadcast(sizes), "lang").filter(place * F.col("count") < sample_per_lang).select("lang", "text")  # a row per language
+    grams = sampled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = list(grams.toPandas().itertuples(index=False, name=None))  # languages x seen contexts of three symbols
+    return frozen_trees(counts) if counts else FrozenTrees([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.int32))
+
+
+def _held(folds: int, held_fold: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
+
+
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sample_per_lang: int = 3000, train: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, nats_per_byte.
 
@@ -193,16 +208,28 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null texts, texts without a letter, and all texts where nothing could be learned give ``und``
     and score 0; ties go to the first language by name. Repeated rows are scored alike.
     """
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
-    source = docs if train is None else train
-    labelled = source.select(source[id_col].cast("long").alias("doc_id"), source[text_col].cast("string").alias("text"), source[lang_col].cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~fold)
-    sizes = labelled.groupBy("lang").count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sampled = labelled.join(F.broadcast(sizes), "lang").filter(place * F.col("count") < sample_per_lang).select("lang", "text")
-    grams = sampled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = grams.toPandas()  # languages x seen contexts of three symbols, from the bounded sample
-    counts = list(table.itertuples(index=False, name=None))
-    model = frozen_trees(counts) if counts else FrozenTrees([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.int32))
+    model = fit_trees(docs if train is None else train, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, held_fold=held_fold, sample_per_lang=sample_per_lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.select("doc_id", "text", fold.alias("held_out")).mapInArrow(_score(shared), _SCORED)
+    return rows.select("doc_id", "text", _held(folds, held_fold).alias("held_out")).mapInArrow(_score(shared), _SCORED)
+
+
+def keep_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_nats_per_byte: float = 3.2, **options) -> DataFrame:
+    """The rows of docs, all columns kept, whose language is known: not ``und``, and coded by the
+    best language in at most ``max_nats_per_byte`` (prose takes 1 to 2.5, random bytes 4 to 5.5).
+    A null lang takes the predicted value. Without labelled rows nothing is known, and all go."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_trees(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options))
+    score, inner = _score(shared), docs.schema
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            ids = pa.array([0] * len(text), pa.int64())
+            (out,) = score([pa.RecordBatch.from_arrays([ids, text, pa.nulls(len(text), pa.bool_())], names=["doc_id", "text", "held_out"])])
+            pred, per_byte = out.column(2).to_pylist(), out.column(4).to_pylist()
+            keep = [p != UNKNOWN and x is not None and x <= max_nats_per_byte for p, x in zip(pred, per_byte, strict=True)]
+            at = batch.schema.get_field_index(lang_col)
+            lang = pa.array([x if x is not None else p for x, p in zip(batch.column(at).to_pylist(), pred, strict=True)], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), lang).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, inner)
