@@ -184,9 +184,9 @@ WORDS, RING, TABLES, SAMPLED = 4, 16, 64, 14
 
 
 def wide_fingerprint(text: str, shingle: int) -> bytes:
-    """WORDS * 64 bits: the words' hashes are those of the shingles, mixed once more for each."""
+    """WORDS * 64 bits of the distinct shingles: their hashes, mixed once more for each word."""
     words = ascii_words(text)
-    grams = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))] if words else []
+    grams = list({b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}) if words else []
     total = np.zeros(WORDS * 64, np.int64)
     for lo in range(0, len(grams), 1 << 14):
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams[lo : lo + (1 << 14)]), np.uint64)
