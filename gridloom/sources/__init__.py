@@ -1,0 +1,5 @@
+"""Cubes and features from files, and cubes to files."""
+
+from .files import from_csv, from_parquet, from_wide, geojson, to_array_rows, to_parquet
+
+__all__ = ["from_csv", "from_parquet", "from_wide", "geojson", "to_array_rows", "to_parquet"]

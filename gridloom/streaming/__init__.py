@@ -1,0 +1,5 @@
+"""Resampling of unbounded input."""
+
+from .windows import resample_stream
+
+__all__ = ["resample_stream"]
