@@ -1,0 +1,303 @@
+"""Language ID, scoring, personal data, secrets, licences, decontamination, packing, pipeline."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gridloom.llm import decontaminate, language_id, licenses, lm_scoring, packing, pii, secrets
+from gridloom.llm.queries import ORACLE_SQL, QUERIES
+
+from .util import SCHEMA, documents, prose, table
+
+
+def held(i, folds, fold):
+    return i is not None and zlib.crc32(str(i).encode()) % folds == fold
+
+
+# Language ID
+def test_language_id(spark):
+    rng = random.Random(1)
+    texts = [prose(rng, 40, "aa" if k % 2 else "bb") for k in range(60)]
+    lang = {k: "aa" if k % 2 else "bb" for k in range(60)}
+    texts += [None, "", "123 !?", prose(rng, 3000, "aa")]
+    got = {r.doc_id: r for r in language_id.language_id(documents(spark, texts, lang=lang)).collect()}
+    assert all(got[k].lang_pred == lang[k] and 0.9 < got[k].score <= 1 for k in range(60))
+    assert [got[k].lang_pred for k in (60, 61, 62, 63)] == ["und", "und", "und", "aa"]
+    assert all(got[k].held_out == held(k, 4, 2) for k in got)
+    assert language_id.language_id(documents(spark, [])).collect() == []
+    assert {r.lang_pred for r in language_id.language_id(documents(spark, ["some text"])).collect()} == {"und"}
+
+
+def test_ppm_is_a_distribution():
+    counts = [("x", g, n) for g, n in Counter(np.random.default_rng(0).integers(0, language_id.SYMBOLS**4, 300).tolist()).items()]
+    model = language_id.frozen_trees(counts)
+    total = np.exp(-model.cost[0].astype(float)).reshape(-1, language_id.SYMBOLS).sum(1)
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_ppm_code_length_by_hand():
+    """One seen gram: the escape from an unseen symbol leads through all orders."""
+    s = language_id.SYMBOLS
+    model = language_id.frozen_trees([("x", (((3 * s) + 4) * s + 5) * s + 6, 2)])
+    row = np.exp(-model.cost[0].astype(float)).reshape(-1, s)[0]
+    assert row[6] == pytest.approx(2 / 3, rel=1e-5) and row[7] == pytest.approx(1 / 3 * 1 / (s - 1), rel=1e-4)
+
+
+def test_keep_languages(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, 60, "aa" if k % 2 else "bb") for k in range(20)] + [None, "12", "Qx7#~Jz9@Kw3%Vb6^Yf1&" * 20]
+    lang = {k: "aa" if k % 2 else "bb" for k in range(0, 18)}
+    docs = documents(spark, texts, lang=lang)
+    kept = {r.doc_id: r.lang for r in language_id.keep_languages(docs, max_nats_per_byte=3.0).collect()}
+    assert set(range(20)) <= set(kept) and 20 not in kept and 21 not in kept and kept[19] == "aa"
+
+
+# Scoring
+def test_lm_base_score_and_fit(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(1, 80), "aa" if k % 3 else "bb") for k in range(80)] + [None, "", "A b c\x0bD", "zq " * 3000]
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(documents(spark, texts).repartition(3), block_docs=9).collect()}
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for t in texts]
+    c = Counter(w for i, t in enumerate(tokens) for w in t if not held(i, 7, 2))
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(texts)
+    for i, t in enumerate(tokens):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i, 7, 2), len(t), sum(w in c for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+    out = [r for i, r in got.items() if r.held_out and i < 80]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert all(r.score < 0 and r.bits_per_byte > 0 for r in got.values())
+    assert lm_scoring.lm_scores(documents(spark, [])).collect() == []
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all words of two letters or fewer and all longer ones' beginnings."""
+    tree = lm_scoring.huffman(np.arange(256))
+    model = lm_scoring.Mixer(tree, np.zeros(lm_scoring.SLOTS, np.float32), np.zeros(lm_scoring.SLOTS, np.float32), lm_scoring.initial_weights(), 0, 0)
+    words = [bytes([b]) for b in range(256) if b != 32]
+    slots, bits, place, starts = lm_scoring.word_bits(words, np.zeros(len(words), np.int64), tree)
+    total = 0.0
+    for k, w in enumerate(words):
+        length = int(tree.start[w[0] + 1] - tree.start[w[0]])
+        logit, gate = lm_scoring.inputs(slots[:, starts[k] : starts[k] + length], place[starts[k] : starts[k] + length], model.seen, model.ones)
+        mixed = (logit * model.weights[gate].T).sum(0)
+        y = bits[starts[k] : starts[k] + length]
+        total += float(np.prod(1 / (1 + np.exp(np.where(y, -mixed, mixed)))))
+    end = int(tree.start[33] - tree.start[32])
+    assert total + 0.5**end == pytest.approx(1, abs=1e-6)
+
+
+# Personal data
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_pii(t):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            double = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".") if x.isdigit()), "card": 12 <= len(d) <= 19 and sum(x - 9 * (x > 9) for x in double) % 10 == 0, "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+def test_base_findings():
+    rng = random.Random(1)
+    for _ in range(30_000):
+        alphabet = rng.choice(["a1.@-", "0123456789 -", "+1()  -.2", "@a.b@.c-", "1.22.333.", ["a@b.c", "@", "x.y", "4111 1111 1111 1111", "+1 (555) 123-4567", "10.0.0.1", " ", "é"]])
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        assert pii.detect(t) == brute_pii(t), t
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("mail john dot doe (at) example dot com now", "email", "john dot doe (at) example dot com"),
+    ("write j＠mail.com, please", "email", "j＠mail.com"),
+    ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+    ("john[at]mail[.]example[.]org", "email", "john[at]mail[.]example[.]org"),
+    ("call plus four four two zero seven nine four six zero nine five eight!", "phone", "plus four four two zero seven nine four six zero nine five eight"),
+    ("host 10 dot 0 dot 0 dot 1 is up", "ip", "10 dot 0 dot 0 dot 1"),
+    ("card four one one one one one one one one one one one one one one one.", "card", "four one one one one one one one one one one one one one one one"),
+])
+def test_disguises(text, kind, value):
+    base, every = pii.findings(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, value)]
+    assert pii.masked(text, every) == text.replace(value, f"<{kind}>")
+
+
+def test_clean_prose_has_no_findings():
+    for text in ("the dot at end of a dot line at home", "one two three four five", "a@b", "1.2.3", "", "x" * 100_000, "1" * 100_000, "@" * 1000):
+        assert pii.findings(text) == ([], [])
+
+
+def test_personal_data(spark):
+    text = "é a@b.cd and 10.0.0.1 or +44 20 7946 0958; x (at) y (dot) zz"
+    df = pii.digest(pii.personal_data(table(spark, [(1, text), (2, None), (3, "")])))
+    got = {r.doc_id: r for r in df.collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (2, 1, 0, 1)
+    assert got[1].spans.startswith("email:2:8,ip:13:21,phone:25:") and got[1].spans.split(",")[-1] == f"email:{text.index('x (at)')}:{len(text)}"
+    assert got[2].spans == "" == got[3].spans and got[2].base_sha256 == got[3].base_sha256
+    assert pii.personal_data(table(spark, [])).collect() == []
+
+
+# Secrets
+def test_secret_candidates_and_forest(spark):
+    token = "551a60fa07e990c2fd1b7f8e7fdc0a2b3c4d5e6f"
+    texts = [f'é some words token = "{token}" and {token}', "the number 4845168114407329 and 4845168114407329 stand here", None, "", "short1 words only", "a" * 50 + "1" + "b" * 50_000, f"commit {token}"]
+    got = secrets.secret_scan(documents(spark, texts), secrets.labelled_findings(spark)).collect()
+    for i, t in enumerate(texts):
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.CANDIDATE, t or "")]
+        assert sorted((r.start, r.end, r.value) for r in got if r.doc_id == i) == want
+    flagged = {(r.doc_id, r.start) for r in got if r.is_secret}
+    assert (0, texts[0].index(token)) in flagged and not {x for x in flagged if x[0] in (1, 6)}
+    assert secrets.secret_scan(documents(spark, []), secrets.labelled_findings(spark)).collect() == []
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    rows = secrets.labelled_findings(spark, 6000).withColumn("fold", F.abs(F.hash("value")) % 3)
+    model = secrets.fit_forest(rows.filter("fold <> 0"))
+    test = secrets._assembled(secrets.with_features(rows.filter("fold = 0")))
+    right = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+# Licences
+def brute_cosine(text, template):
+    rows, unseen = licenses.template_weights()
+    idf = {w: x for _, w, _, x in rows}
+    a, b = (Counter(re.findall(licenses.WORD, t.lower())) for t in (text, template))
+    va, vb = ({w: n * idf.get(w, unseen) for w, n in c.items()} for c in (a, b))
+    return sum(x * vb.get(w, 0) for w, x in va.items()) / math.sqrt(sum(x * x for x in va.values()) * sum(x * x for x in vb.values()))
+
+
+def test_licences(spark):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."),
+        (2, "a/b/code.py", "nothing here"),
+        (3, "a/b/c/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
+        (4, "a/b/c/d/e.py", None),
+        (5, "a/x.py", "Words first. This work is licensed under the GNU General Public License, version 3.\nmore"),
+        (6, "other/y.py", "we ask for a driving licence at the door of the old town hall every day"),
+        (7, None, ""),
+        (8, "a/z.py", "It is licensed under CC BY-NC 4.0."),
+    ]
+    got = {r.doc_id: r for r in licenses.licence_scan(table(spark, rows, "doc_id long, path string, text string")).collect()}
+    assert {i: (r.licence, r.origin) for i, r in got.items()} == {1: ("MIT", "file"), 2: ("MIT", "directory"), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "directory"), 5: ("GPL-3.0", "header"), 6: (None, None), 7: (None, None), 8: ("CC-BY-NC-4.0", "header")}
+    assert got[8].score == pytest.approx(max(brute_cosine(rows[7][2], t) for n, t in licenses.TEMPLATES if n == "CC-BY-NC-4.0"), abs=1e-6)
+    assert licenses.licence_scan(table(spark, [], "doc_id long, path string, text string")).collect() == []
+
+
+# Decontamination
+def test_contaminated(spark):
+    rng = random.Random(7)
+    items = [(k, prose(rng, n)) for k, n in enumerate((3, 5, 9, 14, 30, 60, 66, 120, 200))] + [(90, None), (91, ""), (92, "...")]
+    docs = [(k, prose(rng, 400)) for k in range(30)]
+    for k, (item, text) in enumerate(items[1:9]):
+        words = text.split()
+        if len(words) > 40:
+            words[len(words) // 3] = "other"
+        docs.append((100 + k, f"{prose(rng, 700)} {' '.join(words).upper()}, {prose(rng, 300)}"))
+    docs += [(200, items[0][1]), (201, None), (202, ""), (203, items[4][1][: len(items[4][1]) // 2])]
+    got = sorted((r.doc_id, r.item_id, r.shared, r.item_shingles) for r in decontaminate.contaminated(table(spark, docs), table(spark, items, "item_id long, text string")).collect())
+
+    def grams(t):
+        return set(decontaminate.shingles(decontaminate.bare_words(t or ""), 5))
+
+    want = sorted((d, i, len(grams(t) & grams(x)), len(grams(x))) for d, t in docs for i, x in items if grams(x) and len(grams(t) & grams(x)) >= 0.8 * len(grams(x)))
+    assert got == want and {100 + k for k in range(8)} <= {d for d, *_ in got}
+    blocks = decontaminate.contaminated(table(spark, docs), table(spark, items, "item_id long, text string"), block_items=4)
+    assert sorted((r.doc_id, r.item_id, r.shared, r.item_shingles) for r in blocks.collect()) == want
+    left = decontaminate.decontaminate(table(spark, docs), table(spark, items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, *_ in want}
+    assert decontaminate.contaminated(table(spark, []), table(spark, [], "item_id long, text string")).collect() == []
+
+
+# Packing
+@pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (5000, [(0, 904), (904, 2048), (2952, 2048)])])
+def test_cut(n, want):
+    assert packing.cut(n, 2048) == want
+
+
+def test_bounds_never_exceed_a_packing():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        lengths = rng.integers(1, 100, rng.integers(1, 60))
+        bin_of, offset, left = packing.best_fit(lengths, 100)
+        used = np.bincount(bin_of, lengths)
+        assert (used <= 100).all() and (left == 100 - used).all() and packing.lower_bound(lengths, 100) <= len(left)
+    assert packing.lower_bound(np.array([51] * 7), 100) == 7 and packing.lower_bound(np.array([34] * 6), 100) == 3
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice((0, 3, 40, 400, 3000))) for _ in range(60)] + [None, "", "é  \n\n ñ\t<|endoftext|>", "a" * 9000]
+    got = packing.best_fit_packing(documents(spark, texts), capacity=512, partition_items=16, with_ids=True).collect()
+    rows = {(r.doc_id, r.piece): r for r in got}
+    assert len(rows) == len(got)
+    for i, t in enumerate(texts):
+        ids = own.encode(t or "", add_special_tokens=False).ids + [0]
+        mine = [rows[i, k] for k in range(sum(d == i for d, _ in rows))]
+        assert [x for r in mine for x in r.ids] == ids and [r.start for r in mine] == list(np.cumsum([0, *[r.length for r in mine[:-1]]]))
+        assert all(r.length == 512 for r in mine[1:]) and all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in mine)
+    places: dict = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own_places in places.values():
+        at = 0
+        for offset, length in sorted(own_places):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(places) <= packing.lower_bound(np.array([r.length for r in got]), 512) + 2
+    assert packing.best_fit_packing(documents(spark, [])).collect() == []
+
+
+# Pipeline and registration
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(9)
+    item = prose(rng, 40)
+    texts = ["\n".join(prose(rng, 30, "aa" if k % 2 else "bb") for _ in range(4)) for k in range(40)]
+    texts += [texts[0], texts[1] + "\n" + prose(rng, 30), f"{prose(rng, 200)} {item} {prose(rng, 50)}", None, "12345"]
+    near = prose(rng, 300).split()
+    texts += [" ".join(near), " ".join([*near[:150], "odd", *near[151:]])]
+    lang = {k: "aa" if k % 2 else "bb" for k in range(40)}
+    documents(spark, texts, lang=lang).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, [(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert kept["language_id"] == set(range(47)) - {43, 44}
+    assert kept["line_dedup"] == kept["language_id"] - {40}
+    assert kept["simhash_near_dedup"] == kept["line_dedup"] - {46}
+    assert kept["decontamination"] == kept["simhash_near_dedup"] - {42}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == kept["decontamination"]
+
+
+def test_registration():
+    numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}
+    assert numbers == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
