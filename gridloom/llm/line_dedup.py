@@ -25,6 +25,8 @@ from .common import written
 
 #: Ids of lines to fetch are broadcast up to this many (8 bytes each), joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Bound of the lines whose verdicts are broadcast.
+HOT_LINES = 10_000
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -108,7 +110,7 @@ def near_lines(lines: DataFrame, *, edits: int, min_chars: int) -> tuple[DataFra
     the ids of those that are within ``edits`` edits of another that comes earlier."""
     length = F.length("line")
     long_lines = lines.filter(length >= min_chars).select(F.xxhash64("line").alias("id"), F.struct("doc_id", "row", "at").alias("place"), "line", length.alias("n"))
-    firsts = long_lines.groupBy("id").agg(F.min("place").alias("first"))
+    firsts = long_lines.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     keyed = long_lines.select("id", segment_keys(F.col("line"), F.col("n"), edits).alias("keys")).groupBy("id").agg(F.first("keys").alias("keys"))
     rows = keyed.select("id", F.explode("keys").alias("k")).select("id", "k.key", "k.index")
     bucket = Window.partitionBy("key")
@@ -147,10 +149,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("row"))
     lines = _lines(work)
     firsts, near = near_lines(lines, edits=edits, min_chars=min_chars)
-    verdicts = firsts.join(near.withColumn("near", F.lit(True)), "id", "left")
+    verdicts = written(firsts.join(near.withColumn("near", F.lit(True)), "id", "left"), "line-verdicts")
     each = lines.filter(F.length("line") >= min_chars).select("row", "at", F.xxhash64("line").alias("id"), F.struct("doc_id", "row", "at").alias("place"))
-    again = F.coalesce(F.col("near"), F.lit(False)) | (F.col("place") != F.col("first"))
-    judged = each.join(verdicts, "id").select("row", "at", again.alias("drop"))
+    judged = _judged(each, verdicts)
     dropped = judged.filter("drop").select("row", "at").distinct().groupBy("row").agg(F.collect_list("at").alias("__line_gone"))
     flags = dropped.select(F.col("row").alias("__line_row"), "__line_gone")
     tagged = docs.withColumn("__line_row", F.xxhash64(docs[id_col], docs[text_col])).join(flags, "__line_row", "left")
@@ -161,6 +162,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return tagged.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("__line_gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def _judged(each: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(row, at, drop) of all occurrences. Lines that make up more than one in HOT_LINES of all
+    occurrences, of which there are fewer than HOT_LINES, are broadcast; the others meet by a
+    shuffle on the line, in which the occurrences of hot ones are spread by row."""
+    total = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(100, total // HOT_LINES)
+    hot = verdicts.filter(F.col("n") > limit).select(F.col("id").alias("hot_id"), F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))
+    cold = verdicts.filter(F.col("n") <= limit).select(F.col("id").alias("key"), "first", "near")
+    found = each.join(F.broadcast(hot), F.col("id") == F.col("hot_id"), "left")
+    keyed = found.withColumn("key", F.when(F.col("hot_id").isNull(), F.col("id")).otherwise(F.xxhash64("row", "at", "id")))
+    first, near = F.coalesce("hot_first", "first"), F.coalesce("hot_near", F.when(F.col("hot_id").isNull(), F.col("near")), F.lit(False))
+    return keyed.join(cold, "key", "left").select("row", "at", (near | (F.col("place") != first)).alias("drop"))
+
+
 def _marks(gone: Column, size: Column) -> Column:
     """Array of ``size`` booleans, true at the places in ``gone``: sorted places and gaps between
     them, so its cost follows the number of lines."""
