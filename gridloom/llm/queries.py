@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
 from .language_id import language_id
-from .licenses import licence_scan
+from .licenses import MENTION, TEMPLATES, WORD, licence_scan, template_weights
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .packing import best_fit_packing
@@ -90,6 +90,25 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shi
 FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
 """
 
+def _op9_sql() -> str:
+    """Sentences that mention a licence against the templates; no path of a document is a licence file's."""
+    rows, unseen = template_weights()
+    weights = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE, {i!r}::DOUBLE)" for k, w, x, i in rows)
+    names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(TEMPLATES))
+    parts = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))"
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {weights}) AS t(template, word, weight, idf)), names AS (SELECT * FROM (VALUES {names}) AS n(template, licence)),
+s AS (SELECT doc_id, unnest({parts}) AS s, generate_subscripts({parts}, 1) AS k FROM documents),
+w AS (SELECT doc_id, k, word, count(*) AS n FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(s), '{WORD}')) AS word FROM s WHERE regexp_matches(s, '{MENTION}')) GROUP BY ALL),
+norms AS (SELECT doc_id, k, sqrt(sum((n * coalesce(idf, {unseen!r})) ^ 2)) AS norm FROM w LEFT JOIN (SELECT DISTINCT word, idf FROM t) USING (word) GROUP BY ALL),
+dots AS (SELECT doc_id, k, template, sum(n * idf * weight) AS dot FROM w JOIN t USING (word) GROUP BY ALL),
+best AS (SELECT doc_id, template, dot / norm AS score FROM dots JOIN norms USING (doc_id, k) WHERE dot / norm >= 0.6),
+top AS (SELECT doc_id, max((score, -template)) AS m FROM best GROUP BY doc_id)
+SELECT documents.doc_id, licence, round(m[1], 6) AS score, CASE WHEN licence IS NOT NULL THEN 'header' END AS origin
+FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN names ON names.template = -m[2]
+"""
+
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
@@ -108,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL}
