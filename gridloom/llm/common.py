@@ -20,12 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, and a lost
     executor costs only its unfinished tasks. Each call has a folder of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

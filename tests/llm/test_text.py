@@ -81,13 +81,13 @@ def test_lm_base_score_and_fit(spark):
 def test_lm_probabilities_sum_to_one():
     """Over all words of two letters or fewer and all longer ones' beginnings."""
     tree = lm_scoring.huffman(np.arange(256))
-    model = lm_scoring.Mixer(tree, np.zeros(lm_scoring.SLOTS, np.float32), np.zeros(lm_scoring.SLOTS, np.float32), lm_scoring.initial_weights(), 0, 0)
+    model = lm_scoring.Mixer(tree, lm_scoring.prepared(np.zeros((lm_scoring.SLOTS, 2), np.float32)), lm_scoring.initial_weights(), 0, 0)
     words = [bytes([b]) for b in range(256) if b != 32]
     slots, bits, place, starts = lm_scoring.word_bits(words, np.zeros(len(words), np.int64), tree)
     total = 0.0
     for k, w in enumerate(words):
         length = int(tree.start[w[0] + 1] - tree.start[w[0]])
-        logit, gate = lm_scoring.inputs(slots[:, starts[k] : starts[k] + length], place[starts[k] : starts[k] + length], model.seen, model.ones)
+        logit, gate = lm_scoring.inputs(slots[:, starts[k] : starts[k] + length], place[starts[k] : starts[k] + length], model.table)
         mixed = (logit * model.weights[gate].T).sum(0)
         y = bits[starts[k] : starts[k] + length]
         total += float(np.prod(1 / (1 + np.exp(np.where(y, -mixed, mixed)))))
