@@ -291,8 +291,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     For similarities around 0.8 a 64-bit fingerprint is too coarse; this takes WORDS * 64 bits and
     links those at most ``bits`` apart (48 of 256: a Jaccard similarity of about 0.8 and more).
-    Candidates share one of TABLES keys of SAMPLED bits: a pair at the limit is missed with a
-    chance of 4 %, one of similarity 0.85 of 0.01 %; they pass pigeonring chains and the full
+    Candidates share one of TABLES keys of SAMPLED bits, which a pair at the limit fails to with a
+    chance of 3 %; they pass pigeonring chains and the full
     Hamming check. Wordless texts share a fingerprint. Null ids are left alone; empty table: no rows.
     """
 
