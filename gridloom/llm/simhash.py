@@ -15,6 +15,8 @@ fingerprint are one node throughout.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -178,18 +180,25 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints for similarities well below 1: words of 64 bits, segments of the ring, tables of
-#: sampled bits to look candidates up by, and bits a table.
-WORDS, RING, TABLES, SAMPLED = 4, 16, 64, 14
+#: Wide fingerprints for similarities well below 1: words of 64 bits and segments of the ring. Sets of
+#: fewer than SMALL shingles have too coarse a fingerprint and are proposed without it.
+WORDS, RING, SMALL = 4, 16, 16
+#: One document in SAMPLE is searched for frequent shingles, of which at most FREQUENT are taken.
+SAMPLE, FREQUENT = 64, 1 << 16
 
 
-def wide_fingerprint(text: str, shingle: int) -> bytes:
-    """WORDS * 64 bits of the distinct shingles: their hashes, mixed once more for each word."""
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words than a shingle are one, no words none."""
     words = ascii_words(text)
-    grams = list({b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}) if words else []
+    grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """WORDS * 64 bits of a set of shingles: their hashes, mixed once more for each word."""
     total = np.zeros(WORDS * 64, np.int64)
-    for lo in range(0, len(grams), 1 << 14):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, grams[lo : lo + (1 << 14)]), np.uint64)
+    for lo in range(0, len(hashes), 1 << 14):
+        h = hashes[lo : lo + (1 << 14)]
         mixed = np.empty((len(h), WORDS), np.uint64)
         for k in range(WORDS):
             x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
@@ -197,41 +206,81 @@ def wide_fingerprint(text: str, shingle: int) -> bytes:
             x *= np.uint64(0xBF58476D1CE4E5B9)
             mixed[:, k] = x ^ (x >> np.uint64(32))
         total += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(grams)).tobytes()
+    return np.packbits(2 * total > len(hashes)).tobytes()
+
 
+def _lists(parts: list) -> pa.Array:
+    """Arrays of hashes as an Arrow column of lists."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
 
-def _sampled_keys(batches):
-    """(key, node, fp) rows: each fingerprint's value in every table of sampled bits."""
-    rng = np.random.default_rng(SEED)
-    chosen = [rng.choice(WORDS * 64, SAMPLED, replace=False) for _ in range(TABLES)]
-    power = 1 << np.arange(SAMPLED)
-    for batch in batches:
-        fps = batch.column(1).to_pylist()
-        bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, WORDS * 8), axis=1)
-        for t, places in enumerate(chosen):
-            key = bits[:, places] @ power + (t << SAMPLED)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), batch.column(0), batch.column(1)], names=["key", "node", "fp"])
 
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, hashes) of (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, shingle) for t in batch.column(1).to_pylist()])], names=["doc_id", "hashes"])
 
-def _forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between a and b."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return texts.mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that several sampled documents hold. They only come last in the
+    order that prefixes are taken by: which they are changes the work, not the result."""
+    sample = shingle_sets(texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle)
+    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 3")
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def _marks(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """(doc_id, same, n, fp, prefix): a digest of the set of shingles, its size, its fingerprint and
+    the first of its hashes. Two sets as similar as asked share at least ceil(similarity * n) of n
+    shingles, so the first n - that + 1 in one order for all sets have one in common."""
+    frequent = _frequent(texts, shingle)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            prefixes = []
+            for s in sets:
+                late = np.isin(s, frequent)
+                prefixes.append(np.concatenate([s[~late], s[late]])[: len(s) + int(-similarity * len(s) // 1) + 1 if len(s) else 0])
+            same, fps = (pa.array([f(s) for s in sets], pa.binary()) for f in (lambda s: xxhash.xxh3_128_digest(s.tobytes()), wide_fingerprint))
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array(list(map(len, sets)), pa.int32()), fps, _lists(prefixes)], names=["doc_id", "same", "n", "fp", "prefix"])
+
+    return texts.mapInArrow(run, "doc_id long, same binary, n int, fp binary, prefix array<long>")
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links between a and b, made of the nearest of them (Boruvka)."""
+    order = np.argsort(far, kind="stable")
+    nodes, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
+    label, left, kept = np.arange(len(nodes)), np.arange(len(a)), []
     while True:
-        least = label.copy()
-        np.minimum.at(least, x, label[y])
-        np.minimum.at(least, y, label[x])
-        least = least[least]
-        if (least == label).all():
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
             break
-        label = least
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x[left]], left)
+        np.minimum.at(best, label[y[left]], left)
+        chosen = np.unique(best[best < len(a)])
+        kept.append(chosen)
+        while ((u := label[x[chosen]]) != (v := label[y[chosen]])).any():
+            least = np.arange(len(nodes))
+            np.minimum.at(least, u, v)
+            np.minimum.at(least, v, u)
+            while (least[least] != least).any():
+                least = least[least]
+            label = least[label]
+    own = order[np.concatenate([np.zeros(0, np.int64), *kept])]
+    return a[own], b[own], far[own]
 
 
 def _near(diff: np.ndarray, bits: int) -> np.ndarray:
-    """Rows of WORDS differing words: pigeonring chains from some segment, then all bits."""
+    """Rows of WORDS differing words: pigeonring chains from some segment, then all bits. Differing
+    bits, or -1 where they are more than ``bits``."""
     parts = np.bitwise_count(diff.view(np.uint16).reshape(len(diff), RING))
     twice = np.concatenate([parts, parts[:, : RING - 1]], 1).astype(np.int16)
     viable = np.ones((len(diff), RING), bool)
@@ -239,17 +288,21 @@ def _near(diff: np.ndarray, bits: int) -> np.ndarray:
     for k in range(4):
         total += twice[:, k : k + RING]
         viable &= total <= (k + 1) * bits // RING
-    out = viable.any(1)
-    out[out] = parts[out].sum(1) <= bits
+    out = np.full(len(diff), -1, np.int16)
+    rows = np.flatnonzero(viable.any(1))
+    full = parts[rows].sum(1, dtype=np.int16)
+    out[rows[full <= bits]] = full[full <= bits]
     return out
 
 
-def _wide_links(bits: int, most: int = 1 << 20):
-    """Rows sorted by (key, pair): a spanning forest of the links of rows that share both."""
+def _proposed(bits: int, similarity: Fraction, spanning: bool, most: int = 1 << 20):
+    """Rows (key, pair, node, part, n, fp) sorted by (key, pair): pairs of nodes that share both, of
+    different parts, like size and near fingerprints. Spanning: only a forest of the nearest."""
+    p, q = similarity.numerator, similarity.denominator
 
-    def links(key, pair, node, fp):
+    def links(key, pair, node, part, n, fp):
         run = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-        at, off, a, b, held = np.arange(len(key)), 1, [], [], 0
+        at, off, found, held = np.arange(len(key)), 1, [], 0
         while True:
             at = at[at + off < len(key)]
             at = at[run[at] == run[at + off]]
@@ -257,21 +310,35 @@ def _wide_links(bits: int, most: int = 1 << 20):
                 break
             for lo in range(0, len(at), 1 << 18):
                 i = at[lo : lo + (1 << 18)]
-                i = i[_near(fp[i] ^ fp[i + off], bits)]
-                a.append(node[i])
-                b.append(node[i + off])
+                j = i + off
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                i = i[(node[i] != node[j]) & (part[i] != part[j]) & (q * small >= p * large)]
+                diff = fp[i] ^ fp[i + off]
+                far = _near(diff, bits)
+                coarse = (far < 0) & (np.minimum(n[i], n[i + off]) < SMALL)
+                far[coarse] = np.bitwise_count(diff[coarse]).sum(1, dtype=np.int16)
+                i, far = i[far >= 0], far[far >= 0]
+                found.append((np.maximum(node[i], node[i + off]), np.minimum(node[i], node[i + off]), far))
                 held += len(i)
             if held > most:
-                x, y = _forest_of(np.concatenate(a), np.concatenate(b))
-                a, b, held = [x], [y], len(x)
+                now = tuple(map(np.concatenate, zip(*found, strict=True)))
+                if spanning:
+                    found = [_spanning(*now)]
+                    held = len(found[0][0])
+                else:
+                    yield now
+                    found, held = [], 0
             off += 1
-        return _forest_of(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+        if found:
+            now = tuple(map(np.concatenate, zip(*found, strict=True)))
+            yield _spanning(*now) if spanning else now
 
     def run(batches):
         rest = None
         for batch in _with_end(batches):
             if batch is not None:
-                now = [batch.column(k).to_numpy() for k in range(3)] + [np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)]
+                now = [batch.column(k).to_numpy() for k in range(5)] + [np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, WORDS)]
+                now[4] = now[4].astype(np.int64)
                 now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
                 cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
                 end = int(cuts[-1]) if len(cuts) else 0
@@ -280,34 +347,51 @@ def _wide_links(bits: int, most: int = 1 << 20):
             else:
                 now = rest
             if now is not None and len(now[0]) > 1:
-                a, b = links(*now)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                for a, b, _ in links(*now):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 48, block: int = 4096) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar as asked, counted exactly."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(shingle_sets(texts.join(ids, "doc_id", "left_semi"), shingle).distinct(), "near-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("own")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("other")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("own", "other")).alias("i"), (F.size("own") + F.size("other")).alias("n"))
+    return counted.filter((F.col("i") * similarity.denominator) >= (F.col("n") - F.col("i")) * similarity.numerator).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 80, block: int = 4096) -> DataFrame:
     """(doc_id, component_id) of the documents that are not the least of their group.
 
-    For similarities around 0.8 a 64-bit fingerprint is too coarse; this takes WORDS * 64 bits and
-    links those at most ``bits`` apart (48 of 256: a Jaccard similarity of about 0.8 and more).
-    Candidates share one of TABLES keys of SAMPLED bits, which a pair at the limit fails to with a
-    chance of 3 %; they pass pigeonring chains and the full
-    Hamming check. Wordless texts share a fingerprint. Null ids are left alone; empty table: no rows.
+    Documents are linked whose sets of word shingles have a Jaccard similarity of at least
+    ``similarity``. Candidates share a shingle among the first of their sets, which no such pair
+    fails to, and have fingerprints of WORDS * 64 bits at most ``bits`` apart (at 0.8 they differ in
+    39 bits, give or take 6); each link is settled by counting shingles. A first round settles a
+    spanning forest of the nearest candidates, so that groups of copies take links in proportion
+    to their size; a second one settles every candidate whose ends are not in one group by then.
+    Wordless texts are alike. Rows of one id are linked like one document. Null ids are left
+    alone; empty table: no rows.
     """
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
-
-    fps = written(id_and_text(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(run, "doc_id long, fp binary"), "wide-simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    keyed = nodes.select("node", "fp").mapInArrow(_sampled_keys, "key int, node long, fp binary")
-    n = shuffle_partitions(docs.sparkSession)
-    dealt = _dealt(keyed, "node", block).repartition(n, "key", "pair").sortWithinPartitions("key", "pair")
-    parts = components(dealt.mapInArrow(_wide_links(bits), "a long, b long").distinct())
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").filter("doc_id <> component_id").select("doc_id", "component_id")
+    ratio = Fraction(str(similarity))
+    texts = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
+    marks = written(_marks(texts, shingle, ratio), "near-marks")
+    nodes = marks.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    dealt = _dealt(nodes.select("node", F.explode("prefix").alias("key")), "node", block)
+    shared = written(dealt.join(nodes.select("node", "n", "fp"), "node").select("key", "pair", "node", F.col("node").alias("part"), "n", "fp"), "near-shared")
+    count = shuffle_partitions(docs.sparkSession)
+
+    def proposed(rows: DataFrame, spanning: bool) -> DataFrame:
+        dealt = rows.repartition(count, "key", "pair").sortWithinPartitions("key", "pair")
+        return written(dealt.mapInArrow(_proposed(bits, ratio, spanning), "a long, b long").distinct(), "near-proposed")
+
+    first = written(_similar(proposed(shared, True), texts, shingle, ratio), "near-links")
+    parts = components(first)
+    again = shared.drop("part").join(parts, "node", "left").select("key", "pair", "node", F.coalesce("component", "node").alias("part"), "n", "fp")
+    parts = components(first.unionByName(_similar(proposed(again, False), texts, shingle, ratio)))
+    least = nodes.select("same", "node").join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return marks.select("doc_id", "same").join(least, "same").filter("doc_id <> component_id").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

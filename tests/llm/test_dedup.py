@@ -161,3 +161,48 @@ def test_near_duplicates(spark):
         assert {i: c for i, c in gone.items() if i < 80} == {40 + k: k % 10 for k in range(40)} and gone[81] == 80
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == 41
+
+
+def test_near_duplicates_follow_the_similarity(spark):
+    """Pairs at 0.7, 0.75, 0.8 and 0.85, some of one size and some within each other: none below 0.8 goes, none above stays."""
+    rng = random.Random(11)
+    texts, want = [], set()
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
+
+    def grams(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    for size in (20, 40, 150, 600):
+        for share in (70, 75, 80, 85):
+            for k in range(12):
+                same = size * share // 100
+                common, left = words(same + 4), size - same
+                one, other = (0, left) if k % 2 else (left // 2, left - left // 2)
+                pair = [[*common, *words(one)], [*words(other), *common]]
+                a, b = map(grams, pair)
+                assert len(a & b) == same and len(a | b) == size
+                if 5 * same >= 4 * size:
+                    want.add(len(texts) + 1)
+                texts += [" ".join(w) for w in pair]
+    assert len(want) == 4 * 2 * 12
+    assert {r.doc_id for r in simhash.near_duplicates(documents(spark, texts)).collect()} == want
+
+
+def test_near_duplicates_beyond_the_first_forest(spark):
+    """Links that the forest of the nearest fingerprints leaves out are found all the same: components equal all pairs' of exact similarity."""
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(k % 9):
+            w[rng.randrange(len(w))] = f"odd{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(60) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = components(60, links)
+    for block in (4096, 8):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, texts), block=block).collect()}
+        assert got == {i: c for i, c in enumerate(want) if i != c} and 5 < len(got) < 59
