@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in the sequences."""
-    return best_fit_packing(docs).drop("ids")
+    return best_fit_packing(docs, added=True).drop("ids")
 
 
 STAGES = [

@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 CAPACITY = 2048
+#: The added tokens of the vocabulary's JSON form, which the ranks file doesn't hold.
+ADDED = {"<|endoftext|>": 50256}
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, ids array<int>"
 _ARROW = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "row": pa.int64(), "ids": pa.list_(pa.int32())}
 
 
-def load_tokenizer(vocabulary: str | None = None):
+def load_tokenizer(vocabulary: str | None = None, added: bool = False):
     """Function from a text to its ids as a uint32 array. vocabulary: path of the ranks of the
-    50k byte-level BPE; by default the installed public file. The ranks file holds the same
-    vocabulary, and gives the same ids, as its JSON form, which is slower by a factor of three."""
+    50k byte-level BPE; by default the installed public file. With added the ids are those that
+    tokenizers gives with the JSON form, which is slower by a factor of three: an added token that
+    stands in a text is one id. Without, it is text like any other (encode_special_tokens there)."""
     import base64
 
     import public_tokenizers
@@ -37,8 +40,8 @@ def load_tokenizer(vocabulary: str | None = None):
 
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+    coder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
+    return lambda text: coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -47,14 +50,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, added: bool = False, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, row (a number of the input
     row), ids (null unless asked for). A null or empty text is one piece of the end id alone."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, row = load_tokenizer(vocabulary), TaskContext.get().partitionId() << 40
+        encode, row = load_tokenizer(vocabulary, added), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _ARROW}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -156,15 +159,15 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, partition_items: int = 5
     return out
 
 
-def best_fit_packing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, partition_items: int = 50_000, with_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, added: bool = False, partition_items: int = 50_000, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset,
-    certified. ids are the piece's tokens, null unless ``with_ids``.
+    certified. ids are the piece's tokens, null unless ``with_ids``; ``added`` is load_tokenizer's.
 
     Every token of every document is in exactly one piece; a sequence's pieces lie without gaps
     from 0. Null and empty texts are their end token. Repeated rows are packed as often as they
     occur, null ids included; equal lengths may go to either place. Empty table: no rows.
     """
-    cut_up = written(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, vocabulary=vocabulary, with_ids=with_ids), "pieces")
+    cut_up = written(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, vocabulary=vocabulary, added=added, with_ids=with_ids), "pieces")
     whole = cut_up.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = cut_up.filter(F.col("length") < capacity)
     placed = rest.join(pack(rest, capacity=capacity, partition_items=partition_items), ["row", "piece"])

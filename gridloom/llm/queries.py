@@ -40,7 +40,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(_documents(spark, sf_dir)).drop("ids")
+    return best_fit_packing(_documents(spark, sf_dir), added=True).drop("ids")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

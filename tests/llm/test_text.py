@@ -272,6 +272,26 @@ def test_packing_round_trip(spark):
     assert packing.best_fit_packing(documents(spark, [])).collect() == []
 
 
+def test_packing_queries_take_added_tokens(spark, tmp_path):
+    """The registered query's and the pipeline's ids are those of the JSON tokenizer as it is."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: k for k, t in own.get_added_tokens_decoder().items()} == packing.ADDED
+    end = "<|endoftext|>"
+    texts = [f"hello {end} there", f"wo{end}rd", end * 3, f"a  \n\n {end}\t {end}  b", f"é{end}{end} 12{end}'s", end[:-1], f"<|{end}|>", "plain text", None]
+    encode = packing.load_tokenizer(added=True)
+    assert encode(texts[0]).tolist() == [31373, 220, 50256, 612]
+    ids = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [encode(t or "").tolist() for t in texts] == ids
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(ids)}
+    for rows in (QUERIES["op5_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packing(spark, documents(spark, texts), str(tmp_path))):
+        assert {(r.doc_id, r.length, r.ids_crc32) for r in rows.collect()} == want
+
+
 # Pipeline and registration
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
