@@ -64,12 +64,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(_documents(spark, sf_dir))
 
 
-#: All pairs of long distinct lines of like length; a third of one without an edit lies in the other. DuckDB counts edits in bytes, so each accented
-#: letter of the tables is first made one control character.
-OP1_SQL = """
+#: All pairs of distinct lines of 16 characters or more and like length; a third of one without an edit lies in the other. DuckDB counts edits in bytes,
+#: so each accented letter of the tables is first made one control character.
+OP1_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-f AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n, translate(line, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', PLAIN) AS bytes FROM l WHERE length(line) >= 16 GROUP BY line),
-near AS (SELECT DISTINCT x.line FROM f x JOIN f y ON x.n - y.n BETWEEN -2 AND 2 AND y.first < x.first
+f AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n, translate(line, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', PLAIN) AS bytes FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+near AS (SELECT DISTINCT x.line FROM f x JOIN f y ON x.n - y.n BETWEEN -2 AND 2 AND y.first < x.first AND x.n >= 16 AND y.n >= 16
          WHERE CASE WHEN contains(y.line, x.line[1:x.n // 3]) OR contains(y.line, x.line[x.n // 3 + 1:x.n // 3 * 2]) OR contains(y.line, x.line[x.n // 3 * 2 + 1:])
                     THEN levenshtein(x.bytes, y.bytes) <= 2 ELSE false END),
 j AS (SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND ((l.doc_id, l.pos) <> f.first OR near.line IS NOT NULL) AS gone

@@ -44,15 +44,18 @@ def test_grace_levels(spark):
 
 
 def brute_lines(rows, edits, least):
-    every = [(i, k, line) for i, t in sorted(rows) if t is not None for k, line in enumerate(t.split("\n"))]
-    long = [x for x in every if len(x[2]) >= least]
-    gone = {x[:2] for n, x in enumerate(long) if any(abs(len(y[2]) - len(x[2])) <= edits and edit_distance(x[2], y[2]) <= edits for y in long[:n])}
+    every = [(i, k, line) for i, t in sorted(rows) if t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\v\f\r")]
+
+    def near(x, y):
+        return x == y or min(len(x), len(y)) >= least and abs(len(y) - len(x)) <= edits and edit_distance(x, y) <= edits
+
+    gone = {x[:2] for n, x in enumerate(every) if any(near(x[2], y[2]) for y in every[:n])}
     return {i: None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
 def test_line_dedup(spark):
     rng = random.Random(3)
-    pool = [prose(rng, rng.randint(2, 9)) for _ in range(12)] + ["", "kurz", "äöü ßéñ äöü ßéñ äöü"]
+    pool = [prose(rng, rng.randint(2, 9)) for _ in range(12)] + ["", " \t", "kurz", "Of.", "äöü ßéñ äöü ßéñ äöü", "fifteen letters", "sixteen letters!"]
 
     def changed(line):
         for _ in range(rng.randint(0, 4)):
@@ -60,13 +63,40 @@ def test_line_dedup(spark):
             line = rng.choice((line[:k] + "x" + line[k:], line[:k] + line[k + 1 :], line[:k] + "é" + line[k + 1 :]))
         return line
 
-    rows = [(i, "\n".join(changed(rng.choice(pool)) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n")]
-    for edits in (1, 2, 3):
-        got = {r.doc_id: r for r in dedup_lines(table(spark, rows).repartition(3), edits=edits).collect()}
+    rows = [(i, "\n".join(changed(rng.choice(pool)) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n"), (63, "Of.\n \nOf."), (64, "Of.")]
+    for edits, block in ((1, 4096), (2, 3), (3, 4096)):
+        got = {r.doc_id: r for r in dedup_lines(table(spark, rows).repartition(3), edits=edits, block=block).collect()}
         want = brute_lines(rows, edits, 16)
         assert {i: r.text for i, r in got.items()} == want
-        assert got[60].n_lines == 0 and got[61].n_lines == 1 and got[62].n_lines == 3
+        assert got[60].n_lines == 0 and got[61].n_lines == 1 and got[62].n_lines == 3 and got[62].text == "\n\n"
         assert sum(r.n_dropped for r in got.values()) > 30
+    with pytest.raises(ValueError):
+        dedup_lines(table(spark, rows), edits=2, min_chars=2)
+
+
+def test_line_dedup_beyond_the_first_plane(spark):
+    """Characters of two UTF-16 units are one character: four different ones are four edits, two are two."""
+    lines = ["the same long line 😀😀😀😀", "the same long line 🎉🎉🎉🎉", "the same long line 😀😀🎉🎉", "𝒶𝒷𝒸𝒹𝑒𝒻𝑔𝒽𝒾𝒿𝓀𝓁𝓂𝓃𝑜𝓅", "𝒶𝒷𝒸𝒹𝑒𝒻𝑔𝒽𝒾𝒿𝓀𝓁𝓂𝓃𝑜𝓆", "𝒶𝒷𝒸𝒹𝑒𝒻𝑔𝒽𝒾𝒿𝓀𝓁𝓂𝓃𝑜"]
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.text for r in dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows, 2, 16) == {0: lines[0], 1: lines[1], 2: "", 3: lines[3], 4: "", 5: lines[5]}
+
+
+def test_line_dedup_shared_segment(spark):
+    """A segment that hundreds of different lines share is dealt out in blocks."""
+    rows = [(k, f"{'boilerplate of one site that all pages have, page '}{k * 7919:07d}{'x' * (k % 40)}") for k in range(400)]
+    got = {r.doc_id for r in dedup_lines(table(spark, rows), block=50).collect() if r.text}
+    one = {r.doc_id for r in dedup_lines(table(spark, rows), block=4096).collect() if r.text}
+    assert got == one == {i for i, t in brute_near(rows)}
+
+
+def brute_near(rows):
+    """(id, line) of lines of equal shape that no earlier one is within two edits of."""
+    out = []
+    for k, (i, x) in enumerate(rows):
+        if not any(abs(len(x) - len(y)) <= 2 and sum(a != b for a, b in zip(x, y, strict=False)) <= 14 and edit_distance(x[45:], y[45:]) <= 2 for _, y in rows[:k]):
+            out.append((i, x))
+    return out
 
 
 def test_line_dedup_odd_input(spark):
