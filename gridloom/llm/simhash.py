@@ -295,9 +295,9 @@ def _near(diff: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _proposed(bits: int, similarity: Fraction, spanning: bool, most: int = 1 << 20):
-    """Rows (key, pair, node, part, n, fp) sorted by (key, pair): pairs of nodes that share both, of
-    different parts, like size and near fingerprints. Spanning: only a forest of the nearest."""
+def _proposed(bits: int, similarity: Fraction, most: int = 1 << 20):
+    """Rows (key, pair, node, part, n, fp) sorted by (key, pair): of the pairs of nodes that share
+    both, of different parts, like size and near fingerprints, a forest of the nearest."""
     p, q = similarity.numerator, similarity.denominator
 
     def links(key, pair, node, part, n, fp):
@@ -321,17 +321,11 @@ def _proposed(bits: int, similarity: Fraction, spanning: bool, most: int = 1 <<
                 found.append((np.maximum(node[i], node[i + off]), np.minimum(node[i], node[i + off]), far))
                 held += len(i)
             if held > most:
-                now = tuple(map(np.concatenate, zip(*found, strict=True)))
-                if spanning:
-                    found = [_spanning(*now)]
-                    held = len(found[0][0])
-                else:
-                    yield now
-                    found, held = [], 0
+                found = [_spanning(*map(np.concatenate, zip(*found, strict=True)))]
+                held = len(found[0][0])
             off += 1
         if found:
-            now = tuple(map(np.concatenate, zip(*found, strict=True)))
-            yield _spanning(*now) if spanning else now
+            yield _spanning(*map(np.concatenate, zip(*found, strict=True)))
 
     def run(batches):
         rest = None
@@ -362,7 +356,92 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: Fract
     return counted.filter((F.col("i") * similarity.denominator) >= (F.col("n") - F.col("i")) * similarity.numerator).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 80, block: int = 4096) -> DataFrame:
+def _settled(bits: int, similarity: Fraction):
+    """Rows (group, pair, block, node, part, hashes, fp) sorted by (group, pair): links of one piece of work
+    between nodes of different parts, each counted exactly. Pairs that a link has joined by then
+    are left out, so a piece gives a forest and never its pairs."""
+    p, q = similarity.numerator, similarity.denominator
+
+    def links(block, node, part, hashes, fp):
+        n = np.fromiter(map(len, hashes), np.int64, len(hashes))
+        ends = np.cumsum(n)
+        every = np.concatenate(hashes).view(np.uint64) if len(hashes) else np.zeros(0, np.uint64)
+        label = np.unique(part, return_inverse=True)[1]
+        within = len(np.unique(block)) == 1
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, len(node))
+            j = j[(label[j] != label[i]) & (within | (block[j] != block[i])) & (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j]))]
+            if not len(j) or not n[i]:
+                continue
+            j = j[(_near(fp[j] ^ fp[i], bits) >= 0) | (np.minimum(n[i], n[j]) < SMALL)]
+            if not len(j):
+                continue
+            own = every[ends[i] - n[i] : ends[i]]
+            at = np.repeat(ends[j] - n[j] - (np.cumsum(n[j]) - n[j]), n[j]) + np.arange(int(n[j].sum()))
+            other = every[at]
+            found = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+            shared = np.add.reduceat(found.astype(np.int64), np.cumsum(n[j]) - n[j])
+            for k in j[shared * q >= (n[i] + n[j] - shared) * p].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    yield int(max(node[i], node[k])), int(min(node[i], node[k]))
+
+    def run(batches):
+        at, rows = None, []
+
+        def emit():
+            block, node, part = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            fp = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, WORDS)
+            found = list(links(block, node, part, [r[3] for r in rows], fp))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            block, node, part, fp = (batch.column(k).to_pylist() for k in (2, 3, 4, 6))
+            sets = batch.column(5)
+            for k, key in enumerate(keys):
+                if key != at:
+                    if len(rows) > 1:
+                        yield emit()
+                    at, rows = key, []
+                rows.append((block[k], node[k], part[k], sets[k].values.to_numpy(), fp[k]))
+        if len(rows) > 1:
+            yield emit()
+
+    return run
+
+
+def _links_across(cross: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction, bits: int, block: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) between nodes of different parts among those that the proposals ``cross`` bring
+    together. Each group of proposals is dealt out as pairs of blocks of bounded size, to which a
+    node's set goes once: no row is made of a pair."""
+    groups = components(cross).withColumnRenamed("component", "group")
+    members = groups.join(nodes.select("node", "same", "n", "fp"), "node").join(parts, "node", "left").select("group", "node", "same", "n", "fp", F.coalesce("component", "node").alias("part"))
+    members = written(members, "near-members")
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).alias("g"))
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = _marked_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id", "same"])
+    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g"))).join(sets.withColumnRenamed("doc_id", "node"), ["node", "same"])
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    pair = F.least("block", "other") * (1 << 31) + F.greatest("block", "other")
+    rows = dealt.select("group", pair.alias("pair"), "block", "node", "part", "hashes", "fp")
+    count = shuffle_partitions(texts.sparkSession)
+    return rows.repartition(count, "group", "pair").sortWithinPartitions("group", "pair").mapInArrow(_settled(bits, similarity), "a long, b long").distinct()
+
+
+def _marked_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, same, hashes) of (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, _lists(sets)], names=["doc_id", "same", "hashes"])
+
+    return texts.mapInArrow(run, "doc_id long, same binary, hashes array<long>")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 80, block: int = 4096, settle_block: int = 512, settle_shingles: int = 1 << 20) -> DataFrame:
     """(doc_id, component_id) of the documents that are not the least of their group.
 
     Documents are linked whose sets of word shingles have a Jaccard similarity of at least
@@ -370,26 +449,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fails to, and have fingerprints of WORDS * 64 bits at most ``bits`` apart (at 0.8 they differ in
     39 bits, give or take 6); each link is settled by counting shingles. A first round settles a
     spanning forest of the nearest candidates, so that groups of copies take links in proportion
-    to their size; a second one settles every candidate whose ends are not in one group by then.
-    Wordless texts are alike. Rows of one id are linked like one document. Null ids are left
-    alone; empty table: no rows.
+    to their size. A second one brings together what still has candidates in another group and
+    settles them in pieces of two blocks of at most about ``settle_block`` documents and
+    ``settle_shingles`` shingles, without a row for each pair. Wordless texts are alike. Rows of one
+    id are linked like one document, and stay or go together. Null ids are left alone; empty
+    table: no rows.
     """
     ratio = Fraction(str(similarity))
     texts = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
     marks = written(_marks(texts, shingle, ratio), "near-marks")
-    nodes = marks.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = written(marks.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "near-nodes")
     dealt = _dealt(nodes.select("node", F.explode("prefix").alias("key")), "node", block)
     shared = written(dealt.join(nodes.select("node", "n", "fp"), "node").select("key", "pair", "node", F.col("node").alias("part"), "n", "fp"), "near-shared")
     count = shuffle_partitions(docs.sparkSession)
 
-    def proposed(rows: DataFrame, spanning: bool) -> DataFrame:
+    def proposed(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition(count, "key", "pair").sortWithinPartitions("key", "pair")
-        return written(dealt.mapInArrow(_proposed(bits, ratio, spanning), "a long, b long").distinct(), "near-proposed")
+        return written(dealt.mapInArrow(_proposed(bits, ratio), "a long, b long").distinct(), "near-proposed")
 
-    first = written(_similar(proposed(shared, True), texts, shingle, ratio), "near-links")
+    first = written(_similar(proposed(shared), texts, shingle, ratio), "near-links")
     parts = components(first)
     again = shared.drop("part").join(parts, "node", "left").select("key", "pair", "node", F.coalesce("component", "node").alias("part"), "n", "fp")
-    parts = components(first.unionByName(_similar(proposed(again, False), texts, shingle, ratio)))
+    second = _links_across(proposed(again), nodes, parts, texts, shingle, ratio, bits, settle_block, settle_shingles)
+    parts = components(first.unionByName(second))
     least = nodes.select("same", "node").join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return marks.select("doc_id", "same").join(least, "same").filter("doc_id <> component_id").select("doc_id", "component_id")
 
