@@ -50,8 +50,6 @@ class Cube:
     def without(self, *dims: str) -> tuple[str, ...]:
         return tuple(d for d in self.dims if d not in dims)
 
-    def keys(self, *without: str) -> tuple[str, ...]:
-        return self.without(*without)
 
 
 def names(x) -> tuple[str, ...]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -164,14 +165,14 @@ def parse_timedelta(x) -> timedelta:
 
 
 def span_name(span: timedelta) -> str:
-    """A span in its largest unit: 'days' for one of it, else '(1.5 minutes)'; below a second
-    'x milliseconds'."""
+    """A span, also a negative one, in its largest unit: 'days' for one of it, else '(1.5 minutes)';
+    below a second 'x milliseconds'. Six decimals."""
     seconds = span.total_seconds()
     for unit, size in (("days", 86400), ("hours", 3600), ("minutes", 60), ("seconds", 1)):
-        if seconds >= size:
-            n = seconds / size
-            return unit if n == 1 else f"({n:g} {unit})"
-    return f"{seconds * 1000:g} milliseconds"
+        if abs(seconds) >= size:
+            n = round(seconds / size, 6)
+            return unit if math.isclose(n, 1, rel_tol=1e-5, abs_tol=1e-8) else f"({int(n) if n.is_integer() else n} {unit})"
+    return f"{round(seconds * 1000, 6)} milliseconds"
 
 
 _STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "j": "DDD", "f": "SSSSSS", "y": "yy"}

@@ -33,6 +33,11 @@ STRICT = {f"numpy.{n}": n for n in ("mean", "average", "std", "var", "sum", "max
 NAN_SAFE = {f"numpy.nan{n}": n for n in ("mean", "std", "var", "sum", "max", "min", "median", "prod")}
 
 How = str | Callable
+#: Positions along the dimension, by the statistic that gives the label there.
+POSITIONS = {"argmin": "idxmin", "argmax": "idxmax"}
+#: Statistics that keep the dimension.
+CUMULATIVE = ("cumsum", "cumprod")
+WEIGHTED_ONLY = ("sum_of_weights", "sum_of_squares")
 
 
 def _exact(v: Column, q) -> Column:
@@ -40,6 +45,23 @@ def _exact(v: Column, q) -> Column:
     return F.percentile(v.cast("double"), F.array(*[F.lit(float(x)) for x in q]) if isinstance(q, (list, tuple)) else F.lit(float(q)))
 
 
+#: Options that say nothing about a value here: attributes of columns are always kept.
+_IGNORED = ("keep_attrs",)
+_LEVELS = ("q", "p", "quantile", "percentile")
+
+
+def checked_options(name: str | Callable, options: dict) -> tuple[dict, bool]:
+    """The options that a statistic takes, and whether it skips missing cells (``skipna``). Any
+    other is an error, so that a misspelt one doesn't pass in silence; functions get all others."""
+    left = {k: v for k, v in options.items() if k not in _IGNORED}
+    skip = bool(left.pop("skipna", True)) if not callable(name) else True
+    if not callable(name):
+        known = _LEVELS if name in ("quantile", "percentile") else ("ddof",) if name in ("std", "var") else ()
+        if unknown := sorted(set(left) - set(known)):
+            raise TypeError(f"{name!r} takes no option {unknown}")
+    return left, skip
+
+
 def resolve(how: How) -> str | Callable:
     """Canonical name of a statistic, 'numpy.x' for a strict one, or the callable itself."""
     if callable(how):
@@ -48,7 +70,7 @@ def resolve(how: How) -> str | Callable:
         return how
     name = NAN_SAFE.get(how, ALIASES.get(how, how))
     name = ALIASES.get(name, name)
-    if name not in _PLAIN and name not in ("quantile", "percentile", "argmin", "argmax"):
+    if name not in _PLAIN and name not in ("quantile", "percentile", "idxmin", "idxmax", *POSITIONS, *CUMULATIVE, *WEIGHTED_ONLY):
         raise ValueError(f"unknown statistic {how!r}")
     return name
 
@@ -92,24 +114,32 @@ def _callable(how: Callable, options: dict) -> Callable[[Column], Column]:
 
 
 def aggregate(how: How, value: Column, *, order: Column | None = None, skip_missing: bool = True, **options) -> Column:
-    """The aggregate of a value column. order: for first, last, argmin and argmax."""
+    """The aggregate of a value column. order: for first, last, idxmin and idxmax. ddof: for std
+    and var. Missing cells are skipped, unless ``skipna=False`` or the function is a strict one."""
     name = resolve(how)
+    strict = name in STRICT if not callable(name) else False
+    name = resolve(STRICT[name]) if strict else name
+    options, skip = checked_options(name, options)
     if callable(name):
         return _callable(name, options)(value)
-    if name in STRICT:
-        name, skip_missing = resolve(STRICT[name]), False
+    skip_missing = skip_missing and skip and not strict
+    if name in WEIGHTED_ONLY:
+        raise ValueError(f"{how!r} needs weights")
     if name in ("quantile", "percentile"):
         out = _exact(value, quantile_level(name, options))
-    elif name in ("first", "last", "argmin", "argmax"):
+    elif name in ("first", "last", "idxmin", "idxmax"):
         if order is None:
             raise ValueError(f"{how!r} needs an ordered dimension")
         # of equal values the first label counts
         out = {
             "first": lambda: F.min_by(value, F.when(value.isNotNull(), order)),
             "last": lambda: F.max_by(value, F.when(value.isNotNull(), order)),
-            "argmin": lambda: F.min(F.when(value.isNotNull(), F.struct(value.alias("v"), order.alias("o"))))["o"],
-            "argmax": lambda: F.min(F.when(value.isNotNull(), F.struct((-value).alias("v"), order.alias("o"))))["o"],
+            "idxmin": lambda: F.min(F.when(value.isNotNull(), F.struct(value.alias("v"), order.alias("o"))))["o"],
+            "idxmax": lambda: F.min(F.when(value.isNotNull(), F.struct((-value).alias("v"), order.alias("o"))))["o"],
         }[name]()
+    elif options.get("ddof") and name in ("std", "var"):
+        var = F.var_pop(value) * F.try_divide(F.count(value), F.count(value) - options["ddof"])
+        out = F.sqrt(var) if name == "std" else var
     else:
         out = _PLAIN[name](value)
     return out if skip_missing else F.when(F.count(value) == F.count(F.lit(1)), out)
@@ -119,14 +149,21 @@ def weighted(how: How, value: Column, weight: Column, centre: Column | None = No
     """Weighted aggregate over the valid cells. centre: the weighted mean of the same cells, for
     statistics about it without loss of digits; worked out from the sums where it is None."""
     name = resolve(how.__name__ if callable(how) else how.removeprefix("numpy."))
+    options, skip = checked_options(name, options)
+    if not skip:
+        raise TypeError("weighted statistics skip missing cells")
     v = value.cast("double")
     total, product = F.sum(F.when(v.isNotNull(), weight)), F.sum(weight * v)
     if name == "mean":
         return F.try_divide(product, total)
     if name == "sum":
         return F.coalesce(product, F.lit(0.0))
-    if name == "count":
+    if name in ("count", "sum_of_weights"):
         return F.coalesce(total, F.lit(0.0))
+    if name == "sum_of_squares":
+        if centre is not None:
+            return F.coalesce(F.sum(weight * (v - centre) ** 2), F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.coalesce(F.sum(weight * v * v) - F.try_divide(product * product, total), F.lit(0.0)))
     if name in ("std", "var"):
         if centre is not None:
             var = F.try_divide(F.sum(weight * (v - centre) ** 2), total)
@@ -136,7 +173,11 @@ def weighted(how: How, value: Column, weight: Column, centre: Column | None = No
         return F.sqrt(var) if name == "std" else var
     if name in ("quantile", "percentile", "median"):
         level = 0.5 if name == "median" else quantile_level(name, options)
-        return F.pandas_udf(lambda x, w: weighted_quantile(x.to_numpy(float), w.to_numpy(float), level), DoubleType())(v, weight.cast("double"))
+
+        def apply(x: pd.Series, w: pd.Series) -> float:
+            return weighted_quantile(x.to_numpy(float), w.to_numpy(float), level)
+
+        return F.pandas_udf(apply, DoubleType())(v, weight.cast("double"))
     raise ValueError(f"no weighted {how!r}")
 
 
@@ -156,11 +197,30 @@ def latitude_weight(lat: Column) -> Column:
     return F.cos(F.radians(lat))
 
 
-def over_window(how: How, value: Column, window, least: int, **options) -> Column:
-    """A statistic over a frame, missing where it holds fewer than ``least`` valid values."""
+def of_cells(how: Callable, cells: Column, size: int, options: dict) -> Column:
+    """A function of (array, axis=...) of an array of a window's cells, filled up with missing ones at
+    its front to the window's size; worked out in batches of windows."""
+
+    def apply(windows: pd.Series) -> pd.Series:
+        return pd.Series([float(how(np.asarray(w, dtype=float), axis=0, **options)) for w in windows])
+
+    filled = F.concat(F.array_repeat(F.lit(float("nan")), F.greatest(F.lit(0), F.lit(size) - F.size(cells))), cells)
+    out = F.pandas_udf(apply, DoubleType())(filled)
+    return F.when(~F.isnan(out), out)
+
+
+def over_window(how: How, value: Column, window, least: int, size: int, **options) -> Column:
+    """A statistic over a frame of ``size`` labels, missing where it holds fewer than ``least``
+    valid values. A function gets the frame's cells, missing ones as NaN."""
     name = resolve(how)
-    if callable(name) or name in STRICT:
-        name = resolve(name.__name__ if callable(name) else STRICT[name])
+    strict = name in STRICT if not callable(name) else False
+    name = resolve(STRICT[name]) if strict else name
+    options, skip = checked_options(name, options)
+    if callable(name):
+        out = of_cells(name, F.collect_list(F.coalesce(value.cast("double"), F.lit(float("nan")))).over(window), size, options)
+        return F.when(F.count(value).over(window) >= least, out)
+    if strict or not skip:
+        least = size
     if name in ("median", "quantile", "percentile"):
         out = F.percentile(value.cast("double"), F.lit(0.5 if name == "median" else quantile_level(name, options))).over(window)
     elif name in ("mean", "std", "var", "sum", "max", "min", "count"):

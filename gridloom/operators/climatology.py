@@ -105,16 +105,14 @@ monthly_mean, monthly_median, monthly_min, monthly_max, monthly_std = (temporal.
 
 
 def _matched(v: str, climatology: Cube, tag: str) -> str:
-    """The climatology's variable for v: of its name, the only one that contains it, or v_tag."""
-    if v in climatology.vars:
-        return v
-    like = [c for c in climatology.vars if v in c]
-    if len(like) > 1:
-        raise KeyError(f"several variables of the climatology match {v!r}: {like}")
-    if like:
+    """The climatology's variable for v: of its name, the only one that contains it, or v_tag of several."""
+    like = [v] if v in climatology.vars else [c for c in climatology.vars if v in c]
+    if len(like) == 1:
         return like[0]
-    if f"{v}_{tag}" in climatology.vars:
+    if f"{v}_{tag}" in like:
         return f"{v}_{tag}"
+    if like:
+        raise KeyError(f"several variables of the climatology match {v!r}, name one by climatology_how_tag: {like}")
     raise ValueError(f"no variable of the climatology matches {v!r}")
 
 
@@ -171,7 +169,8 @@ def _named(cube: Cube, how_label: str | None, relative: bool) -> Cube:
         meta = cube.meta(v)
         if "standard_name" in meta:
             meta["standard_name"] += f"_{kind}"
-        meta["long_name"] = f"{meta.get('long_name', v)} {kind.replace('_', ' ')}"
+        if "long_name" in meta:
+            meta["long_name"] += f" {kind.replace('_', ' ')}"
         if relative:
             meta["units"] = "%"
         columns.append(F.col(v).alias(labelled(v, how_label), metadata=meta))

@@ -14,9 +14,8 @@ from ..functions.periods import micros, parse_timedelta, span_name
 from .reduce import dense_index
 
 TYPES = ("start_of_step", "start_of_forecast", "start_of_day")
-# Suffixes of units of rates by the usual units of time.
-_SUFFIX = {"seconds": " s^-1", "minutes": " min^-1", "hours": " hours^-1", "days": " days^-1"}
-_SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
+# Short names of units of time in the units of rates.
+_SHORT = {"seconds": "s", "minutes": "min"}
 _PERIODS = ("step", "leadtime", "forecast_period")
 
 
@@ -42,10 +41,11 @@ def _rate_units(rate_units) -> tuple[float | None, str]:
     """Seconds of the unit of time (None: the step itself) and the suffix of the units."""
     if rate_units == "step_length":
         return None, ""
-    if isinstance(rate_units, str) and rate_units in _SECONDS:
-        return _SECONDS[rate_units], _SUFFIX[rate_units]
     span: timedelta = parse_timedelta(rate_units)
-    return span.total_seconds(), f" {span_name(span)}^-1"
+    name = span_name(span)
+    for long, short in _SHORT.items():
+        name = name.replace(long, short)
+    return span.total_seconds(), f" {name}^-1"
 
 
 def accumulation_to_rate(cube: Cube, *, step=None, rate_units="seconds", time_dim: str | None = None, accumulation_type: str = "start_of_step", from_first_step: bool = False, rate_label: str | None = None, provenance: bool = True) -> Cube:
@@ -73,28 +73,29 @@ def accumulation_to_rate(cube: Cube, *, step=None, rate_units="seconds", time_di
     labels = labels.select(axis, "__index", "__previous", gap.alias("__gap"))
     if step is None and not period and not labels.filter("__gap is not null").limit(1).count():
         raise ValueError("a step cannot be told from fewer than two time labels; give it")
+    others = [d for d in cube.dims if d != axis]
     df = cube.df.join(labels, axis)
+    earlier = cube.df.select(*others, F.col(axis).alias("__previous"), *[F.col(v).cast("double").alias(f"__b_{v}") for v in cube.vars])
+    if accumulation_type != "start_of_step":
+        df = df.join(earlier, [*others, "__previous"], "left")
     scale = F.lit(1.0) if unit is None else F.col("__gap") / unit
-    along = Window.partitionBy(*[d for d in cube.dims if d != axis]).orderBy("__index")
     label = {None: "per_step" if unit is None else "rate"}.get(rate_label, rate_label)
     columns = []
     for v in cube.vars:
         value = F.col(v).cast("double")
-        before = F.when(F.lag(axis).over(along) == F.col("__previous"), F.lag(value).over(along))
-        change = value - before
         if accumulation_type == "start_of_step":
             rate = value
         else:
-            rate = F.when(F.col("__index") > 0, change)
+            rate = F.when(F.col("__index") > 0, value - F.col(f"__b_{v}"))
             first = value
             if accumulation_type == "start_of_day" and not period:
                 rate = F.when((F.col("__index") > 0) & (F.hour("__previous") == 0), value).otherwise(rate)
                 first = F.when(F.hour(axis) != 0, value)
             if from_first_step:
                 rate = F.when(F.col("__index") == 0, first).otherwise(rate)
-        meta = {k: x for k, x in {"units": f"{cube.meta(v)['units']}{suffix}" if "units" in cube.meta(v) else None, "long_name": f"{cube.meta(v)['long_name']} {label}".strip() if "long_name" in cube.meta(v) else None}.items() if x}
-        if provenance:
-            meta["history"] = f"{accumulation_type} accumulation of {v} as {label or 'value per step'}"
+        meta = {k: x for k, x in {"units": f"{cube.meta(v)['units']}{suffix}" if "units" in cube.meta(v) else None, "long_name": f"{cube.meta(v)['long_name']} {label.replace('_', ' ')}".strip() if "long_name" in cube.meta(v) else None}.items() if x}
+        if provenance or "history" in cube.meta(v):
+            meta["history"] = "\n".join(x for x in (cube.meta(v).get("history"), f"{accumulation_type} accumulation of {v} as {label or 'value per step'}") if x)
         columns.append((rate / scale).alias(labelled(v, label), metadata=meta))
     keep = accumulation_type == "start_of_step" or from_first_step
     made = df.select(*cube.dims, *cube.coords, "__index", *columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -30,12 +31,20 @@ def _weighted_frame(cube: Cube, weights, lat: str | None) -> tuple[Cube, Column]
         shared = [c for c in weights.columns if c in cube.dims]
         (value,) = [c for c in weights.columns if c not in shared]
         other = weights.select(*shared, F.col(value).alias("__weight"))
-        return cube.with_df(cube.df.join(other, shared, "left") if shared else cube.df.crossJoin(other)), F.col("__weight")
+        if not shared and other.limit(2).count() > 1:
+            raise ValueError(f"weights of several rows share no dimension with {cube.dims}")
+        return cube.with_df(cube.df.join(other, shared, "left") if shared else cube.df.crossJoin(F.broadcast(other))), F.col("__weight")  # one row
     raise TypeError("weights are a name or a frame")
 
 
 def reduce(cube: Cube, how: st.How = "mean", *, dim=None, weights=None, lat: str | None = None, how_label: str | None = None, how_dropna: str | None = None, skip_missing: bool = True, **options) -> Cube:
-    """Reduce over ``dim`` (all dimensions by default), all variables in one pass."""
+    """Reduce over ``dim`` (all dimensions by default), all variables in one pass. argmin and argmax
+    give positions along the one dimension reduced, idxmin and idxmax its labels; cumsum and
+    cumprod keep it."""
+    if weights is None and not callable(how) and st.resolve(how) in st.CUMULATIVE:
+        return _cumulative(cube, st.resolve(how), dim, how_label, **options)
+    if weights is None and not callable(how) and st.resolve(how) in st.POSITIONS:
+        return drop_missing(_positions(cube, st.resolve(how), dim, how_label, **options), cube.without(*names(dim)), how_dropna)
     over = cube.dims if dim is None else names(dim)
     if unknown := [d for d in over if d not in cube.dims]:
         raise ValueError(f"not dimensions: {unknown}")
@@ -49,12 +58,12 @@ def reduce(cube: Cube, how: st.How = "mean", *, dim=None, weights=None, lat: str
         framed, w = _weighted_frame(cube, weights, lat)
         centres: dict[str, Column | None] = dict.fromkeys(cube.vars)
         name = st.resolve(how if not callable(how) else how.__name__)
-        if name in ("std", "var"):  # about the mean of the same group, for its digits' sake
-            by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        if name in ("std", "var", "sum_of_squares"):  # about the mean of the same group, for its digits' sake
+            means = framed.df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[F.try_divide(F.sum(w * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), w))).alias(f"__m_{v}") for v in cube.vars])
             if keys:
-                framed = framed.with_df(framed.df.withColumns({f"__m_{v}": F.try_divide(F.sum(w * F.col(v)).over(by), F.sum(F.when(F.col(v).isNotNull(), w)).over(by)) for v in cube.vars}))
+                same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+                framed = framed.with_df(framed.df.join(means, same, "left"))  # a row per group, not per cell
             else:
-                means = framed.df.agg(*[F.try_divide(F.sum(w * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), w))).alias(f"__m_{v}") for v in cube.vars])
                 framed = framed.with_df(framed.df.crossJoin(F.broadcast(means)))  # one row
             centres = {v: F.col(f"__m_{v}") for v in cube.vars}
         exprs = {out[v]: st.weighted(how, F.col(v), w, centres[v], **options) for v in cube.vars}
@@ -62,6 +71,45 @@ def reduce(cube: Cube, how: st.How = "mean", *, dim=None, weights=None, lat: str
     return drop_missing(result, keys, how_dropna)
 
 
+def _only(cube: Cube, dim, how: str) -> str:
+    over = names(dim) or cube.dims
+    if len(over) != 1 or over[0] not in cube.dims:
+        raise ValueError(f"{how!r} goes along one dimension of {cube.dims}, not {over}")
+    return over[0]
+
+
+def _cumulative(cube: Cube, how: str, dim, how_label: str | None, **options) -> Cube:
+    """Running sums or products along a dimension; missing cells count as nothing."""
+    d = _only(cube, dim, how)
+    st.checked_options(how, options)
+    along = Window.partitionBy(*cube.without(d)).orderBy(d).rowsBetween(Window.unboundedPreceding, 0)
+    f, neutral = (F.sum, 0.0) if how == "cumsum" else (F.product, 1.0)
+    columns = [f(F.coalesce(F.col(v).cast("double"), F.lit(neutral))).over(along).alias(labelled(v, how_label), metadata=cube.meta(v)) for v in cube.vars]
+    return cube.with_df(cube.df.select(*cube.dims, *cube.coords, *columns), vars=tuple(labelled(v, how_label) for v in cube.vars))
+
+
+def _positions(cube: Cube, how: str, dim, how_label: str | None, **options) -> Cube:
+    """Where along a dimension the extreme lies, from 0."""
+    d = _only(cube, dim, how)
+    at = reduce(cube, st.POSITIONS[how], dim=d, how_label=how_label, **options)
+    df = at.df
+    for v in at.vars:
+        places = dense_index(cube.df, d).select(F.col(d).alias(v), F.col("__index").cast("long").alias(f"__at_{v}"))
+        df = df.join(places, v, "left").drop(v).withColumnRenamed(f"__at_{v}", v)
+    return at.with_df(df.select(*at.dims, *at.vars))
+
+
+def squeeze(cube: Cube, *dims: str, keep=()) -> Cube:
+    """Without the dimensions that have one label, but for those to keep; or without ``dims``, of
+    which each must have one. One aggregate tells."""
+    asked = dims or cube.without(*keep)
+    sizes = cube.df.agg(*[F.count_distinct(F.col(d)).alias(d) for d in asked]).first().asDict() if asked else {}
+    if several := [d for d in dims if sizes[d] != 1]:
+        raise ValueError(f"dimensions of several labels: {several}")
+    gone = [d for d in asked if sizes[d] == 1]
+    return cube.with_df(cube.df.drop(*gone), dims=cube.without(*gone))
+
+
 def drop_missing(cube: Cube, dims, how: str | None) -> Cube:
     """Without the labels of ``dims`` that have any or only missing cells, one dimension after the
     other. An absent row counts as a missing cell."""
@@ -148,21 +196,28 @@ def rolling_reduce(cube: Cube, how_reduce: st.How = "mean", *, dim: dict[str, in
     if len(sizes) == 1:
         ((d, _),) = sizes.items()
         w = frame(d, cube.without(d))
-        exprs = {v: st.over_window(how_reduce, F.col(v), w, least, **options) for v in cube.vars}
+        exprs = {v: st.over_window(how_reduce, F.col(v), w, least, sizes[d], **options) for v in cube.vars}
     else:  # collect the cells of the block one dimension after the other
         for v in cube.vars:
             df = df.withColumn(f"__c_{v}", F.when(F.col(v).isNotNull(), F.array(F.col(v).cast("double"))).otherwise(F.array().cast("array<double>")))
         for d in sizes:
             w = frame(d, cube.without(d))
             df = df.withColumns({f"__c_{v}": F.flatten(F.collect_list(f"__c_{v}").over(w)) for v in cube.vars})
-        exprs = {v: F.when(F.size(f"__c_{v}") >= least, _of_array(name, F.col(f"__c_{v}"), options)) for v in cube.vars}
+        exprs = {v: F.when(F.size(f"__c_{v}") >= least, _of_array(name, F.col(f"__c_{v}"), math.prod(sizes.values()), options)) for v in cube.vars}
     columns = [*cube.dims, *[e.alias(labelled(v, how_label), metadata=cube.meta(v)) for v, e in exprs.items()]]
     result = replace(cube, df=df.select(*columns), vars=tuple(labelled(v, how_label) for v in cube.vars), coords=())
     return drop_missing(result, list(sizes), how_dropna)
 
 
-def _of_array(name, cells: Column, options: dict) -> Column:
-    """A statistic of an array of valid cells."""
+def _of_array(name, cells: Column, size: int, options: dict) -> Column:
+    """A statistic of an array of the valid cells of a window of ``size``."""
+    strict = name in st.STRICT if not callable(name) else False
+    name = st.resolve(st.STRICT[name]) if strict else name
+    options, skip = st.checked_options(name, options)
+    if callable(name):
+        return st.of_cells(name, cells, size, options)
+    if strict or not skip:
+        return F.when(F.size(cells) == size, _of_array(name, cells, size, options))
     n = F.size(cells)
     total = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
     if name in ("median", "quantile", "percentile"):

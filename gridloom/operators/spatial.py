@@ -2,8 +2,8 @@
 
 A feature table has a key, ``rings`` (array of rings, arrays of struct<x, y>) and the columns to
 carry along. The even-odd rule over all rings covers holes and several parts. The distinct points
-of the cube are matched to features once, by bounding box and then by the polygon; the result, a
-small table of points and features, is what the data are joined with.
+of the cube are matched to features once: they meet on the tiles of a grid, then by bounding box, then
+by the polygon; the result, a small table of points and features, is what the data are joined with.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from ..functions import statistics as st
 from . import reduce as core
 
 RINGS = "array<array<struct<x:double,y:double>>>"
-#: Feature tables of up to this many vertices are broadcast to the points, others are not hinted.
-BROADCAST_VERTICES = 1_000_000
+#: A tile is as large as the mean feature's box, but so large that none covers more tiles than this a side.
+TILES = 64
 
 
 def features(spark: SparkSession, shapes: list[tuple], *columns: str) -> DataFrame:
@@ -106,17 +106,21 @@ def points_in_features(cube: Cube, table: DataFrame, key: str, lat: str, lon: st
     """(lat, lon, key) of each distinct point and each feature it lies in."""
     points = cube.df.select(lat, lon).distinct()
     shapes = _bounded(table.select(key, "rings"))
-    size = shapes.agg(F.coalesce(F.sum(F.size(F.flatten("rings"))), F.lit(0))).first()[0]
-    if size <= BROADCAST_VERTICES:
-        shapes = F.broadcast(shapes)
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
     rx = ry = F.lit(0.0)
     if all_touched:
         points = points.crossJoin(F.broadcast(_half_steps(cube, lon, "__rx"))).crossJoin(F.broadcast(_half_steps(cube, lat, "__ry")))  # one row each
         rx, ry = F.col("__rx"), F.col("__ry")
+    wide, high = F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")
+    tile = F.broadcast(shapes.agg(*[F.greatest(F.avg(side), F.max(side) / TILES, F.lit(1e-6)).alias(n) for side, n in ((wide, "__tx"), (high, "__ty"))]))  # one row
+    if all_touched:
+        shapes = shapes.crossJoin(F.broadcast(points.select("__rx", "__ry").limit(1)))
+    sides = [F.sequence(F.floor((F.col(f"__{c}0") - r) / F.col(f"__t{c}")), F.floor((F.col(f"__{c}1") + r) / F.col(f"__t{c}"))) for c, r in (("x", rx), ("y", ry))]
+    shapes = shapes.crossJoin(tile).withColumn("__i", F.explode(sides[0])).withColumn("__j", F.explode(sides[1])).drop("__tx", "__ty", "__rx", "__ry")
+    points = points.crossJoin(tile).withColumns({"__i": F.floor(x / F.col("__tx")), "__j": F.floor(y / F.col("__ty"))})
     near = (x >= F.col("__x0") - rx) & (x <= F.col("__x1") + rx) & (y >= F.col("__y0") - ry) & (y <= F.col("__y1") + ry)
     hit = touches(F.col("rings"), x, y, rx, ry) if all_touched else inside(F.col("rings"), x, y)
-    return points.join(shapes, near & hit).select(lat, lon, key)
+    return points.join(shapes, ["__i", "__j"]).filter(near).filter(hit).select(lat, lon, key)
 
 
 def mask(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, lat: str | None = None, lon: str | None = None, union_geometries: bool = False, all_touched: bool = False, compact: bool = False) -> Cube:
@@ -134,7 +138,8 @@ def mask(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, la
     dims = (*cube.dims, key)
     if compact:
         return Cube(cube.df.join(hits, [lat, lon]).select(*dims, *cube.coords, *cube.vars), dims, cube.vars, cube.coords, cube.attrs)
-    whole = cube.df.crossJoin(table.select(key)).join(hits.withColumn("__in", F.lit(True)), [lat, lon, key], "left")  # the result has a row for each cell and feature
+    points = cube.df.select(lat, lon).distinct().crossJoin(table.select(key)).join(hits.withColumn("__in", F.lit(True)), [lat, lon, key], "left")
+    whole = cube.df.join(points, [lat, lon])  # the result has a row for each cell and feature
     return Cube(whole.select(*dims, *cube.coords, *[F.when(F.col("__in"), F.col(v)).alias(v, metadata=cube.meta(v)) for v in cube.vars]), dims, cube.vars, cube.coords, cube.attrs)
 
 
@@ -158,11 +163,13 @@ def _mask_table(masks, mask_dim: str | None, shared: tuple[str, ...]) -> tuple[D
     return fold(DataFrame.unionByName, frames), key
 
 
-def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *, mask_arrays=None, weights=None, lat: str | None = None, lon: str | None = None, extra_reduce_dims=None, mask_dim=None, how_label: str | None = None, all_touched: bool = False, compact: bool = False, expanded: bool = False, **options) -> Cube:
+def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *, mask_arrays=None, weights=None, lat: str | None = None, lon: str | None = None, extra_reduce_dims=None, mask_dim=None, how_label: str | None = None, all_touched: bool = False, compact: bool = False, expanded: bool = False, squeeze: bool = False, return_geometry_as_coord: bool = False, **options) -> Cube:
     """A statistic over the cells of each feature or mask, or over the whole grid.
 
     Features and masks without a cell give a missing value (a sum of 0). ``expanded`` carries the
-    feature table's columns along; ``compact`` gives one row per feature with arrays over the
+    feature table's columns along (without one: the column ``mask_dim`` or ``index``, 0);
+    ``return_geometry_as_coord`` its rings as ``geometry``; ``squeeze`` leaves out what remains of
+    dimensions with one label. ``compact`` gives one row per feature with arrays over the
     remaining dimensions, in their order."""
     if table is not None and mask_arrays is not None:
         raise ValueError("give features or masks, not both")
@@ -196,6 +203,8 @@ def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *,
         result = result.with_meta(o, long_name=long_name)
     if every is not None:
         result = _all_features(cube, result, every, key, how)
+    if squeeze:
+        result = core.squeeze(result, keep=(key,))
     if compact and key:
         rest = result.without(key)
         packed = [F.transform(F.array_sort(F.collect_list(F.struct(*rest, F.col(v).alias("__v")))), lambda s: s["__v"]).alias(v) for v in result.vars]
@@ -203,6 +212,11 @@ def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *,
     if expanded and table is not None:
         carried = tuple(c for c in table.columns if c != key)
         result = Cube(table.join(result.df, key, "left"), result.dims, result.vars, carried, result.attrs)
+    elif expanded and key is None:
+        name = mask_dim or "index"
+        result = Cube(result.df.withColumn(name, F.lit(0).cast("long")), (*result.dims, name), result.vars, result.coords, result.attrs)
+    if return_geometry_as_coord and table is not None:
+        result = result.with_df(result.df.join(table.select(key, F.col("rings").alias("geometry")), key, "left"), coords=(*result.coords, "geometry"))
     return result
 
 

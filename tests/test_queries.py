@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from gridloom.plans import more_queries  # noqa: F401
 from gridloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
