@@ -62,6 +62,11 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     return each.select("id", F.xxhash64("other", "i", text).alias("key"), "index")
 
 
+def characters(line: str) -> Column:
+    """Array of the line's characters, those beyond the first plane whole."""
+    return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+
+
 def bit(condition: Column, place: int) -> Column:
     return F.when(condition, F.lit(1 << place).cast("long")).otherwise(F.lit(0).cast("long"))
 
@@ -137,9 +142,8 @@ def near_lines(lines: DataFrame, *, edits: int, min_chars: int, block: int) -> t
     shared = written(rows.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket)).withColumn("any", F.max("index").over(bucket)).filter("lo <> hi and any").select("key", "id", "index"), "line-keys")
     ids = shared.select("id").distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chars = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
     counts = F.array(*[length - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in _LETTERS])
-    found = written(firsts.filter("line is not null").join(wanted, "id", "left_semi").select("id", "id2", "first", chars.alias("chars"), counts.alias("letters")), "line-texts")
+    found = written(firsts.filter("line is not null").join(wanted, "id", "left_semi").select("id", "id2", "first", length.alias("chars"), "line", counts.alias("letters")), "line-texts")
     dealt = written(_dealt(shared, block), "line-dealt")
     x = dealt.select("key", "id", "index", F.explode("others").alias("meets")).join(found, "id")
     y = dealt.select("key", "id", "index", "own").join(found, "id")
@@ -150,9 +154,9 @@ def near_lines(lines: DataFrame, *, edits: int, min_chars: int, block: int) -> t
         & (F.col("meets") == F.col("own_y"))
         & (F.col("index") | F.col("index_y"))
         & (F.col("first_y") < F.col("first"))
-        & (F.abs(F.size("chars") - F.size("chars_y")) <= edits)
+        & (F.abs(F.col("chars") - F.col("chars_y")) <= edits)
         & (apart <= 2 * edits)
-        & edit_distance_within(F.col("chars"), F.col("chars_y"), edits)
+        & F.element_at(F.transform(F.array(F.struct(characters("line").alias("a"), characters("line_y").alias("b"))), lambda w: edit_distance_within(w.a, w.b, edits)), 1)
     )
     near = x.join(y, cond, "left_semi").select("id", "id2").distinct()
     return firsts.select("id", "id2", "first", "n"), near
