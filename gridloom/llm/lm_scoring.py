@@ -46,7 +46,7 @@ GATES = PLACES * (len(SEEN) + 1) * (len(SEEN_FOUR) + 1)
 #: Bytes back of the hashed contexts and slots of their tables, as powers of two: how many contexts
 #: of so few bytes languages have does not follow the size of the input.
 ORDERS = (4, 3, 2)
-TABLE_BITS = (21, 20, 18)
+TABLE_BITS = (21, 20, 20)
 TABLE_AT = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in TABLE_BITS)]))
 SLOTS = TABLE_AT[-1]
 INPUTS = len(ORDERS) + 2
@@ -97,7 +97,7 @@ class Words:
     size: np.ndarray
     kind: np.ndarray
 
-    def pieces(self, most: int = 1 << 18) -> Iterator[tuple[slice, Words]]:
+    def pieces(self, most: int = 1 << 17) -> Iterator[tuple[slice, Words]]:
         """Runs of words of about ``most`` bytes; a longer word is alone."""
         ends = np.cumsum(self.size + 1)
         lo = 0
@@ -727,7 +727,7 @@ def _score(shared):
         plain = np.log10((total + 1) / (model.tokens + model.distinct + 1))
         n, ends = len(sizes), np.cumsum(sizes)
         base, nats, known = np.empty(n), np.empty(n), np.empty(n, np.int64)
-        for lo, hi in _stretches(sizes, 1 << 20):
+        for lo, hi in _stretches(sizes, 1 << 19):
             a, own = int(ends[lo] - sizes[lo]), sizes[lo:hi]
             ids, begin = tokens[a : int(ends[hi - 1])], np.cumsum(own) - own
             before = np.r_[0, tails[ids[:-1]]]
@@ -787,7 +787,7 @@ def fit_model(texts: DataFrame, centres: np.ndarray, tally: DataFrame, lexicon:
     return Model(len(centres), int(tokens), int(distinct), tree, seen, ones, weights, first)
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, block_docs: int = 6000, block_chars: int = 24_000_000, bucket_chars: int = 16_000_000, bucket_bytes: int = 64_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, block_docs: int = 6000, block_chars: int = 24_000_000, bucket_chars: int = 6_000_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte.
 
