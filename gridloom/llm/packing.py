@@ -28,20 +28,34 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row
 _ARROW = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "row": pa.int64(), "ids": pa.list_(pa.int32())}
 
 
-def load_tokenizer(vocabulary: str | None = None, added: bool = False):
-    """Function from a text to its ids as a uint32 array. vocabulary: path of the ranks of the
-    50k byte-level BPE; by default the installed public file. With added the ids are those that
-    tokenizers gives with the JSON form, which is slower by a factor of three: an added token that
-    stands in a text is one id. Without, it is text like any other (encode_special_tokens there)."""
+def load_tokenizer(vocabulary: str | None = None, added: bool = False, model: str | None = None):
+    """Function from a text to its ids as a uint32 array. vocabulary, model: paths of the ranks and
+    of the JSON form of the 50k byte-level BPE; by default the installed public files. With added
+    the ids are those that tokenizers gives with the JSON form, which is slower by a factor of three:
+    an added token that stands in a text is one id. Without, it is text like any other
+    (encode_special_tokens there). Texts whose runs of white space are too long for the ranks' pattern
+    are encoded by the JSON form."""
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    whole: list[Tokenizer] = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # the pattern's stack is spent
+            if not whole:
+                whole.append(Tokenizer.from_file(model or public_tokenizers.path("byte_bpe_50k.json")))
+                whole[0].encode_special_tokens = not added
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -100,7 +114,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Fewest bins any packing needs, by two families of dual feasible functions: for every k up
     to half the capacity, lengths over capacity - k count whole and those under k not at all; and
     for small n, the rounding of (n + 1) x / capacity down to n-ths unless it is whole."""
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """lower_bound from how often each length 0..capacity occurs."""
     sizes = np.arange(capacity + 1)
     number, weight = np.cumsum(count), np.cumsum(count * sizes)
     best = math.ceil(int(weight[-1]) / capacity)
@@ -159,6 +177,17 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, partition_items: int = 5
     return out
 
 
+def against_bound(packed: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    """One row: sequences used, the bound below which no packing of all these pieces can go, and the
+    gap between them. From counts of at most ``capacity`` lengths. Empty table: zeros."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r.length] = r.n
+    bound = bound_of_counts(counts, capacity)
+    used = packed.agg(F.count_distinct("sequence_id").alias("sequences"))
+    return used.select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def best_fit_packing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, added: bool = False, partition_items: int = 50_000, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset,
     certified. ids are the piece's tokens, null unless ``with_ids``; ``added`` is load_tokenizer's.
