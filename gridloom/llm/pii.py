@@ -1,7 +1,7 @@
 """Personal data, also in disguise: offset-preserving deobfuscation.
 
-Transducers rewrite a text one after the other: homoglyphs and full-width forms to ASCII, spelled
-digits to digits, "at" and "dot" disguises to @ and full stops. Each keeps, for every character it
+Transducers rewrite a text one after the other: homoglyphs and full-width forms to ASCII, digits
+spelled in four languages to digits, "at", "dot" and "plus" disguises to @, full stops and +. Each keeps, for every character it
 puts out, the span of source characters that it came from, so a span found in the rewritten text
 maps back to the source exactly. Detectors run on the source (the base findings) and on the
 rewritten text; a finding of the latter counts when a transducer changed something inside it and
@@ -84,7 +84,20 @@ _LOOKALIKES = {
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X",
     "ı": "i", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "⁺": "+",
 }
-_DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# The digits' names in English, German, Spanish and French, and how @, full stops and + are spelled out.
+_DIGIT_NAMES = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+_AT_NAMES = ("at", "arroba", "arobase", "klammeraffe")
+_DOT_NAMES = ("dot", "punkt", "punto", "point")
+_PLUS_NAMES = ("plus", "más")
+#: Words that stand before a plain "at" and an address of a site in ordinary sentences.
+_BEFORE_AT = ("a", "about", "all", "and", "are", "available", "be", "buy", "check", "found", "here", "is", "it", "look", "looked", "looking", "me", "meet", "met", "more", "now", "online", "only", "or", "order", "out", "page", "read", "see", "shop", "site", "that", "the", "them", "there", "this", "us", "visit", "was", "website", "were", "work", "working", "works", "you")
+#: Ends of domains that a plain "at" is believed before.
+_TOP = ("at", "biz", "ca", "ch", "co", "com", "de", "edu", "es", "eu", "fr", "gov", "info", "io", "it", "me", "net", "nl", "org", "uk", "us")
 
 
 def _homoglyph(c: str) -> str | None:
@@ -123,55 +136,101 @@ class Traced:
         self.text, self.start, self.end, self.changed = "".join(text), start, end, changed
 
 
-_NAME = "|".join(_DIGIT_NAMES)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_NAME}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_NAME}|[0-9]+)){{6,}}(?![A-Za-z])", re.I)
-_SPELLED_ITEM = re.compile(rf"{_NAME}|[0-9]+", re.I)
-_PLUS = re.compile(r"(?<![A-Za-z])plus[\s-]+(?=[0-9])", re.I)
-_W = r"[A-Za-z0-9_%+-]+"
-_AT = r"(?:\s*[(\[{<]\s*(?:at|@)\s*[)\]}>]\s*|\s+at\s+|\s*@\s*)"
-_DOT = r"(?:\s*[(\[{<]\s*(?:dot|punkt|point|\.)\s*[)\]}>]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9_%+.-]){_W}(?:{_DOT}{_W}){{0,4}}?(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,5}}", re.I)
-_AT_OR_DOT = re.compile(rf"{_AT}|{_DOT}", re.I)
-_DOTTED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\s*[(\[{<]\s*(?:dot|\.)\s*[)\]}>]\s*|\s+dot\s+|\.)[0-9]{1,3}){3}(?![0-9])", re.I)
-_HINT = re.compile(r"[(\[{<]\s?(?:at|@|dot|\.|punkt|point)\s?[)\]}>]|\sdot\s", re.I)
-_NAMED = re.compile(rf"(?:(?<![A-Za-z])(?:{_NAME})[\s,-]{{1,3}}){{2}}", re.I)
+# All patterns take time in proportion to the text: no run of characters is tried from each of its places.
+_B, _E = r"(?<![^\W_])", r"(?![^\W_])"
+_NAME = "|".join(sorted(_DIGIT_NAMES, key=len, reverse=True))
+_ITEM = rf"(?:(?:{_NAME}){_E}|[0-9]++{_E})"
+_SPELLED = re.compile(rf"{_B}{_ITEM}(?:[\s,.-]{{1,3}}{_ITEM})*+", re.I)
+_SPELLED_ITEM = re.compile(_ITEM, re.I)
+_PLUS = re.compile(rf"{_B}(?:{'|'.join(_PLUS_NAMES)})(?:\s++|-)(?=[0-9])", re.I)
+_OPEN, _CLOSE = r"[(\[{<]\s*+", r"\s*+[)\]}>]"
+_AT = rf"(?:(?<!\s)\s*+{_OPEN}(?:{'|'.join(_AT_NAMES)}|@){_CLOSE}\s*+|(?<!\s)\s++(?:{'|'.join(_AT_NAMES)})\s++|(?<!\s)\s++@\s*+|@\s*+)"
+_DOT = rf"(?:(?<!\s)\s*+{_OPEN}(?:{'|'.join(_DOT_NAMES)}|\.){_CLOSE}\s*+|(?<!\s)\s++(?:{'|'.join(_DOT_NAMES)})\s++|\.)"
+_W = r"[A-Za-z0-9_%+-]++"
+_AT_SIGN = re.compile(_AT, re.I)
+_LOCAL_PART = re.compile(rf"{_W}(?:{_DOT}{_W}){{0,4}}+\Z", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{1,5}}+", re.I)
+_DOT_SIGN = re.compile(_DOT, re.I)
+_LOCAL_MOST = 320
+_DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_BRACKETED = re.compile(rf"{_OPEN}(?:{'|'.join((*_AT_NAMES, *_DOT_NAMES))}|@|\.){_CLOSE}", re.I)
+_LOOSE_AT = re.compile(r"\s@|@\s")
+_NAME_SET, _AT_SET, _DOT_SET, _PLUS_SET = map(frozenset, (_DIGIT_NAMES, _AT_NAMES, _DOT_NAMES, _PLUS_NAMES))
 _ODD = re.compile(r"[­ıͰ-ϿЀ-ԯ‐-–․​-‍⁠⁰-₎①-⓿。﻿﹒！-～\U0001d400-\U0001d7ff]")
 
 
-def _undot(text: str) -> str:
-    m = re.sub(r"[\s(\[{<>}\])]", "", text).lower()
-    return "@" if m in ("at", "@") else "."
+def _signs(text: str) -> tuple[bool, bool, bool, bool]:
+    """What a text may need: digits, plus, addresses, dotted numbers. Only rules out texts in which
+    nothing of the kind can be rewritten to a finding; the transducers decide on each match."""
+    low = text.lower()
+    words = low.split()
+    bare = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
+    digits = not _NAME_SET.isdisjoint(bare) and any((a in _NAME_SET and (b in _NAME_SET or b in _DOT_SET or b[0].isdigit())) or (b in _NAME_SET and a[-1].isdigit()) for a, b in zip(bare, bare[1:], strict=False))
+    plus = not _PLUS_SET.isdisjoint(bare)
+    dots = not _DOT_SET.isdisjoint(bare)
+    bracketed = _BRACKETED.search(text) is not None
+    address = bracketed or "@" in text and (dots or _LOOSE_AT.search(text) is not None)
+    if not address and not _AT_SET.isdisjoint(words):
+        address = any(a in _AT_SET and ("." in b[:-1] or c in _DOT_SET) for a, b, c in zip(words, words[1:], [*words[2:], ""], strict=False))
+    return digits, plus, address, bracketed or dots
+
+
+def _digits_spelled(t: Traced) -> None:
+    """Runs of digits and their names, at least one of them a name, become runs of digits."""
+    edits = []
+    for m in _SPELLED.finditer(t.text):
+        items = list(_SPELLED_ITEM.finditer(t.text, m.start(), m.end()))
+        if all("0" <= x[0][0] <= "9" for x in items):
+            continue
+        for k, x in enumerate(items):
+            hi = items[k + 1].start() if k + 1 < len(items) else x.end()
+            edits.append((x.start(), hi, _DIGIT_NAMES.get(x[0].lower(), x[0])))
+    t.replace(edits)
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make @ and full stops of the disguises in what looks like an address otherwise."""
+    edits = []
+    for at in _AT_SIGN.finditer(text):
+        host = _HOST.match(text, at.end())
+        if not host:
+            continue
+        before = text[max(0, at.start() - _LOCAL_MOST) : at.start()]
+        local = None
+        for m in re.finditer(rf"(?<![A-Za-z0-9_%+.-]){_W}", before):  # the first word from which all up to the sign is one
+            if local := _LOCAL_PART.match(before, m.start()):
+                break
+        if not local:
+            continue
+        lo = at.start() - len(before) + local.start()
+        dots = [(x.start(), x.end()) for a, b in ((lo, at.start()), (at.end(), host.end())) for x in _DOT_SIGN.finditer(text, a, b)]
+        if at[0].strip().lower() in _AT_NAMES and (local[0].lower() in _BEFORE_AT or text[dots[-1][1] : host.end()].lower() not in _TOP):
+            continue
+        edits += [(a, b, new) for a, b, new in ((at.start(), at.end(), "@"), *[(a, b, ".") for a, b in dots]) if text[a:b] != new]
+    return edits
 
 
 def deobfuscate(text: str) -> Traced | None:
     """The text through all transducers, or None where none of them has anything to do."""
-    odd, hint, named = _ODD.search(text), _HINT.search(text), _NAMED.search(text)
-    if not (odd or hint or named):
+    odd = _ODD.search(text)
+    if not odd and not any(_signs(text)):
         return None
     t = Traced(text)
     if odd:
         t.replace([(m.start(), m.end(), new) for m in _ODD.finditer(t.text) if (new := _homoglyph(m[0])) is not None])
-    if _NAMED.search(t.text):
-        edits = []
-        for m in _SPELLED.finditer(t.text):
-            items = list(_SPELLED_ITEM.finditer(t.text, m.start(), m.end()))
-            for k, x in enumerate(items):
-                hi = items[k + 1].start() if k + 1 < len(items) else x.end()
-                edits.append((x.start(), hi, _DIGIT_NAMES.get(x[0].lower(), x[0])))
-        t.replace(edits)
+    digits, plus, address, dotted = _signs(t.text)
+    if digits:
+        _digits_spelled(t)
+    if plus:
         t.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(t.text)])
-    if _HINT.search(t.text):
-        edits = []
-        for m in _DISGUISED.finditer(t.text):
-            if m["at"].strip() == "@" and not _HINT.search(m[0]):
-                continue
-            edits += [(x.start(), x.end(), _undot(x[0])) for x in _AT_OR_DOT.finditer(t.text, m.start(), m.end()) if x[0] not in "@."]
-        edits += [(x.start(), x.end(), ".") for m in _DOTTED_IP.finditer(t.text) for x in _AT_OR_DOT.finditer(t.text, m.start(), m.end()) if x[0] != "."]
-        kept: list = []
-        for e in sorted(set(edits)):
-            if not kept or e[0] >= kept[-1][1]:
-                kept.append(e)
-        t.replace(kept)
+    edits = _addresses(t.text) if address else []
+    if dotted:
+        edits += [(x.start(), x.end(), ".") for m in _DOTTED_IP.finditer(t.text) for x in _DOT_SIGN.finditer(t.text, m.start(), m.end()) if x[0] != "."]
+    kept: list = []
+    for e in sorted(set(edits)):
+        if not kept or e[0] >= kept[-1][1]:
+            kept.append(e)
+    t.replace(kept)
     return t if any(t.changed) or len(t.text) != len(text) else None
 
 
