@@ -1,9 +1,11 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-All of it is DataFrame and SQL functions and Spark's own forest. A candidate is a run of at least
-``MIN_LENGTH`` letters, digits and _+/=- with a digit in it. Features: length and shares of character
-kinds, transitions between kinds, how much of it dictionary words cover, what it looks like as a
-path, the document's own path, and the words before and after. The forest learns from labelled
+All of it is DataFrame and SQL functions and Spark's own forest. A candidate is any value of four
+characters or more that a key word (password, token, ...) with = or : gives, and any run of at least
+``MIN_LENGTH`` letters, digits and _+/=- with a digit or both cases in it, runs joined by full stops
+being one. Features: length and shares of character kinds, transitions between kinds, how much of it
+dictionary words cover, what it looks like as a path or a placeholder, the document's own path, and
+the words before and after. The forest learns from labelled
 findings (before, value, after, path, label); ``labelled_findings`` makes a set of them by rule.
 """
 
@@ -18,7 +20,10 @@ from pyspark.sql.window import Window
 
 MIN_LENGTH = 16
 _RUN = r"[A-Za-z0-9_+/=\-]"
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/=\-]*[0-9]){_RUN}{{{MIN_LENGTH},}}"
+_KEY = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)"
+_GIVEN = rf"(?<=[=:\x22'\x20])(?<=(?i:{_KEY})[\x22']?\x20{{0,2}}[=:]\x20{{0,2}}[\x22']?)[^\s\x22'=:,;<>()]{{4,}}"
+_LONG = rf"(?<!{_RUN}|{_RUN}\.)(?=[A-Za-z_+/=\-]*[0-9]|[A-Z]*[a-z]+[A-Z]|[A-Za-z0-9_\-]{{2,12}}\.)(?:{_RUN}{{{MIN_LENGTH},}}|[A-Za-z0-9_\-]{{2,12}}\.(?={_RUN}{{{MIN_LENGTH},}}\.{_RUN}{{{MIN_LENGTH}}}){_RUN}{{{MIN_LENGTH},}})(?:\.{_RUN}{{{MIN_LENGTH},}}+)*+"
+CANDIDATE = rf"{_GIVEN}|{_LONG}"
 BEFORE, AFTER = 48, 24
 
 #: Words that stand in names, not in secrets; coverage by them speaks against a secret.
@@ -34,11 +39,13 @@ DICTIONARY = (
     "topic", "update", "upload", "user", "value", "version", "video", "view", "volume", "widget", "window", "world", "year",
 )
 _KEYED = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(orization)?|bearer|credential)"
+#: What stands where a secret is to be put.
+_PLACEHOLDER = r"(?i)your|example|change|placeholder|dummy|sample|x{4}|\*{3}|\.{3}|\$[{(]?|%[sd(]|^(null|none|nil|true|false|undefined|empty|required|optional|string|value|redacted|hidden|process|os|env|config)\b"
 _HASHED = r"(?i)(sha-?(1|256|512)?|md5|commit|checksum|digest|etag|revision|integrity|uuid|guid|isbn|order|invoice|tracking)"
 
 FEATURES = (
     "length", "digits", "uppers", "lowers", "others", "vowels", "distinct", "hex", "kind_changes", "case_changes", "repeats",
-    "covered", "slashes", "hyphens", "dotted_after", "url_before", "test_path", "keyed", "assigned", "quoted", "hashed",
+    "covered", "slashes", "hyphens", "specials", "dots", "placeholder", "dotted_after", "url_before", "test_path", "keyed", "assigned", "quoted", "hashed",
 )
 
 
@@ -74,7 +81,7 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "lowers": _share("[a-z]"),
         "others": _share(r"[_+/=\-]"),
         "vowels": _share("[aeiouAEIOU]"),
-        "distinct": F.size(F.array_distinct(F.split(v, "(?!^)"))) / F.length(v),
+        "distinct": F.size(F.array_distinct(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)))) / F.length(v),
         "hex": _flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$") & v.rlike("[a-fA-F]")),
         "kind_changes": _share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"),
         "case_changes": _share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
@@ -82,6 +89,9 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "covered": 1 - left_over / F.length(v),
         "slashes": F.regexp_count("value", F.lit("/")).cast("double"),
         "hyphens": F.regexp_count("value", F.lit("-")).cast("double"),
+        "specials": _share(r"[^A-Za-z0-9_+/=\-.]"),
+        "dots": F.regexp_count("value", F.lit(r"\.")).cast("double"),
+        "placeholder": _flag(v.rlike(_PLACEHOLDER)),
         "dotted_after": _flag(after.rlike(r"^\.[a-z]{2,4}\b")),
         "url_before": _flag(before.rlike(r"(?i)(https?:|www\.|\.(com|org|net)/?|[/\\.@])\S{0,40}$")),
         "test_path": _flag(path.rlike(r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|docs?|samples?|mocks?)([/_.-]|$)")),
@@ -93,7 +103,7 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
     return found.select("*", *[c.alias(n) for n, c in columns.items()])
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     """(before, value, after, path, label) by rule from row numbers; ``rows`` bounds the set."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512)
     hexed = F.substring(h, F.lit(1), F.element_at(F.array(*[F.lit(n) for n in (20, 32, 40, 64)]), (F.col("id") % 4 + 1).cast("int")))
@@ -104,6 +114,13 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     def word(k: int) -> Column:
         return F.element_at(words, (F.pmod(F.hash("id", F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
 
+    several = F.element_at(F.array(*[F.lit(n) for n in (8, 10, 12, 14)]), (F.col("id") % 4 + 1).cast("int"))
+    short = F.concat(F.substring(F.base64(F.unhex(h)), F.lit(5), several), F.element_at(F.array(*map(F.lit, ("!", "#1", "", "_7", "@z", ".Q"))), (F.pmod(F.hash("id", F.lit(55)), F.lit(6)) + 1).cast("int")))
+    mild = F.concat(word(1), F.substring(figures, 1, 3))
+    letters = F.translate(F.substring(F.base64(F.unhex(h)), F.lit(3), F.lit(28)), "0123456789+/=", "qWxYzKvJpRmLt")
+    dotted = F.concat_ws(".", F.substring(F.base64(F.unhex(h)), 1, 22), F.substring(F.base64(F.unhex(F.sha2(h, 512))), 1, 40), F.translate(F.substring(F.base64(F.unhex(F.sha2(h, 256))), 1, 27), "+/", "-_"))
+    capital = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)))
+    empty = F.element_at(F.array(*map(F.lit, ("null", "None", "undefined", "required", "changeme", "********", "${PASSWORD}", "string", "your-password", "xxxxxxxx", "<hidden>", "process.env.KEY"))), (F.pmod(F.hash("id", F.lit(66)), F.lit(12)) + 1).cast("int"))
     named = F.concat_ws("_", word(1), word(2), word(3), F.substring(figures, 1, 3))
     dashed = F.regexp_replace(F.substring(h, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     kinds = [  # before, value, after, path, label
@@ -122,13 +139,29 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         ("{w} ", F.concat(word(4), F.lit("-"), word(5), F.lit("-2024-10-01")), ".png", "docs/index.md", 0),
         ("{w} ", F.concat(F.repeat(F.lit("="), 20), F.lit("1")), "", "", 0),
         ('token = "', F.concat(F.lit("your_"), word(6), F.lit("_token_here_123")), '"', "examples/demo.py", 0),
+        ('{w} password = "', short, '"', "app.cfg", 1),
+        ("pwd: ", short, " {w}", "", 1),
+        ("passwd=", mild, "", "", 1),
+        ("api_key=", letters, " {w}", "", 1),
+        ("token: ", dotted, " {w}", "", 1),
+        ("{w} ", dotted, "", "", 1),
+        ("secret_key = '", mixed, "'", "settings.py", 1),
+        ("password: ", word(5), " {w}", "", 0),
+        ("token = ", empty, " {w}", "", 0),
+        ('password="', empty, '"', "docs/setup.md", 0),
+        ("api_key: ", F.upper(F.concat(F.lit("your_"), word(6), F.lit("_key"))), "", "", 0),
+        ("secret: the ", word(1), " {w}", "", 0),
+        ("{w} ", capital, "(", "src/main.java", 0),
+        ("{w} {w} ", capital, " {w}", "", 0),
+        ("import ", F.concat_ws(".", F.lit("org"), F.concat(word(1), word(2), word(3), F.lit("123456")), F.concat(word(4), word(5), word(6), F.lit("impl"))), ";", "src/main.java", 0),
+        ("password: ", F.concat_ws("-", word(1), word(2)), " {w}", "docs/index.md", 0),
         ('{w} {w} ', F.concat(word(1), word(2), F.substring(figures, 1, 2), word(3)), " {w}", "", 0),
     ]
     made = [F.struct(*[F.regexp_replace(F.lit(x), r"\{w\}", word(7 + k)).alias(n) if n in ("before", "after") else (F.lit(x) if not isinstance(x, Column) else x).alias(n) for n, x in zip(("before", "value", "after", "path", "label"), kind, strict=True)]) for k, kind in enumerate(kinds)]
     return spark.range(rows).select(F.element_at(F.array(*made), (F.pmod(F.hash("id", F.lit(99)), F.lit(len(kinds))) + 1).cast("int")).alias("x")).select("x.*")
 
 
-def fit_forest(labelled: DataFrame, *, trees: int = 24, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
+def fit_forest(labelled: DataFrame, *, trees: int = 32, depth: int = 9, seed: int = 11) -> RandomForestClassificationModel:
     """A forest over the features of labelled findings (null texts as empty)."""
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("before", "value", "after", "path")]
     rows = _assembled(with_features(labelled.select(*texts, F.col("label").cast("double").alias("label"))))
