@@ -7,10 +7,11 @@ the document is. A window is a candidate when any of ``hashes`` MinHash values e
 containment c gives a Jaccard similarity of at least c / (4 + 2 (1 - c)), and the chance to miss
 all values falls geometrically. Windows of larger classes are made of those of smaller ones
 (minima of minima), so all classes cost one pass. Items too small for that (up to ``BASE``
-shingles) form a class with windows of one shingle.
+shingles) form a class with windows of one shingle. Items of fewer words than a shingle are one
+shingle of all their words; documents are looked through for shingles of that many words.
 
 Candidates are settled by exact containment of the item's shingles in the whole document.
-Items are taken in blocks of a bounded number (``block_items``), each block against all rows.
+Items are taken in blocks of bounded size (``block_bytes`` of text), each block against all rows.
 """
 
 from __future__ import annotations
@@ -69,14 +70,20 @@ def size_class(n: int) -> int:
 
 
 class Sketches:
-    """The block's items: shingle sets, and by class and function their MinHash values."""
+    """The block's items: shingle sets, and by class and function their MinHash values; those of fewer
+    words than a shingle by their number of words, with their one hash."""
 
     def __init__(self, items: list[tuple[int, str]], n: int, hashes: int):
         self.n, self.mult = n, _functions(hashes)
-        self.sets = [(i, frozenset(shingles(bare_words(t), n))) for i, t in items]
-        self.sets = [x for x in self.sets if x[1]]
+        words = [(i, w) for i, t in items if (w := bare_words(t))]
+        self.sets = [(i, min(n, len(w)), frozenset(shingles(w, n))) for i, w in words]
         by: dict[int, list] = {}
-        for at, (_, own) in enumerate(self.sets):
+        short: dict[int, list] = {}
+        for at, (_, size, own) in enumerate(self.sets):
+            if size < n:
+                (text,) = own
+                short.setdefault(size, []).append((int(_hash_rows(text.split(), size, _MIX)[0]), at))
+                continue
             rows = np.unique(np.concatenate([_hash_rows(s.split(), n, _MIX) for s in own]))
             by.setdefault(size_class(len(own)), []).append((at, rows))
         self.classes = {}
@@ -85,6 +92,7 @@ class Sketches:
             order = np.argsort(values, axis=1)
             owner = np.array([at for at, _ in members])
             self.classes[u] = (np.take_along_axis(values, order, 1), owner[order])
+        self.short = {size: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([at for _, at in sorted(x)])) for size, x in short.items()}
 
 
 def _hits(found: np.ndarray, table: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
@@ -100,11 +108,11 @@ def _hits(found: np.ndarray, table: np.ndarray, owner: np.ndarray) -> set[tuple[
     return out
 
 
-def candidates(rows: np.ndarray, doc_of: np.ndarray, starts: np.ndarray, sketches: Sketches) -> set[tuple[int, int]]:
+def candidates(rows: np.ndarray, doc_of: np.ndarray, sketches: Sketches) -> set[tuple[int, int]]:
     """(document, item) pairs of which some window and item share a MinHash value.
 
     rows: shingle hashes of several documents, each padded to a whole number of BASE shingles by
-    repeating its last one; starts: where each begins; doc_of: document of each BASE block."""
+    repeating its last one; doc_of: document of each BASE block."""
     out: set[tuple[int, int]] = set()
     windows = sorted(u for u in sketches.classes if u > 1)
     for k, mult in enumerate(sketches.mult):
@@ -135,20 +143,24 @@ _CHUNK = 1 << 20
 
 def _search(shared, least: float):
     def found(ids: list, words: list[list[bytes]], s: Sketches):
-        parts, sizes = [], []
-        for w in words:
+        parts, sizes, pairs = [], [], set()
+        for d, w in enumerate(words):
+            for size, (table, owner) in s.short.items():
+                if len(w) >= size:
+                    pairs |= {(d, i) for _, i in _hits(np.unique(_hash_rows(w, size, _MIX)), table, owner)}
             r = _hash_rows(w, s.n, _MIX)
             parts += [r, np.repeat(r[-1:], -len(r) % BASE)]
             sizes.append((len(r) + BASE - 1) // BASE)
         sizes = np.array(sizes)
         doc_of = np.repeat(np.arange(len(words)), sizes)
-        pairs = candidates(np.concatenate(parts), doc_of, np.cumsum(sizes) - sizes, s)
-        own: dict[int, set] = {}
+        if s.classes:
+            pairs |= candidates(np.concatenate(parts), doc_of, s)
+        own: dict[tuple[int, int], set] = {}
         for d, i in sorted(pairs):
-            if d not in own:
-                own[d] = set(shingles(words[d], s.n))
-            item, want = s.sets[i]
-            n = len(want & own[d])
+            item, size, want = s.sets[i]
+            if (d, size) not in own:
+                own[d, size] = set(shingles(words[d], size))
+            n = len(want & own[d, size])
             if n >= least * len(want):
                 yield ids[d], item, n, len(want), n / len(want)
 
@@ -173,22 +185,24 @@ def _search(shared, least: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, least: float = 0.8, hashes: int = 64, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, least: float = 0.8, hashes: int = 64, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per (document, item) where the document holds at least ``least`` of the item's
     distinct shingles: doc_id, item_id, shared, item_shingles, containment.
 
     Words are compared without case and ASCII punctuation. Null and wordless texts and items match
-    nothing; an item of fewer words than a shingle is one shingle, found only in documents of just
-    those words. Repeated items and rows are reported for each. Empty tables: no rows.
-    Items are read by the driver in blocks of at most about ``block_items``.
+    nothing; an item of fewer words than a shingle is one shingle of all its words, found wherever
+    they follow each other. Repeated rows are reported for each; an item that repeats id and text is
+    one, and different texts of one id are looked for apart. Empty tables: no rows. Items are dealt
+    by a hash into blocks of about ``block_bytes`` of text, each sent to all tasks; one longer text
+    is a block's at least.
     """
     spark = docs.sparkSession
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].cast("string").alias("words")).filter(F.col("words").isNotNull())
-    blocks = 1 + items.count() // block_items
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].cast("string").alias("words")).filter(F.col("words").isNotNull()).distinct()
+    blocks = 1 + (items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0) // block_bytes
     rows = id_and_text(docs, id_col, text_col)
     out = None
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else items
         sketches = Sketches([tuple(r) for r in block.collect()], shingle, hashes)
         part = rows.mapInArrow(_search(spark.sparkContext.broadcast(sketches), least), _FOUND)
         out = part if out is None else out.unionByName(part)
@@ -196,8 +210,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns kept, that hold no item of the benchmark (see contaminated).
-    Rows with a null id cannot be named by a finding and stay."""
-    id_col = options.get("id_col", "doc_id")
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs, all columns kept, that hold no item of the benchmark (see contaminated). Rows
+    of one id go together; a row with a null id is judged by itself, known by a hash of its text."""
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    key = F.coalesce(docs[id_col].cast("long"), F.xxhash64(docs[text_col]))
+    bad = contaminated(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
 from .language_id import language_id
-from .licenses import MENTION, TEMPLATES, WORD, licence_scan, template_weights
+from .licenses import MENTION, TELLING, TEMPLATES, WORD, licence_scan, telling_of, template_weights
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .packing import best_fit_packing
@@ -56,8 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: each lies in a folder by source and language, and every fourth is
+    taken for the folder's licence file, so that what those say is inherited."""
     docs = _documents(spark, sf_dir)
-    return licence_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    return licence_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", name)))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,29 +86,37 @@ FROM documents o LEFT JOIN d USING (doc_id)
 OP7_SQL = r"""
 WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0)),
-ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT item_id, k, s FROM (SELECT item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, k, s FROM (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d JOIN (SELECT DISTINCT k FROM bs) ON len(w) >= k)),
 n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles) AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
+FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
 """
 
 def _op9_sql() -> str:
-    """Sentences that mention a licence against the templates; no path of a document is a licence file's."""
+    """Sentences that mention a licence, and whole licence files, against the templates; then the
+    best of the folder, or of the one above."""
     rows, unseen = template_weights()
-    weights = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE, {i!r}::DOUBLE)" for k, w, x, i in rows)
+    kinds = [telling_of(t) for _, t in TEMPLATES]
+    weights = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE, {i!r}::DOUBLE, '{kinds[k]}')" for k, w, x, i in rows)
     names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(TEMPLATES))
     parts = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))"
+    tells = ", ".join(f"'{w}'" for w in TELLING)
     return f"""
-WITH t AS (SELECT * FROM (VALUES {weights}) AS t(template, word, weight, idf)), names AS (SELECT * FROM (VALUES {names}) AS n(template, licence)),
-s AS (SELECT doc_id, unnest({parts}) AS s, generate_subscripts({parts}, 1) AS k FROM documents),
-w AS (SELECT doc_id, k, word, count(*) AS n FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(s), '{WORD}')) AS word FROM s WHERE regexp_matches(s, '{MENTION}')) GROUP BY ALL),
+WITH t AS (SELECT * FROM (VALUES {weights}) AS t(template, word, weight, idf, telling)), names AS (SELECT * FROM (VALUES {names}) AS n(template, licence)),
+d AS (SELECT doc_id, text, concat_ws('/', source, lang) AS folder, doc_id % 4 = 0 AS file FROM documents),
+s AS (SELECT doc_id, unnest({parts}) AS s, generate_subscripts({parts}, 1) AS k, false AS whole FROM d UNION ALL SELECT doc_id, text, 0, true FROM d WHERE file),
+bags AS (SELECT doc_id, k, whole, regexp_extract_all(lower(s), '{WORD}') AS bag FROM s WHERE whole OR regexp_matches(s, '{MENTION}')),
+w AS (SELECT doc_id, k, whole, telling, word, count(*) AS n FROM (SELECT doc_id, k, whole, array_to_string(list_sort(list_distinct(list_filter(bag, lambda x: x IN ({tells})))), ' ') AS telling, unnest(bag) AS word FROM bags) GROUP BY ALL),
 norms AS (SELECT doc_id, k, sqrt(sum((n * coalesce(idf, {unseen!r})) ^ 2)) AS norm FROM w LEFT JOIN (SELECT DISTINCT word, idf FROM t) USING (word) GROUP BY ALL),
-dots AS (SELECT doc_id, k, template, sum(n * idf * weight) AS dot FROM w JOIN t USING (word) GROUP BY ALL),
-best AS (SELECT doc_id, template, dot / norm AS score FROM dots JOIN norms USING (doc_id, k) WHERE dot / norm >= 0.6),
-top AS (SELECT doc_id, max((score, -template)) AS m FROM best GROUP BY doc_id)
-SELECT documents.doc_id, licence, round(m[1], 6) AS score, CASE WHEN licence IS NOT NULL THEN 'header' END AS origin
-FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN names ON names.template = -m[2]
+dots AS (SELECT doc_id, k, whole, template, sum(n * idf * weight) AS dot FROM w JOIN t USING (word, telling) GROUP BY ALL),
+best AS (SELECT doc_id, whole, licence, round(max(dot / norm), 6) AS score FROM dots JOIN norms USING (doc_id, k) JOIN names USING (template) WHERE dot / norm >= 0.6 GROUP BY ALL),
+own AS (SELECT doc_id, min((NOT whole, -score, licence)) AS m, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM best GROUP BY doc_id),
+given AS (SELECT folder, min((-m[2], m[3])) AS g FROM own JOIN d USING (doc_id) WHERE file GROUP BY folder),
+up AS (SELECT d.doc_id, coalesce(a.g, b.g, c.g) AS g FROM d LEFT JOIN given a ON a.folder = d.folder LEFT JOIN given b ON contains(d.folder, '/') AND b.folder = string_split(d.folder, '/')[1] LEFT JOIN given c ON c.folder = '')
+SELECT doc_id, coalesce(m[3], g[2]) AS licence, coalesce(licences, g[2]) AS licences, coalesce(-m[2], -g[1]) AS score,
+       CASE WHEN m IS NOT NULL THEN CASE WHEN m[1] THEN 'header' ELSE 'file' END WHEN g IS NOT NULL THEN 'directory' END AS origin
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN up USING (doc_id)
 """
 
 
