@@ -13,6 +13,7 @@ from ..cube import Cube
 from ..detect import infer_frequency, spatial_info
 from ..operators import climatology, ensemble, rates, spatial, temporal
 from ..operators import reduce as core
+from ..shared import shared_path
 from ..sources import from_csv, from_parquet, from_wide, geojson, to_parquet
 from ..streaming import resample_stream
 from .queries import _BOXES, _GRID, _W, _daily_grid, _regions, agg_sql, by_type, daily_events, events, gridded, hourly_totals, query, tidy
@@ -22,12 +23,6 @@ _DAILY = "(SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS t, sum(value)
 _HOLES = "(SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS t, CASE WHEN sum(value) > 120 THEN sum(value) END AS v FROM events GROUP BY ALL)"
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def holes(spark: SparkSession, sf_dir: str) -> Cube:
     cube = daily_events(spark, sf_dir)
     return cube.with_df(cube.df.withColumn("value", F.when(F.col("value") > 120, F.col("value"))))
@@ -42,7 +37,7 @@ def source_parquet(spark, sf_dir):
 
 @query("SELECT event_type, round(max(value) + 1e-8, 6) AS value FROM events GROUP BY event_type")
 def source_csv(spark, sf_dir):
-    path = _shared(spark, "csv")
+    path = shared_path(spark, "csv")
     by_type(spark, sf_dir).df.select("event_type", "event_id", "value").write.csv(path, header=True)
     return tidy(core.reduce(from_csv(spark, path, "event_type string, event_id long, value double", ("event_type", "event_id")), "max", dim="event_id"))
 
@@ -55,7 +50,7 @@ def source_wide(spark, sf_dir):
 
 @query(f"SELECT event_type, t, round(v + 1e-8, 6) AS value FROM {_DAILY}")
 def sink_parquet(spark, sf_dir):
-    path = _shared(spark, "cube")
+    path = shared_path(spark, "cube")
     to_parquet(daily_events(spark, sf_dir), path, partition_by="event_type")
     return tidy(Cube.of(spark.read.parquet(path).select("event_type", "ts", "value"), ("event_type", "ts")))
 
@@ -67,7 +62,7 @@ def source_geojson(spark, sf_dir):
 
     shapes = {"north": ("Polygon", [ring(-95, 5, 95, 65)]), "south": ("MultiPolygon", [[ring(-185, -85, 55, -15)]]), "none": ("Polygon", [ring(171, 71, 174, 74)])}
     found = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"region": n}, "geometry": {"type": kind, "coordinates": at}} for n, (kind, at) in shapes.items()]}
-    path = _shared(spark, "geojson")
+    path = shared_path(spark, "geojson")
     spark.createDataFrame([(json.dumps(found),)], "value string").write.text(path)
     return tidy(spatial.reduce(_daily_grid(spark, sf_dir), geojson(spark, path, "region string"), "mean", mask_dim="region"))
 
@@ -257,6 +252,6 @@ def stream_daily_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"daily_{uuid.uuid4().hex}"
     source = spark.readStream.schema("ts timestamp_ntz, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = resample_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "D", "sum", time="ts", keys="event_type", values="value", watermark="1 day")
-    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
+    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("event_type", F.col("ts").cast("timestamp_ntz").alias("t"), F.round(F.col("value") + 1e-8, 6).alias("value"))

@@ -44,3 +44,11 @@ def test_stream_resample(spark, tmp_path):
     q.awaitTermination(60)
     assert [r.v for r in spark.table("daily").orderBy("ts").collect()] == [11.5, 35.5]
     assert spark.table("daily").filter(F.col("k") == "a").count() == 2
+
+
+def test_shared_folder(spark):
+    from gridloom.shared import clean_up, shared_dir, written
+
+    rows = written(spark.range(5).toDF("n"), "numbers")
+    assert rows.count() == 5 and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert clean_up(spark) and not clean_up(spark)
