@@ -1,32 +1,13 @@
-"""What the text operators share: the shared folder, written tables and the ASCII word rule."""
+"""What the text operators share: written tables, the id and text of documents, the ASCII word rule."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_SHARED = "/tmp/checkpoints/gridloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; set here only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
-    return LOCAL_SHARED
-
+from ..shared import written
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs only its unfinished tasks. Each call has a folder of its own."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_words", "id_and_text", "shuffle_partitions", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

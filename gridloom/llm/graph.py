@@ -1,7 +1,11 @@
-"""Connected components by alternating large-star and small-star steps, all in DataFrames."""
+"""Connected components by alternating large-star and small-star steps, all in DataFrames. Before the
+first and after each, every task draws its own links together in bounded batches, which takes most
+of the steps that paths would need."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,36 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") > F.col("b")).distinct()
 
 
+def _least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable by these links) of the nodes that are not the least themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while ((u := label[x]) != (v := label[y])).any():
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
+
+
+def _drawn_together(batches, most: int = 1 << 20):
+    """Of about ``most`` links at a time, a link from each node to the least that it reaches."""
+
+    def emit(parts):
+        a, b = _least_reachable(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts, held = [], 0
+    for batch in batches:
+        parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held += len(batch)
+        if held >= most:
+            yield emit(parts)
+            parts, held = [], 0
+    if parts:
+        yield emit(parts)
+
+
 def _state(edges: DataFrame) -> tuple:
     """Changes whenever a step changes the edges."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -33,12 +67,13 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long), component being the least
     node reachable. Self-links and repeated edges are harmless; no edges give no rows. Each step
     is written to the shared folder. Nodes without edges are for the caller to add."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "cc")
+    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
+    now = written(links.mapInArrow(_drawn_together, "a long, b long").distinct(), "cc")
     before = _state(now)
     for _ in range(max_steps):
         if not before[0]:
             break
-        now = written(_star(written(_star(now, True), "cc"), False), "cc")
+        now = written(_star(written(_star(now, True), "cc"), False).mapInArrow(_drawn_together, "a long, b long").distinct(), "cc")
         after = _state(now)
         if after == before:
             break
