@@ -5,7 +5,9 @@ with n / (N + distinct), escapes with distinct / (N + distinct) to the next shor
 symbols already offered there are excluded; below order 0 all symbols are equally likely. The
 statistics are frozen after fitting, so each (context, symbol) has one exact code length, worked
 out once per node. Scoring a text is then a walk over its bytes: find the longest known context,
-add that node's code length under each language. The language with the shortest code wins.
+add that node's code length under each language. The language with the shortest code wins. Trees of
+up to ``DENSE_BYTES`` are laid out with a code length for every symbol at every context; larger ones
+keep those that were seen and the escapes between, and walk down the orders, to the same lengths.
 
 Fitting uses a bounded sample of labelled rows (``sample_per_lang``, expected documents a
 language, chosen by a hash of the id); every document is scored over its whole text.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 
 ORDER = 3
+DENSE_BYTES = 128 << 20
 UNKNOWN = "und"
 
 
@@ -129,6 +132,61 @@ def frozen_trees(counts: list[tuple[str, int, int]]) -> FrozenTrees:
     return FrozenTrees(langs, known, cost, short)
 
 
+@dataclass(frozen=True)
+class SparseTrees:
+    """langs; for each, by order from the highest to 1: sorted grams (context and symbol) with their
+    code lengths, sorted contexts with those of their escapes; and the row of order 0."""
+
+    langs: list[str]
+    orders: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    base: list[np.ndarray]
+
+
+def sparse_trees(counts: list[tuple[str, int, int]]) -> SparseTrees:
+    """The same trees as frozen_trees, as large as what was seen."""
+    langs = sorted({x[0] for x in counts})
+    orders, base = [], []
+    for lang in langs:
+        gram, n = (np.array([x[k] for x in counts if x[0] == lang], t) for k, t in ((1, np.int64), (2, np.float64)))
+        row = _ppm_rows(np.full((1, SYMBOLS), 1 / SYMBOLS), np.bincount(gram % SYMBOLS, n, SYMBOLS)[None])[0]
+        levels: list = []
+
+        def lower(keys: np.ndarray, levels=levels, row=row) -> np.ndarray:
+            """Code length of grams (context and symbol) by the orders made so far."""
+            return _walked(keys, levels[::-1], row)
+
+        for order in range(1, ORDER + 1):
+            keys, at = np.unique(gram % SYMBOLS ** (order + 1), return_inverse=True)
+            times = np.bincount(at, n)
+            contexts, of = np.unique(keys // SYMBOLS, return_inverse=True)
+            total, distinct = np.bincount(of, times), np.bincount(of)
+            mass = 1 - np.bincount(of, np.exp(-lower(keys % SYMBOLS**order)))
+            more = distinct < SYMBOLS
+            whole = total + np.where(more, distinct, 0)
+            with np.errstate(divide="ignore"):
+                escape = np.where(more, -np.log(distinct / whole / np.maximum(mass, 1e-300)), 0.0)
+            levels.append((keys, -np.log(times / whole[of]), contexts, escape))
+        orders.append(levels[::-1])
+        base.append(-np.log(row))
+    return SparseTrees(langs, orders, base)
+
+
+def _walked(grams: np.ndarray, levels: list, base_row: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams))
+    left = np.arange(len(grams))
+    for order, (keys, length, contexts, escape) in zip(range(len(levels), 0, -1), levels, strict=True):
+        key = grams[left] % SYMBOLS ** (order + 1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        out[left[hit]] += length[at[hit]]
+        left, key = left[~hit], key[~hit]
+        up = np.minimum(np.searchsorted(contexts, key // SYMBOLS), len(contexts) - 1)
+        known = contexts[up] == key // SYMBOLS
+        out[left[known]] += escape[up[known]]
+    out[left] += -np.log(base_row[grams[left] % SYMBOLS])
+    return out
+
+
 def _states(model: FrozenTrees) -> np.ndarray:
     """State of every context number: three known symbols, else two, else one."""
     context = np.tile(model.short, SYMBOLS)
@@ -140,15 +198,16 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def code_lengths(texts: list[str], model: FrozenTrees, states: np.ndarray) -> np.ndarray:
+def code_lengths(texts: list[str], model: FrozenTrees | SparseTrees, states: np.ndarray | None) -> np.ndarray:
     """Exact code length in nats of each whole text under each language."""
     sym, starts = _symbols(texts)
     gram = _grams(sym)
-    node = states[gram // SYMBOLS].astype(np.int64) * SYMBOLS + sym
     pad = (starts[:-1, None] + np.arange(ORDER)).ravel()
     out = np.empty((len(texts), len(model.langs)))
-    for i, cost in enumerate(model.cost):
-        bits = cost[node].astype(np.float64)
+    dense = isinstance(model, FrozenTrees)
+    node = states[gram // SYMBOLS].astype(np.int64) * SYMBOLS + sym if dense else gram
+    for i in range(len(model.langs)):
+        bits = model.cost[i][node].astype(np.float64) if dense else _walked(node, model.orders[i], np.exp(-model.base[i]))
         bits[pad] = 0
         out[:, i] = np.add.reduceat(bits, starts[:-1])
     return out
@@ -161,7 +220,7 @@ _CHUNK = 1 << 20
 def _score(model):
     def run(batches):
         trees = model.value
-        states = _states(trees) if trees.langs else None
+        states = _states(trees) if trees.langs and isinstance(trees, FrozenTrees) else None
         for batch in batches:
             ids, texts, held = (batch.column(k).to_pylist() for k in range(3))
             pred: list = [UNKNOWN] * len(ids)
@@ -184,14 +243,17 @@ def _score(model):
     return run
 
 
-def fit_trees(source: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sample_per_lang: int = 3000) -> FrozenTrees:
-    """Trees of a bounded sample of the labelled rows outside the held-out fold."""
+def fit_trees(source: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sample_per_lang: int = 3000, dense_bytes: int = DENSE_BYTES) -> FrozenTrees | SparseTrees:
+    """Trees of a bounded sample of the labelled rows outside the held-out fold; what comes to the
+    driver and goes to the tasks is bounded by the sample."""
     labelled = source.select(source[id_col].cast("long").alias("doc_id"), source[text_col].cast("string").alias("text"), source[lang_col].cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~_held(folds, held_fold))
     sizes = labelled.groupBy("lang").count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sampled = labelled.join(F.broadcast(sizes), "lang").filter(place * F.col("count") < sample_per_lang).select("lang", "text")  # a row per language
     grams = sampled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = list(grams.toPandas().itertuples(index=False, name=None))  # languages x seen contexts of three symbols
+    if counts and 4 * len({x[0] for x in counts}) * (len({x[1] // SYMBOLS for x in counts}) + SYMBOLS) * SYMBOLS > dense_bytes:
+        return sparse_trees(counts)
     return frozen_trees(counts) if counts else FrozenTrees([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.int32))
 
 
@@ -199,7 +261,7 @@ def _held(folds: int, held_fold: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
 
 
-def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sample_per_lang: int = 3000, train: DataFrame | None = None) -> DataFrame:
+def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sample_per_lang: int = 3000, dense_bytes: int = DENSE_BYTES, train: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, nats_per_byte.
 
     Learns from rows with text and lang whose crc32(doc_id as text) mod ``folds`` is not
@@ -208,7 +270,7 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null texts, texts without a letter, and all texts where nothing could be learned give ``und``
     and score 0; ties go to the first language by name. Repeated rows are scored alike.
     """
-    model = fit_trees(docs if train is None else train, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, held_fold=held_fold, sample_per_lang=sample_per_lang)
+    model = fit_trees(docs if train is None else train, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, held_fold=held_fold, sample_per_lang=sample_per_lang, dense_bytes=dense_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.select("doc_id", "text", _held(folds, held_fold).alias("held_out")).mapInArrow(_score(shared), _SCORED)

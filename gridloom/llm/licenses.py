@@ -110,7 +110,8 @@ def header_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.6)
     files = F.when(F.col("path").rlike(LICENCE_FILE), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("s")))).otherwise(F.array().cast("array<struct<whole:boolean,s:string>>"))
     headers = mentions.select("row", F.posexplode(F.concat(sentences, files)).alias("k", "h"))
     bags = headers.select("row", "k", "h.whole", F.regexp_extract_all(F.lower("h.s"), F.lit(WORD), F.lit(0)).alias("bag"))
-    words = bags.select("row", "k", "whole", telling(F.col("bag")).alias("telling"), F.explode("bag").alias("word")).groupBy("row", "k", "whole", "telling", "word").agg(F.count("*").alias("n"))
+    told = bags.withColumn("telling", telling(F.col("bag"))).filter(F.col("telling").isin(sorted(set(kinds))))  # below the explode: once for each header
+    words = told.select("row", "k", "whole", "telling", F.explode("bag").alias("word")).groupBy("row", "k", "whole", "telling", "word").agg(F.count("*").alias("n"))
     idf = table.select("word", "idf").distinct()
     norms = words.join(F.broadcast(idf), "word", "left").groupBy("row", "k").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(unseen))) ** 2)).alias("norm"))
     dots = words.join(F.broadcast(table), ["word", "telling"]).groupBy("row", "k", "whole", "template").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))

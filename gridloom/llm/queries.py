@@ -56,10 +56,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: each lies in a folder by source and language, and every fourth is
+    """Documents have no paths: each lies in a folder by source and language, and every twentieth is
     taken for the folder's licence file, so that what those say is inherited."""
     docs = _documents(spark, sf_dir)
-    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    name = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
     return licence_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", name)))
 
 
@@ -104,7 +104,7 @@ def _op9_sql() -> str:
     tells = ", ".join(f"'{w}'" for w in TELLING)
     return f"""
 WITH t AS (SELECT * FROM (VALUES {weights}) AS t(template, word, weight, idf, telling)), names AS (SELECT * FROM (VALUES {names}) AS n(template, licence)),
-d AS (SELECT doc_id, text, concat_ws('/', source, lang) AS folder, doc_id % 4 = 0 AS file FROM documents),
+d AS (SELECT doc_id, text, concat_ws('/', source, lang) AS folder, doc_id % 20 = 0 AS file FROM documents),
 s AS (SELECT doc_id, unnest({parts}) AS s, generate_subscripts({parts}, 1) AS k, false AS whole FROM d UNION ALL SELECT doc_id, text, 0, true FROM d WHERE file),
 bags AS (SELECT doc_id, k, whole, regexp_extract_all(lower(s), '{WORD}') AS bag FROM s WHERE whole OR regexp_matches(s, '{MENTION}')),
 w AS (SELECT doc_id, k, whole, telling, word, count(*) AS n FROM (SELECT doc_id, k, whole, array_to_string(list_sort(list_distinct(list_filter(bag, lambda x: x IN ({tells})))), ' ') AS telling, unnest(bag) AS word FROM bags) GROUP BY ALL),
@@ -112,7 +112,7 @@ norms AS (SELECT doc_id, k, sqrt(sum((n * coalesce(idf, {unseen!r})) ^ 2)) AS no
 dots AS (SELECT doc_id, k, whole, template, sum(n * idf * weight) AS dot FROM w JOIN t USING (word, telling) GROUP BY ALL),
 best AS (SELECT doc_id, whole, licence, round(max(dot / norm), 6) AS score FROM dots JOIN norms USING (doc_id, k) JOIN names USING (template) WHERE dot / norm >= 0.6 GROUP BY ALL),
 own AS (SELECT doc_id, min((NOT whole, -score, licence)) AS m, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM best GROUP BY doc_id),
-given AS (SELECT folder, min((-m[2], m[3])) AS g FROM own JOIN d USING (doc_id) WHERE file GROUP BY folder),
+given AS (SELECT folder, min((m[2], m[3])) AS g FROM own JOIN d USING (doc_id) WHERE file GROUP BY folder),
 up AS (SELECT d.doc_id, coalesce(a.g, b.g, c.g) AS g FROM d LEFT JOIN given a ON a.folder = d.folder LEFT JOIN given b ON contains(d.folder, '/') AND b.folder = string_split(d.folder, '/')[1] LEFT JOIN given c ON c.folder = '')
 SELECT doc_id, coalesce(m[3], g[2]) AS licence, coalesce(licences, g[2]) AS licences, coalesce(-m[2], -g[1]) AS score,
        CASE WHEN m IS NOT NULL THEN CASE WHEN m[1] THEN 'header' ELSE 'file' END WHEN g IS NOT NULL THEN 'directory' END AS origin

@@ -1,5 +1,6 @@
 """Language ID, scoring, personal data, secrets, licences, decontamination, packing, pipeline."""
 
+import functools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -53,6 +55,63 @@ def test_ppm_code_length_by_hand():
     assert row[6] == pytest.approx(2 / 3, rel=1e-5) and row[7] == pytest.approx(1 / 3 * 1 / (s - 1), rel=1e-4)
 
 
+def plain_ppm(texts, lang_texts):
+    """Code lengths in nats by counts in dicts, escapes and exclusions step by step."""
+    s = language_id.SYMBOLS
+
+    def symbols(t):
+        return [0] * 3 + [int(language_id.CLASSES[b]) for b in t.encode()]
+
+    counts: dict = {}
+    for t in lang_texts:
+        sym = symbols(t)
+        for k in range(3, len(sym)):
+            for order in range(4):
+                counts.setdefault(tuple(sym[k - order : k]), Counter())[sym[k]] += 1
+
+    @functools.cache
+    def nats(context, x):
+        seen = {y: n for y, n in counts.get(context, {}).items()}
+        if not context:
+            total, rest = sum(seen.values()), s - len(seen)
+            whole = total + (len(seen) if rest else 0)
+            return -math.log(seen[x] / whole if x in seen else len(seen) / whole / rest)
+        if not seen:
+            return nats(context[1:], x)
+        rest = s - len(seen)
+        whole = sum(seen.values()) + (len(seen) if rest else 0)
+        if x in seen:
+            return -math.log(seen[x] / whole)
+        mass = sum(math.exp(-nats(context[1:], y)) for y in range(s) if y not in seen)
+        return -math.log(len(seen) / whole / mass) + nats(context[1:], x)
+
+    return [sum(nats(tuple(sym[k - 3 : k]), sym[k]) for k in range(3, len(sym))) for sym in map(symbols, texts)]
+
+
+def test_ppm_code_lengths_of_texts():
+    """Whole texts against a plain scorer, by the dense trees and the sparse ones."""
+    rng = random.Random(13)
+    train = {k: [prose(rng, 25, k) for _ in range(4)] for k in ("aa", "bb")}
+    texts = [prose(rng, 12, "aa"), prose(rng, 12, "bb"), "Zürich 42!", "x", "ba" * 40]
+    counts = []
+    for lang, own in train.items():
+        (batch,) = language_id._count([pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "text": own})])
+        counts += list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+    dense, sparse = language_id.frozen_trees(counts), language_id.sparse_trees(counts)
+    got = language_id.code_lengths(texts, dense, language_id._states(dense))
+    for i, lang in enumerate(dense.langs):
+        assert got[:, i] == pytest.approx(plain_ppm(texts, train[lang]), rel=1e-5)
+    assert language_id.code_lengths(texts, sparse, None) == pytest.approx(got, rel=1e-5)
+
+
+def test_language_id_of_large_trees(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 40, "aa" if k % 2 else "bb") for k in range(40)] + ["12", None]
+    docs = documents(spark, texts, lang={k: "aa" if k % 2 else "bb" for k in range(40)})
+    dense, sparse = ({r.doc_id: r for r in language_id.language_id(docs, dense_bytes=n).collect()} for n in (10**9, 0))
+    assert all(dense[k].lang_pred == sparse[k].lang_pred and dense[k].nats_per_byte == pytest.approx(sparse[k].nats_per_byte) for k in dense)
+
+
 def test_keep_languages(spark):
     rng = random.Random(2)
     texts = [prose(rng, 60, "aa" if k % 2 else "bb") for k in range(20)] + [None, "12", "Qx7#~Jz9@Kw3%Vb6^Yf1&" * 20]
