@@ -21,9 +21,13 @@ from pyspark.sql.window import Window
 MIN_LENGTH = 16
 _RUN = r"[A-Za-z0-9_+/=\-]"
 _KEY = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)"
-_GIVEN = rf"(?<=[=:\x22'\x20])(?<=(?i:{_KEY})[\x22']?\x20{{0,2}}[=:]\x20{{0,2}}[\x22']?)[^\s\x22'=:,;<>()]{{4,}}"
-_LONG = rf"(?<!{_RUN}|{_RUN}\.)(?=[A-Za-z_+/=\-]*[0-9]|[A-Z]*[a-z]+[A-Z]|[A-Za-z0-9_\-]{{2,12}}\.)(?:{_RUN}{{{MIN_LENGTH},}}|[A-Za-z0-9_\-]{{2,12}}\.(?={_RUN}{{{MIN_LENGTH},}}\.{_RUN}{{{MIN_LENGTH}}}){_RUN}{{{MIN_LENGTH},}})(?:\.{_RUN}{{{MIN_LENGTH},}}+)*+"
+_BEFORE_VALUE = rf"(?i:{_KEY})[\x22']?\x20{{0,2}}[=:]"
+_GIVEN = rf"(?<=[=:]\x20{{0,2}}[\x22']?)(?<={_BEFORE_VALUE}\x20{{0,2}}[\x22']?)[^\s\x22'=:,;<>()]{{4,}}"
+_MIXED = rf"(?={_RUN}{{{MIN_LENGTH}}})(?:[A-Za-z_+/=\-]*+[0-9]|[A-Z]*+[a-z]++[A-Z])"
+_LONG = rf"(?<!{_RUN})(?=(?:[A-Za-z0-9_\-]{{2,12}}\.)?{_MIXED})(?<!{_RUN}\.)(?:{_RUN}{{{MIN_LENGTH},}}|[A-Za-z0-9_\-]{{2,12}}\.(?={_RUN}{{{MIN_LENGTH},}}\.{_RUN}{{{MIN_LENGTH}}}){_RUN}{{{MIN_LENGTH},}})(?:\.{_RUN}{{{MIN_LENGTH},}}+)*+"
 CANDIDATE = rf"{_GIVEN}|{_LONG}"
+#: What every text with a candidate has, without looking back from each of its places.
+HINTS = (rf"[=:](?<={_BEFORE_VALUE})", rf"(?<!{_RUN}){_MIXED}")
 BEFORE, AFTER = 48, 24
 
 #: Words that stand in names, not in secrets; coverage by them speaks against a secret.
@@ -53,8 +57,8 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, start, end, value, before, after, path): start and end in code points, end exclusive."""
     path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
     text = F.col("text")
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(path, F.lit("")).alias("path")).filter(text.rlike(CANDIDATE))
-    parts = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(path, F.lit("")).alias("path")).filter(text.rlike(HINTS[0]) | text.rlike(HINTS[1]))
+    parts = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"), F.monotonically_increasing_id().alias("row")).filter(F.size("found") > 0)
     zipped = F.zip_with(F.col("found"), F.slice("between", F.lit(1), F.size("found")), lambda v, b: F.struct(v.alias("value"), F.right(b, F.lit(BEFORE)).alias("before"), F.length(b).alias("gap")))
     after = F.transform(F.slice("between", F.lit(2), F.size("found")), lambda x: F.left(x, F.lit(AFTER)))
     each = parts.select("doc_id", "path", "row", F.posexplode(F.arrays_zip(zipped.alias("z"), after.alias("after"))).alias("k", "x")).select("doc_id", "path", "row", "k", "x.z.value", "x.z.before", "x.z.gap", "x.after")
