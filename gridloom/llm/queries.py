@@ -17,6 +17,7 @@ from .packing import best_fit_packing
 from .pii import digest, personal_data
 from .secrets import labelled_findings, secret_scan
 from .simhash import simhash_components
+from .whitening import whitened
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(_documents(spark, sf_dir))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 #: All pairs of distinct lines of 16 characters or more and like length; a third of one without an edit lies in the other. DuckDB counts edits in bytes,
 #: so each accented letter of the tables is first made one control character.
 OP1_SQL = r"""
@@ -137,5 +142,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_licence_scan": op9_licence_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL}
