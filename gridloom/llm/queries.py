@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
 from .language_id import language_id
@@ -68,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(_documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_licence_scan": op9_licence_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL}
