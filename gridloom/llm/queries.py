@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .collocations import collocations
 from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
+from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .licenses import MENTION, TELLING, TEMPLATES, WORD, licence_scan, telling_of, template_weights
 from .line_dedup import dedup_lines
@@ -69,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(_documents(spark, sf_dir))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_licence_scan": op9_licence_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
