@@ -14,7 +14,7 @@ from ..detect import infer_frequency, spatial_info
 from ..operators import climatology, ensemble, rates, spatial, temporal
 from ..operators import reduce as core
 from ..shared import shared_path
-from ..sources import from_csv, from_parquet, from_wide, geojson, to_parquet
+from ..sources import from_csv, from_netcdf, from_parquet, from_wide, geojson, to_netcdf, to_parquet
 from ..streaming import resample_stream
 from .queries import _BOXES, _GRID, _W, _daily_grid, _regions, agg_sql, by_type, daily_events, events, gridded, hourly_totals, query, tidy
 
@@ -55,6 +55,26 @@ def sink_parquet(spark, sf_dir):
     return tidy(Cube.of(spark.read.parquet(path).select("event_type", "ts", "value"), ("event_type", "ts")))
 
 
+def grid_by_day(spark: SparkSession, sf_dir: str) -> Cube:
+    cells = gridded(spark, sf_dir)
+    return core.resample(cells, "D", "sum", time_dim="ts", extra_reduce_dims=("event_type", "event_id"))
+
+
+#: Days from the tenth on, and the rows of the northern half.
+_NORTH_LATER = f"SELECT lat, date_trunc('day', ts)::TIMESTAMP AS t, round(sum(value) + 1e-8, 6) AS value FROM {_GRID} WHERE lat >= 0 AND ts >= TIMESTAMP '2024-01-10' GROUP BY ALL"
+
+
+@query(_NORTH_LATER)
+def source_netcdf(spark, sf_dir):
+    """The daily grid as NetCDF files, read back as far as filters on its dimensions leave."""
+    path = shared_path(spark, "netcdf")
+    daily = grid_by_day(spark, sf_dir)
+    to_netcdf(Cube(daily.df, ("ts", "lat", "lon"), daily.vars), path)
+    cube = from_netcdf(spark, path, "value")
+    some = cube.with_df(cube.df.filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("lat") >= 0) & F.col("value").isNotNull()))
+    return tidy(core.reduce(some, "sum", dim="lon"))
+
+
 @query(f"SELECT region, round(avg(value) + 1e-8, 6) AS value FROM {_BOXES} LEFT JOIN (SELECT lat, lon, sum(value) AS value FROM {_GRID} GROUP BY ALL) ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1 GROUP BY ALL")
 def source_geojson(spark, sf_dir):
     def ring(x0, y0, x1, y1):
@@ -129,12 +149,12 @@ for _how, _sql in {
     "argmin": "arg_min(i, v)",
     "argmax": "arg_max(i, v)",
     "any": "bool_or(v <> 0)",
-    "all": "bool_and(v <> 0)",
+    "every": "bool_and(v <> 0)",
 }.items():
 
     @query(f"SELECT event_type, {_sql} AS value FROM {_ONCE} GROUP BY event_type", f"reduce_{_how}")
     def _(spark, sf_dir, how=_how):
-        return tidy(core.reduce(daily_events(spark, sf_dir), how, dim="ts"))
+        return tidy(core.reduce(daily_events(spark, sf_dir), {"every": "all"}.get(how, how), dim="ts"))
 
 
 @query(f"SELECT event_type, round(product(1 + v / 1e6) + 1e-8, 6) AS value FROM {_DAILY} GROUP BY event_type")

@@ -22,8 +22,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str, name: str | None = None):
     def register(f):
-        QUERIES[name or f.__name__] = f
-        ORACLE_SQL[name or f.__name__] = sql
+        key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"there is a query {key!r} already")
+        QUERIES[key], ORACLE_SQL[key] = f, sql
         return f
 
     return register

@@ -1,5 +1,6 @@
 """Cubes and features from files, and cubes to files."""
 
 from .files import from_csv, from_parquet, from_wide, geojson, to_array_rows, to_parquet
+from .netcdf import from_netcdf, to_netcdf
 
-__all__ = ["from_csv", "from_parquet", "from_wide", "geojson", "to_array_rows", "to_parquet"]
+__all__ = ["from_csv", "from_netcdf", "from_parquet", "from_wide", "geojson", "to_array_rows", "to_netcdf", "to_parquet"]
