@@ -6,8 +6,8 @@ T = ceil(s * (n1 + n2) / (1 + s)) shingles, and so at least ceil(s * n) of eithe
 1. List lengths. How many documents hold a shingle is counted over all of them, by hash in a table of
    fixed size (bincount in each task, summed by ranges); it orders each record's lists.
 2. Blocks. Records go to index blocks of bounded size by the least hash of their set, which most
-   links share. A record is sent as a query to every block above its own in which one of its
-   n - ceil(s * n) + 1 shortest lists has an entry: no link can do without one.
+   links share. A record's n - ceil(s * n) + 1 + c shortest lists are looked at: a link needs entries in more
+   than c of them. So a record is sent as a query to every block above its own that has as many.
 3. Search. A block's records are turned into inverted lists. For each query the longest lists are set
    aside (DivideSkip), the short ones are merged, and what they hold often enough is looked for in the long
    ones by binary search. The merge of the sorted lists is numpy's stable sort, which merges runs,
@@ -53,8 +53,8 @@ def _lengths(shingle: int):
     def run(batches):
         total = np.zeros(1 << LENGTH_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(_slot(shingle_set(text, shingle)), minlength=len(total))
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            total += np.bincount(_slot(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=len(total))
         ranges = total.reshape(-1, 1 << RANGE_BITS)
         used = np.flatnonzero(ranges.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([ranges[k].tobytes() for k in used], pa.binary())], names=["range", "counts"])
@@ -94,6 +94,21 @@ def _least_shared(n, s: Fraction):
     return -(-s.numerator * n // s.denominator)
 
 
+def _extra(n, s: Fraction):
+    """Lists looked at beyond those without which no link can be."""
+    return _least_shared(n, s) // 8
+
+
+def _keys(x: np.ndarray) -> bytes:
+    """48 bits of each hash, packed: entries that agree in them are taken for one list's."""
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def _keys_of(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | (np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
 def _marks(shared, shingle: int, s: Fraction):
     """(doc_id, same, n, low, short) of (doc_id, text): a digest of the set, its size, its least hash
     and its shortest lists, packed."""
@@ -102,16 +117,21 @@ def _marks(shared, shingle: int, s: Fraction):
         lengths = np.frombuffer(shared.value, np.uint32)
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            short = [x[np.lexsort((x, lengths[_slot(x)]))][: len(x) - _least_shared(len(x), s) + 1] for x in sets]
+            short = [x[np.lexsort((x, lengths[_slot(x)]))][: len(x) - _least_shared(len(x), s) + 1 + _extra(len(x), s)] for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())]
-                + [pa.array([int(x[0]) >> 1 if len(x) else None for x in sets], pa.int64()), pa.array([x.tobytes() for x in short], pa.binary())],
+                + [pa.array([int(x[0]) >> 1 if len(x) else None for x in sets], pa.int64()), pa.array([_keys(x) for x in short], pa.binary())],
                 names=["doc_id", "same", "n", "low", "short"],
             )
 
     return run
 
 
+def _spread(key: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits in the places that _keys takes them from."""
+    return (key & np.uint64(0xFFFFFFFF)) | (key >> np.uint64(32) << np.uint64(48))
+
+
 def _entries(shards: int):
     """Rows (node, block, short): entries of the lists, packed by shard of the shingle's hash."""
 
@@ -120,20 +140,22 @@ def _entries(shards: int):
 
         def emit():
             nonlocal parts, held
+            parts.sort(key=lambda p: p[0])
             key = np.concatenate([p[2] for p in parts])
             node, block = (np.repeat([p[k] for p in parts], [len(p[2]) for p in parts]).astype(np.int64) for k in range(2))
-            shard = ((key >> np.uint64(11)) % np.uint64(shards)).astype(np.int64)
+            shard = (key % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             own, lo = np.unique(shard[order], return_index=True)
             cuts = [*lo.tolist(), len(order)]
             parts, held = [], 0
             for k in range(0, len(own), 256):
                 rows = [order[a:b] for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 256], pa.int64()), *(pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (key, node, block))], names=["shard", "key", "node", "block"])
+                columns = [[_keys(_spread(key[r])) for r in rows], [np.diff(node[r], prepend=0).tobytes() for r in rows], [block[r].tobytes() for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 256], pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["shard", "key", "node", "block"])
 
         for batch in batches:
             for node, block, short in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parts.append((node, block, np.frombuffer(short, np.uint64)))
+                parts.append((node, block, _keys_of(short)))
                 held += len(parts[-1][2])
                 if held >= PACK:
                     yield from emit()
@@ -167,36 +189,37 @@ def _wanted(key: np.ndarray, node: np.ndarray, block: np.ndarray, most: int = 1
             k = stop
 
 
-def _distinct_pairs(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    block, node = (np.concatenate([p[k] for p in parts]) for k in range(2))
+def _counted(block: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (block, node) with the sums of n."""
     order = np.lexsort((node, block))
-    block, node = block[order], node[order]
-    new = np.r_[True, (block[1:] != block[:-1]) | (node[1:] != node[:-1])] if len(block) else np.zeros(0, bool)
-    return block[new], node[new]
+    block, node, n = block[order], node[order], n[order]
+    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (node[1:] != node[:-1])]) if len(block) else np.zeros(0, np.int64)
+    return block[first], node[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _needs(batches):
-    """Rows (shard, key, node, block) sorted by shard: which records each block needs, and how."""
+    """Rows (shard, key, node, block) sorted by shard: in how many of its lists each record meets a
+    block, and whether it is indexed there."""
 
     def of(parts):
         found: dict[int, list] = {0: [], 1: []}
-        for block, node, role in _wanted(np.concatenate([p[0] for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2))):
-            found[role].append(_distinct_pairs([(block, node)]))
-            if sum(len(b) for b, _ in found[role]) > 1 << 23:
-                found[role] = [_distinct_pairs(found[role])]
+        for block, node, role in _wanted(*(np.concatenate([p[k] for p in parts]) for k in range(3))):
+            found[role].append(_counted(block, node, np.ones(len(block), np.int64)))
+            if sum(len(b) for b, *_ in found[role]) > 1 << 22:
+                found[role] = [_counted(*(np.concatenate(x) for x in zip(*found[role], strict=True)))]
         for role, own in found.items():
             if own:
-                block, node = _distinct_pairs(own)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(node, pa.int64()), pa.array(np.full(len(block), role, np.int32))], names=["block", "node", "role"])
+                block, node, n = _counted(*(np.concatenate(x) for x in zip(*own, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(node, pa.int64()), pa.array(np.full(len(block), role, np.int32)), pa.array(n, pa.int64())], names=["block", "node", "role", "lists"])
 
     at, parts = None, []
     for batch in batches:
-        for shard, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for shard, key, node, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if shard != at:
                 if parts:
                     yield from of(parts)
                 at, parts = shard, []
-            parts.append(tuple(np.frombuffer(x, t) for x, t in zip(raw, (np.uint64, np.int64, np.int64), strict=True)))
+            parts.append((_keys_of(key), np.cumsum(np.frombuffer(node, np.int64)), np.frombuffer(block, np.int64)))
     if parts:
         yield from of(parts)
 
@@ -320,6 +343,8 @@ def _searched(s: Fraction):
                     nodes.append(node)
                     sets.append(x)
                     continue
+                if not nodes:  # none of the block's own shares enough
+                    continue
                 if lists is None:
                     lists = Lists(sets, s)
                     within()
@@ -356,15 +381,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marks = written(texts.mapInArrow(_marks(lengths, shingle, s), "doc_id long, same binary, n long, low long, short binary"), "jaccard-marks")
     records = marks.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "short")])
     nodes = written(records.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    many, entries = nodes.agg(F.count("*"), F.sum(F.octet_length("short") / 8)).first()
+    many, entries = nodes.agg(F.count("*"), F.sum(F.octet_length("short") / 6)).first()
 
     homes = nodes.select("node", "n", "short", F.pmod(F.xxhash64("low"), F.lit(1 + 4 * many // RECORDS)).alias("home"))
     cuts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / RECORDS), F.ceil(F.sum("n") / SHINGLES)).alias("cut"))
     placed = homes.join(cuts, "home").select("node", (F.col("home") * (1 << 32) + F.pmod(F.xxhash64("node"), "cut")).alias("block"), "short")
     shards = int(max(4 * n, (entries or 0) // SHARD))
     dealt = placed.mapInArrow(_entries(shards), "shard long, key binary, node binary, block binary").repartition(n, "shard").sortWithinPartitions("shard")
-    needs = dealt.mapInArrow(_needs, "block long, node long, role int").groupBy("block", "node").agg(F.max("role").alias("role"))
-    needs = written(needs, "jaccard-needs")
+    met = dealt.mapInArrow(_needs, "block long, node long, role int, lists long").groupBy("block", "node").agg(F.max("role").alias("role"), F.sum("lists").alias("lists"))
+
+    def shared_of(n):
+        return F.ceil(F.lit(s.numerator) * n / F.lit(s.denominator))
+
+    # one more than the lesser of both records' extra lists, and the other has at least s * n shingles
+    enough = F.floor(shared_of(shared_of(F.col("n"))) / 8) + 1
+    needs = written(met.join(nodes.select("node", "n"), "node").filter(F.col("lists") >= enough).select("block", "node", "role"), "jaccard-needs")
 
     wanted = nodes.select("node", "same").join(needs.select("node").distinct(), "node")
     wanted = written(wanted, "jaccard-wanted")
