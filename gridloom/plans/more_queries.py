@@ -14,7 +14,7 @@ from ..detect import infer_frequency, spatial_info
 from ..operators import climatology, ensemble, rates, spatial, temporal
 from ..operators import reduce as core
 from ..shared import shared_path
-from ..sources import from_csv, from_netcdf, from_parquet, from_wide, geojson, to_netcdf, to_parquet
+from ..sources import from_csv, from_grib, from_netcdf, from_parquet, from_wide, geojson, message_index, to_grib, to_netcdf, to_parquet
 from ..streaming import resample_stream
 from .queries import _BOXES, _GRID, _W, _daily_grid, _regions, agg_sql, by_type, daily_events, events, gridded, hourly_totals, query, tidy
 
@@ -75,6 +75,33 @@ def source_netcdf(spark, sf_dir):
     return tidy(core.reduce(some, "sum", dim="lon"))
 
 
+@query(f"SELECT lat AS latitude, t, round(max(v), 2) AS tp FROM (SELECT lat, lon, date_trunc('day', ts)::TIMESTAMP AS t, sum(value) AS v FROM {_GRID} WHERE lat >= 0 AND ts >= TIMESTAMP '2024-01-10' GROUP BY ALL) GROUP BY ALL")
+def source_grib(spark, sf_dir):
+    """The daily grid as GRIB messages, read back as far as filters on time and rows leave. Values are
+    sums of hundredths, which 31 bits and two decimals hold."""
+    path = shared_path(spark, "grib")
+    to_grib(grid_by_day(spark, sf_dir), path, "ts", "lat", "lon", parameter=(0, 1, 8), bits=31, decimal=2)
+    cube = from_grib(spark, path, "tp")
+    some = cube.with_df(cube.df.filter((F.col("valid_time") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("latitude") >= 0) & F.col("tp").isNotNull()))
+    out = core.reduce(some, "max", dim="longitude").df
+    return out.select("latitude", F.col("valid_time").alias("t"), F.round("tp", 2).alias("tp"))
+
+
+@query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS valid_time, 'tp' AS param, 19 AS rows, 36 AS columns FROM {_GRID} GROUP BY ALL")
+def grib_index(spark, sf_dir):
+    path = shared_path(spark, "grib")
+    to_grib(core.reduce(_whole_grid(spark, sf_dir), "sum", dim="event_type"), path, "ts", "lat", "lon", parameter=(0, 1, 8))
+    return message_index(spark, path).select("valid_time", "param", "rows", "columns")
+
+
+def _whole_grid(spark: SparkSession, sf_dir: str) -> Cube:
+    """The daily grid with a cell in each corner, so that its axes are whole."""
+    daily = core.resample(gridded(spark, sf_dir), "D", "sum", time_dim="ts", extra_reduce_dims="event_id")
+    every = spark.range(19).select((F.col("id") * 10 - 90).cast("double").alias("lat")).crossJoin(F.broadcast(spark.range(36).select((F.col("id") * 10 - 180).cast("double").alias("lon"))))  # 684 rows
+    first = daily.df.groupBy("event_type").agg(F.min("ts").alias("ts"))
+    return daily.with_df(daily.df.select("event_type", "ts", "lat", "lon", "value").unionByName(first.crossJoin(F.broadcast(every)).withColumn("value", F.lit(0.0))))
+
+
 @query(f"SELECT region, round(avg(value) + 1e-8, 6) AS value FROM {_BOXES} LEFT JOIN (SELECT lat, lon, sum(value) AS value FROM {_GRID} GROUP BY ALL) ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1 GROUP BY ALL")
 def source_geojson(spark, sf_dir):
     def ring(x0, y0, x1, y1):
