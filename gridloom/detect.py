@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,15 +70,26 @@ def spatial_info(cube: Cube, lat: str | None = None, lon: str | None = None) ->
     return {"lat": lat, "lon": lon, "spatial_dims": dims, "regular": own and _spacing(cube, lat) and _spacing(cube, lon)}
 
 
+#: Names of frequencies with the shortest and longest step, in days.
+_FREQUENCIES = (("hour", 1 / 24, 1 / 24), ("dayofyear", 1, 1), ("weekofyear", 7, 7), ("month", 28, 31), ("year", 365, 366))
+
+
+def frequencies(df: DataFrame, time: str, *keys: str) -> DataFrame:
+    """(keys..., frequency): of each key's time labels, from the shortest and longest step between them; null
+    where that is of no known frequency or there is no step."""
+    at = F.col(time).cast("timestamp").cast("double") / 86400
+    step = at - F.lag(at).over(Window.partitionBy(*keys).orderBy(time))
+    ends = df.select(*keys, time).distinct().select(*keys, step.alias("s")).groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    found = F.lit(None).cast("string")
+    for name, least, most in reversed(_FREQUENCIES):
+        found = F.when((F.col("lo") >= least - 1e-9) & (F.col("hi") <= most + 1e-9), name).otherwise(found)
+    return ends.select(*keys, found.alias("frequency"))
+
+
 def infer_frequency(cube: Cube, time: str | None = None) -> str:
     """'hour', 'dayofyear', 'weekofyear', 'month' or 'year' from the steps between time labels."""
     t = time_axis(cube, time)
-    step = F.col(t).cast("timestamp").cast("double") - F.lag(F.col(t).cast("timestamp").cast("double")).over(Window.orderBy(t))
-    low, high = cube.df.select(t).distinct().select(step.alias("s")).agg(F.min("s"), F.max("s")).first()
-    if low is None:
-        raise ValueError("a frequency cannot be told from fewer than two time labels")
-    days = (low / 86400, high / 86400)
-    for name, least, most in (("hour", 1 / 24, 1 / 24), ("dayofyear", 1, 1), ("weekofyear", 7, 7), ("month", 28, 31), ("year", 365, 366)):
-        if least <= days[0] and days[1] <= most:
-            return name
-    raise ValueError(f"steps of {days[0]:g} to {days[1]:g} days are of no known frequency")
+    (row,) = frequencies(cube.df, t).collect()
+    if row.frequency is None:
+        raise ValueError(f"the steps of {t!r} are of no known frequency, or it has fewer than two labels")
+    return row.frequency

@@ -164,15 +164,22 @@ def parse_timedelta(x) -> timedelta:
     return timedelta(seconds=float(m[1] if m[1] not in ("", "+", "-") else f"{m[1]}1") * units[unit])
 
 
+#: Microseconds of the units that spans are named in.
+_SPANS = {"days": _FIXED["D"], "hours": _FIXED["h"], "minutes": _FIXED["min"], "seconds": _FIXED["s"]}
+
+
 def span_name(span: timedelta) -> str:
     """A span, also a negative one, in its largest unit: 'days' for one of it, else '(1.5 minutes)';
-    below a second 'x milliseconds'. Six decimals."""
-    seconds = span.total_seconds()
-    for unit, size in (("days", 86400), ("hours", 3600), ("minutes", 60), ("seconds", 1)):
-        if abs(seconds) >= size:
-            n = round(seconds / size, 6)
-            return unit if math.isclose(n, 1, rel_tol=1e-5, abs_tol=1e-8) else f"({int(n) if n.is_integer() else n} {unit})"
-    return f"{round(seconds * 1000, 6)} milliseconds"
+    below a second 'x milliseconds'. Six decimals; a hundred-thousandth off one still is one."""
+    micros = span // timedelta(microseconds=1)
+    fitting = {size: unit for unit, size in _SPANS.items() if size <= abs(micros)}
+    if not fitting:
+        return f"{micros / 1000} milliseconds"
+    size = max(fitting)
+    if 100_000 * abs(micros - size) <= max(micros, size):
+        return fitting[size]
+    amount = f"{micros / size:.6f}".rstrip("0").rstrip(".")
+    return f"({amount} {fitting[size]})"
 
 
 _STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "j": "DDD", "f": "SSSSSS", "y": "yy"}

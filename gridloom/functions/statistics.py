@@ -145,54 +145,46 @@ def aggregate(how: How, value: Column, *, order: Column | None = None, skip_miss
     return out if skip_missing else F.when(F.count(value) == F.count(F.lit(1)), out)
 
 
+#: Statistics about the weighted mean of their group, which is worked out first for its digits' sake.
+ABOUT_MEAN = ("std", "var", "sum_of_squares")
+
+
+def weighted_name(how: How) -> str:
+    """Canonical name of a statistic that takes weights."""
+    return resolve(how.__name__ if callable(how) else how.removeprefix("numpy."))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    v = value.cast("double")
+    return F.try_divide(F.sum(weight * v), F.sum(F.when(v.isNotNull(), weight)))
+
+
 def weighted(how: How, value: Column, weight: Column, centre: Column | None = None, **options) -> Column:
-    """Weighted aggregate over the valid cells. centre: the weighted mean of the same cells, for
-    statistics about it without loss of digits; worked out from the sums where it is None."""
-    name = resolve(how.__name__ if callable(how) else how.removeprefix("numpy."))
+    """Weighted aggregate over the valid cells. centre: the weighted mean of the same cells, which
+    statistics about it need. Quantiles are no aggregates: see functions.selection."""
+    name = weighted_name(how)
     options, skip = checked_options(name, options)
     if not skip:
         raise TypeError("weighted statistics skip missing cells")
     v = value.cast("double")
     total, product = F.sum(F.when(v.isNotNull(), weight)), F.sum(weight * v)
     if name == "mean":
-        return F.try_divide(product, total)
+        return weighted_mean(value, weight)
     if name == "sum":
         return F.coalesce(product, F.lit(0.0))
     if name in ("count", "sum_of_weights"):
         return F.coalesce(total, F.lit(0.0))
-    if name == "sum_of_squares":
-        if centre is not None:
-            return F.coalesce(F.sum(weight * (v - centre) ** 2), F.lit(0.0))
-        return F.greatest(F.lit(0.0), F.coalesce(F.sum(weight * v * v) - F.try_divide(product * product, total), F.lit(0.0)))
-    if name in ("std", "var"):
-        if centre is not None:
-            var = F.try_divide(F.sum(weight * (v - centre) ** 2), total)
-        else:
-            mean = F.try_divide(product, total)
-            var = F.greatest(F.lit(0.0), F.try_divide(F.sum(weight * v * v), total) - mean * mean)
+    if name in ABOUT_MEAN:
+        if centre is None:
+            raise ValueError(f"{name!r} needs the weighted mean of its cells")
+        squares = F.sum(weight * (v - centre) ** 2)
+        if name == "sum_of_squares":
+            return F.coalesce(squares, F.lit(0.0))
+        var = F.try_divide(squares, total)
         return F.sqrt(var) if name == "std" else var
-    if name in ("quantile", "percentile", "median"):
-        level = 0.5 if name == "median" else quantile_level(name, options)
-
-        def apply(x: pd.Series, w: pd.Series) -> float:
-            return weighted_quantile(x.to_numpy(float), w.to_numpy(float), level)
-
-        return F.pandas_udf(apply, DoubleType())(v, weight.cast("double"))
     raise ValueError(f"no weighted {how!r}")
 
 
-def weighted_quantile(x: np.ndarray, w: np.ndarray, level: float) -> float:
-    """Linear interpolation between the sorted values placed at their cumulative weight, so that
-    equal weights give the plain quantile. Missing values and weights of zero don't count."""
-    ok = ~np.isnan(x) & (w > 0)
-    if not ok.any():
-        return float("nan")
-    order = np.argsort(x[ok], kind="stable")
-    x, w = x[ok][order], w[ok][order]
-    place = np.cumsum(w) - w
-    return float(np.interp(level * place[-1], place, x)) if place[-1] > 0 else float(x[0])
-
-
 def latitude_weight(lat: Column) -> Column:
     return F.cos(F.radians(lat))
 
@@ -209,9 +201,10 @@ def of_cells(how: Callable, cells: Column, size: int, options: dict) -> Column:
     return F.when(~F.isnan(out), out)
 
 
-def over_window(how: How, value: Column, window, least: int, size: int, **options) -> Column:
+def over_window(how: How, value: Column, window, least: int, size: int, place: Column | None = None, low: int = 0, **options) -> Column:
     """A statistic over a frame of ``size`` labels, missing where it holds fewer than ``least``
-    valid values. A function gets the frame's cells, missing ones as NaN."""
+    valid values. A function gets the frame's cells, missing ones as NaN. argmin and argmax give
+    places in the frame, from 0: place is a row's index, low where its frame begins."""
     name = resolve(how)
     strict = name in STRICT if not callable(name) else False
     name = resolve(STRICT[name]) if strict else name
@@ -223,8 +216,11 @@ def over_window(how: How, value: Column, window, least: int, size: int, **option
         least = size
     if name in ("median", "quantile", "percentile"):
         out = F.percentile(value.cast("double"), F.lit(0.5 if name == "median" else quantile_level(name, options))).over(window)
-    elif name in ("mean", "std", "var", "sum", "max", "min", "count"):
-        out = {"mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[name](value).over(window)
+    elif name in ("mean", "std", "var", "sum", "max", "min", "count", "prod"):
+        out = {"mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "prod": F.product}[name](value).over(window)
+    elif name in POSITIONS and place is not None:
+        first = F.min(F.when(value.isNotNull(), F.struct((-value if name == "argmax" else value).alias("v"), place.alias("i")))).over(window)
+        out = first["i"] - place - low
     else:
         raise ValueError(f"no rolling {how!r}")
     return F.when(F.count(value).over(window) >= least, out)

@@ -51,26 +51,24 @@ def reduce(cube: Cube, how: st.How = "mean", *, frequency: str | None = None, bi
         return core.reduce(cube, how, dim=t, weights=weights, lat=lat, how_label=how_label, **options)
     grouped, name = _grouped(cube, t, frequency, bin_widths)
     out = {v: labelled(v, how_label) for v in cube.vars}
-    if weights is None:
-        exprs = {out[v]: st.aggregate(how, F.col(v), order=F.col(t), **options) for v in cube.vars}
-    else:
-        grouped, w = core._weighted_frame(grouped, weights, lat)
-        exprs = {out[v]: st.weighted(how, F.col(v), w, **options) for v in cube.vars}
-    result = aggregated(grouped, list(grouped.dims), grouped.dims, exprs, {out[v]: v for v in cube.vars})
+    result = core.grouped(grouped, grouped.dims, how, out, order=F.col(t), weights=weights, lat=lat, **options)
     return result.with_df(result.df.withColumn("season_order", season_order(F.col("season"))), coords=("season_order",)) if name == "season" else result
 
 
-def quantiles(cube: Cube, q, *, frequency: str = "year", bin_widths=None, time_dim: str | None = None, climatology_range=None, label: str = "quantile", labels=None) -> Cube:
+def quantiles(cube: Cube, q, *, frequency: str = "year", bin_widths=None, time_dim: str | None = None, climatology_range=None, label: str = "quantile", labels=None, large_groups: bool = False) -> Cube:
     """Exact quantiles by component (by year unless said otherwise), all in one pass, along a new
-    dimension. q: a level in 0..1 or several."""
+    dimension. q: a level in 0..1 or several. ``large_groups``: see reduce.grouped."""
     levels = [float(x) for x in (q if isinstance(q, (list, tuple)) else [q])]
     if any(not 0 <= x <= 1 for x in levels):
         raise ValueError(f"quantiles lie in 0..1: {levels}")
     t = time_axis(cube, time_dim)
     grouped, _ = _grouped(_ranged(cube, t, climatology_range), t, frequency, bin_widths)
-    exprs = {v: F.percentile(F.col(v).cast("double"), F.array(*map(F.lit, levels))) for v in cube.vars}
-    found = aggregated(grouped, list(grouped.dims), grouped.dims, exprs, {})
-    each = F.arrays_zip(F.array(*[F.lit(float(x)) for x in (labels or levels)]).alias("__l"), *[F.coalesce(v, F.array(*[F.lit(None).cast("double")] * len(levels))).alias(v) for v in cube.vars])
+    if large_groups:
+        found = core.selected(grouped, grouped.dims, {v: v for v in cube.vars}, [*levels, levels[-1]], None)  # an array, also of one level
+    else:
+        exprs = {v: F.percentile(F.col(v).cast("double"), F.array(*map(F.lit, levels))) for v in cube.vars}
+        found = aggregated(grouped, list(grouped.dims), grouped.dims, exprs, {})
+    each = F.arrays_zip(F.array(*[F.lit(float(x)) for x in (labels or levels)]).alias("__l"), *[F.slice(F.coalesce(v, F.array(*[F.lit(None).cast("double")] * len(levels))), 1, len(levels)).alias(v) for v in cube.vars])
     rows = found.df.select(*grouped.dims, F.explode(each).alias("__x")).select(*grouped.dims, F.col("__x.__l").alias(label), *[F.col(f"__x.{v}").alias(v, metadata=cube.meta(v)) for v in cube.vars])
     return Cube(rows, (*grouped.dims, label), cube.vars, (), cube.attrs)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from ..cube import Cube, aggregated, labelled, names
 from ..detect import find_axis, time_axis
 from ..functions import statistics as st
 from ..functions.periods import Period, with_origin
+from ..functions.selection import exact_quantiles
+from .partial import Partial, partial_reduce
 
 
 def _weighted_frame(cube: Cube, weights, lat: str | None) -> tuple[Cube, Column]:
@@ -41,34 +45,78 @@ def reduce(cube: Cube, how: st.How = "mean", *, dim=None, weights=None, lat: str
     """Reduce over ``dim`` (all dimensions by default), all variables in one pass. argmin and argmax
     give positions along the one dimension reduced, idxmin and idxmax its labels; cumsum and
     cumprod keep it."""
-    if weights is None and not callable(how) and st.resolve(how) in st.CUMULATIVE:
+    named = not callable(how) and not isinstance(how, Partial)
+    if weights is None and named and st.resolve(how) in st.CUMULATIVE:
         return _cumulative(cube, st.resolve(how), dim, how_label, **options)
-    if weights is None and not callable(how) and st.resolve(how) in st.POSITIONS:
+    if weights is None and named and st.resolve(how) in st.POSITIONS:
         return drop_missing(_positions(cube, st.resolve(how), dim, how_label, **options), cube.without(*names(dim)), how_dropna)
     over = cube.dims if dim is None else names(dim)
     if unknown := [d for d in over if d not in cube.dims]:
         raise ValueError(f"not dimensions: {unknown}")
     keys = cube.without(*over)
     out = {v: labelled(v, how_label) for v in cube.vars}
+    order = F.col(over[0]) if len(over) == 1 else None
+    result = grouped(cube, keys, how, out, order=order, weights=weights, lat=lat, skip_missing=skip_missing, **options)
+    return drop_missing(result, keys, how_dropna)
+
+
+def grouped(cube: Cube, keys, how: st.How, out: dict[str, str], *, order: Column | None = None, weights=None, lat: str | None = None, skip_missing: bool = True, large_groups: bool = False, **options) -> Cube:
+    """A statistic of each group of cells of the same ``keys``, which are the dimensions of the result;
+    out names the result of each variable. All reductions come here.
+
+    A Partial is merged from states of its tasks. Weighted deviations take the groups' means first; weighted quantiles are selected exactly, and
+    so are plain ones if ``large_groups``, where a group's values needn't fit one task."""
+    keys = tuple(keys)
+    if isinstance(how, Partial):
+        if weights is not None or options:
+            raise TypeError("a Partial takes neither weights nor options")
+        return partial_reduce(cube, keys, how, out)
     if weights is None:
-        order = F.col(over[0]) if len(over) == 1 else None
+        name = st.resolve(how)
+        if large_groups and name in QUANTILES:
+            if not (skip_missing and st.checked_options(name, options)[1]):
+                raise TypeError("selected quantiles skip missing cells")
+            return selected(cube, keys, out, [_level(name, options)], None)
         exprs = {out[v]: st.aggregate(how, F.col(v), order=order, skip_missing=skip_missing, **options) for v in cube.vars}
-        result = aggregated(cube, list(keys), keys, exprs, {out[v]: v for v in cube.vars})
-    else:
-        framed, w = _weighted_frame(cube, weights, lat)
-        centres: dict[str, Column | None] = dict.fromkeys(cube.vars)
-        name = st.resolve(how if not callable(how) else how.__name__)
-        if name in ("std", "var", "sum_of_squares"):  # about the mean of the same group, for its digits' sake
-            means = framed.df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[F.try_divide(F.sum(w * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), w))).alias(f"__m_{v}") for v in cube.vars])
-            if keys:
-                same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-                framed = framed.with_df(framed.df.join(means, same, "left"))  # a row per group, not per cell
-            else:
-                framed = framed.with_df(framed.df.crossJoin(F.broadcast(means)))  # one row
-            centres = {v: F.col(f"__m_{v}") for v in cube.vars}
-        exprs = {out[v]: st.weighted(how, F.col(v), w, centres[v], **options) for v in cube.vars}
-        result = aggregated(framed, list(keys), keys, exprs, {})
-    return drop_missing(result, keys, how_dropna)
+        return aggregated(cube, list(keys), keys, exprs, {out[v]: v for v in cube.vars})
+    name = st.weighted_name(how)
+    framed, w = _weighted_frame(cube, weights, lat)
+    if name in QUANTILES:
+        if not st.checked_options(name, options)[1]:
+            raise TypeError("weighted statistics skip missing cells")
+        return selected(framed, keys, out, [_level(name, options)], w)
+    centres: dict[str, Column | None] = dict.fromkeys(cube.vars)
+    if name in st.ABOUT_MEAN:
+        means = framed.df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[st.weighted_mean(F.col(v), w).alias(f"__m_{v}") for v in cube.vars])
+        if keys:
+            same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+            framed = framed.with_df(framed.df.join(means, same, "left"))  # a row per group, not per cell
+        else:
+            framed = framed.with_df(framed.df.crossJoin(F.broadcast(means)))  # one row
+        centres = {v: F.col(f"__m_{v}") for v in cube.vars}
+    exprs = {out[v]: st.weighted(how, F.col(v), w, centres[v], **options) for v in cube.vars}
+    return aggregated(framed, list(keys), keys, exprs, {out[v]: v for v in cube.vars})
+
+
+QUANTILES = ("median", "quantile", "percentile")
+
+
+def _level(name: str, options: dict) -> float:
+    return 0.5 if name == "median" else st.quantile_level(name, options)
+
+
+def selected(cube: Cube, keys: tuple[str, ...], out: dict[str, str], levels, weight: Column | None) -> Cube:
+    """Exact quantiles of groups of any size; of several levels an array."""
+    frames = [exact_quantiles(cube.df, keys, F.col(v), levels, "__q", weight).withColumn(out[v], F.col("__q") if len(levels) > 1 else F.get("__q", F.lit(0))).drop("__q") for v in cube.vars]
+    df = frames[0]
+    for other, v in zip(frames[1:], list(cube.vars)[1:], strict=True):
+        renamed = other.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out[v])
+        same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+        df = df.join(renamed, same).drop(*[f"__k_{k}" for k in keys]) if keys else df.crossJoin(F.broadcast(renamed))  # one row
+    for v in cube.vars:
+        if kept := cube.meta(v):
+            df = df.withMetadata(out[v], kept)
+    return replace(cube, df=df.select(*keys, *out.values()), dims=keys, vars=tuple(out.values()), coords=())
 
 
 def _only(cube: Cube, dim, how: str) -> str:
@@ -145,12 +193,7 @@ def resample(cube: Cube, frequency: str, how: st.How = "mean", *, time_dim: str
     extra = names(extra_reduce_dims)
     keys = cube.without(*extra)
     out = {v: labelled(v, how_label) for v in cube.vars}
-    if weights is not None:
-        bucketed, w = _weighted_frame(bucketed, weights, None)
-        exprs = {out[v]: st.weighted(how, F.col(v), w, **options) for v in cube.vars}
-    else:
-        exprs = {out[v]: st.aggregate(how, F.col(v), order=F.col("__time"), skip_missing=skip_missing, **options) for v in cube.vars}
-    result = aggregated(replace(bucketed, coords=()), list(keys), keys, exprs, {out[v]: v for v in cube.vars})
+    result = grouped(replace(bucketed, coords=()), keys, how, out, order=F.col("__time"), weights=weights, skip_missing=skip_missing, **options)
     return _filled(result, t, period) if fill_gaps else result
 
 
@@ -163,11 +206,46 @@ def _filled(cube: Cube, t: str, period: Period) -> Cube:
     return cube.with_df(frame.join(cube.df, list(cube.dims), "left").select(*cube.df.columns))
 
 
+#: Intervals of an axis that its labels are numbered in, side by side.
+INTERVALS = 1024
+#: Labels of a piece of an axis along which windows run.
+PIECE = 1 << 16
+
+
 def dense_index(df: DataFrame, dim: str) -> DataFrame:
-    """(dim, __index, __previous): distinct labels numbered in order; small, as axes are. Windows and
-    differences go by these, so that an absent row is a missing cell and not skipped."""
-    w = Window.orderBy(dim)
-    return df.select(dim).distinct().select(dim, (F.row_number().over(w) - 1).alias("__index"), F.lag(dim).over(w).alias("__previous"))
+    """(dim, __index, __previous): distinct labels numbered in order. Windows and differences go by these,
+    so that an absent row is a missing cell and not skipped.
+
+    Labels that are numbers or times are numbered within intervals of equal width, and the intervals'
+    numbers of labels, a bounded table, are summed up: no task has the whole axis. Text labels are."""
+    labels = df.select(dim).distinct()
+    kind = df.schema[dim].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        place = F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast(kind), F.col(dim)).cast("double")
+    elif kind == "date":
+        place = F.datediff(F.col(dim), F.lit("1970-01-01").cast("date")).cast("double")
+    elif kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal"):
+        place = F.col(dim).cast("double")
+    else:
+        w = Window.orderBy(dim)
+        return labels.select(dim, (F.row_number().over(w) - 1).alias("__index"), F.lag(dim).over(w).alias("__previous"))
+    ends = labels.agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"))
+    part = F.coalesce(F.least(F.floor((place - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * INTERVALS), F.lit(INTERVALS - 1)), F.lit(0))
+    part = F.when(F.col("__hi") > F.col("__lo"), part).otherwise(0)
+    placed = labels.crossJoin(F.broadcast(ends)).select(dim, part.cast("int").alias("__part"))  # one row
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.max(dim).alias("__last"))
+    by_part = Window.orderBy("__part")  # INTERVALS rows at most
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.lag("__last").over(by_part).alias("__last"))
+    w = Window.partitionBy("__part").orderBy(dim)
+    numbered = placed.withColumns({"__row": F.row_number().over(w) - 1, "__lag": F.lag(dim).over(w)}).join(F.broadcast(before), "__part")
+    return numbered.select(dim, (F.col("__row") + F.col("__before")).cast("long").alias("__index"), F.coalesce("__lag", "__last").alias("__previous"))
+
+
+def _pieces(df: DataFrame, index: str, low: int, high: int) -> DataFrame:
+    """Rows once for each piece of the axis in which a window from ``low`` to ``high`` labels off needs them, with
+    the piece as __piece and whether it is the row's own as __own."""
+    first, last = (F.floor((F.col(index) - k) / PIECE) for k in (high, low))
+    return df.withColumn("__piece", F.explode(F.sequence(first, last))).withColumn("__own", F.col("__piece") == F.floor(F.col(index) / PIECE))
 
 
 def rolling_reduce(cube: Cube, how_reduce: st.How = "mean", *, dim: dict[str, int] | None = None, how_dropna: str | None = None, min_periods: int | None = None, center: bool = False, how_label: str | None = None, **windows) -> Cube:
@@ -182,33 +260,100 @@ def rolling_reduce(cube: Cube, how_reduce: st.How = "mean", *, dim: dict[str, in
     least = min_periods if min_periods is not None else 1
     for n in sizes.values():
         least *= n if min_periods is None else 1
+    name = st.resolve(how_reduce)
+    if len(sizes) > 1 and (name in SEPARABLE or name in st.STRICT and st.resolve(st.STRICT[name]) in SEPARABLE):
+        result = _separable(cube, name, sizes, least, center, how_label, options)
+        return drop_missing(result, list(sizes), how_dropna)
     df = cube.df
     for d in sizes:
         df = df.join(dense_index(cube.df, d).select(d, F.col("__index").alias(f"__i_{d}")), d)
-    name = st.resolve(how_reduce)
 
-    def frame(d: str, keys):
-        n = sizes[d]
-        low, high = (-(n // 2), (n - 1) // 2) if center else (-(n - 1), 0)
-        return Window.partitionBy(*keys).orderBy(f"__i_{d}").rangeBetween(low, high)
+    def over(df: DataFrame, d: str, columns: dict[str, Callable]) -> DataFrame:
+        low, high = _frame(sizes[d], center)
+        w = Window.partitionBy(*cube.without(d), "__piece").orderBy(f"__i_{d}").rangeBetween(low, high)
+        return _pieces(df, f"__i_{d}", low, high).withColumns({c: f(w) for c, f in columns.items()}).filter("__own").drop("__piece", "__own")
 
-    exprs = {}
     if len(sizes) == 1:
-        ((d, _),) = sizes.items()
-        w = frame(d, cube.without(d))
-        exprs = {v: st.over_window(how_reduce, F.col(v), w, least, sizes[d], **options) for v in cube.vars}
+        ((d, n),) = sizes.items()
+        df = over(df, d, {f"__r_{v}": lambda w, v=v: st.over_window(how_reduce, F.col(v), w, least, n, F.col(f"__i_{d}"), _frame(n, center)[0], **options) for v in cube.vars})
+        exprs = {v: F.col(f"__r_{v}") for v in cube.vars}
     else:  # collect the cells of the block one dimension after the other
-        for v in cube.vars:
-            df = df.withColumn(f"__c_{v}", F.when(F.col(v).isNotNull(), F.array(F.col(v).cast("double"))).otherwise(F.array().cast("array<double>")))
+        df = _framed(df, cube, sizes, center).withColumns({f"__c_{v}": F.when(F.col(v).isNotNull(), F.array(F.col(v).cast("double"))).otherwise(F.array().cast("array<double>")) for v in cube.vars})
         for d in sizes:
-            w = frame(d, cube.without(d))
-            df = df.withColumns({f"__c_{v}": F.flatten(F.collect_list(f"__c_{v}").over(w)) for v in cube.vars})
+            df = over(df, d, {f"__c_{v}": lambda w, v=v: F.flatten(F.collect_list(f"__c_{v}").over(w)) for v in cube.vars})
+        df = df.filter("__there")
         exprs = {v: F.when(F.size(f"__c_{v}") >= least, _of_array(name, F.col(f"__c_{v}"), math.prod(sizes.values()), options)) for v in cube.vars}
     columns = [*cube.dims, *[e.alias(labelled(v, how_label), metadata=cube.meta(v)) for v, e in exprs.items()]]
     result = replace(cube, df=df.select(*columns), vars=tuple(labelled(v, how_label) for v in cube.vars), coords=())
     return drop_missing(result, list(sizes), how_dropna)
 
 
+def _frame(n: int, center: bool) -> tuple[int, int]:
+    return (-(n // 2), (n - 1) // 2) if center else (-(n - 1), 0)
+
+
+def _framed(df: DataFrame, cube: Cube, sizes: dict[str, int], center: bool) -> DataFrame:
+    """With rows that hold no cell wherever a pass along one dimension leaves something for the next:
+    every label that windows of the passes so far reach from a row, within the axis. __there tells the
+    cube's own rows."""
+    columns = [*cube.dims, *[f"__i_{d}" for d in sizes]]
+    df = df.withColumn("__there", F.lit(True))
+    reached = df.select(*columns)
+    for d in list(sizes)[:-1]:
+        low, high = _frame(sizes[d], center)
+        axis = dense_index(cube.df, d).select(F.col("__index").alias(f"__i_{d}"), F.col(d))
+        rows = reached.drop(d).withColumn(f"__i_{d}", F.explode(F.sequence(F.col(f"__i_{d}") - high, F.col(f"__i_{d}") - low))).distinct()
+        reached = rows.join(axis, f"__i_{d}").select(*columns)
+    full = reached.join(df.drop(*[d for d in sizes if d not in cube.dims]), columns, "left")
+    return full.withColumn("__there", F.coalesce("__there", F.lit(False)))
+
+
+#: Statistics of blocks that passes along one dimension after the other give, without collecting cells.
+SEPARABLE = ("mean", "sum", "count", "min", "max", "std", "var")
+
+
+def _separable(cube: Cube, name: str, sizes: dict[str, int], least: int, center: bool, how_label: str | None, options: dict) -> Cube:
+    """Counts, sums and extrema of blocks, a pass for each dimension. Deviations are sums of squares about
+    the variable's mean over the whole cube, a one-row aggregate, for their digits' sake."""
+    strict = name in st.STRICT
+    name = st.resolve(st.STRICT[name]) if strict else name
+    options, skip = st.checked_options(name, options)
+    df = cube.df
+    if name in ("std", "var"):
+        df = df.crossJoin(F.broadcast(df.agg(*[F.avg(F.col(v).cast("double")).alias(f"__m_{v}") for v in cube.vars])))  # one row
+    parts = {}
+    for v in cube.vars:
+        x = F.col(v).cast("double")
+        parts[f"__n_{v}"] = (F.when(x.isNotNull(), 1).otherwise(0).cast("long"), F.sum)
+        if name in ("mean", "sum"):
+            parts[f"__s_{v}"] = (x, F.sum)
+        elif name in ("min", "max"):
+            parts[f"__s_{v}"] = (F.col(v), getattr(F, name))
+        elif name in ("std", "var"):
+            parts |= {f"__s_{v}": (x - F.col(f"__m_{v}"), F.sum), f"__q_{v}": ((x - F.col(f"__m_{v}")) ** 2, F.sum)}
+    df = df.select(*cube.dims, *[e.alias(c) for c, (e, _) in parts.items()])
+    for d in sizes:
+        df = df.join(dense_index(cube.df, d).select(d, F.col("__index").alias(f"__i_{d}")), d)
+    df = _framed(df, cube, sizes, center)
+    for d in sizes:
+        low, high = _frame(sizes[d], center)
+        w = Window.partitionBy(*cube.without(d), "__piece").orderBy(f"__i_{d}").rangeBetween(low, high)
+        df = _pieces(df, f"__i_{d}", low, high).withColumns({c: f(c).over(w) for c, (_, f) in parts.items()}).filter("__own").drop("__piece", "__own")
+    if strict or not skip:
+        least = math.prod(sizes.values())
+    columns = []
+    for v in cube.vars:
+        n = F.col(f"__n_{v}")
+        total = n if name == "count" else F.col(f"__s_{v}")
+        if name in ("std", "var"):
+            var = F.greatest(F.lit(0.0), F.try_divide(F.col(f"__q_{v}"), n) - F.try_divide(total, n) ** 2)
+            out = F.sqrt(var) if name == "std" else var
+        else:
+            out = F.try_divide(total, n) if name == "mean" else total
+        columns.append(F.when(n >= least, out).alias(labelled(v, how_label), metadata=cube.meta(v)))
+    return replace(cube, df=df.filter("__there").select(*cube.dims, *columns), vars=tuple(labelled(v, how_label) for v in cube.vars), coords=())
+
+
 def _of_array(name, cells: Column, size: int, options: dict) -> Column:
     """A statistic of an array of the valid cells of a window of ``size``."""
     strict = name in st.STRICT if not callable(name) else False

@@ -4,6 +4,12 @@ A feature table has a key, ``rings`` (array of rings, arrays of struct<x, y>) an
 carry along. The even-odd rule over all rings covers holes and several parts. The distinct points
 of the cube are matched to features once: they meet on the tiles of a grid, then by bounding box, then
 by the polygon; the result, a small table of points and features, is what the data are joined with.
+Tiles come in levels, each twice as large as the one below: a feature lies on a few tiles of the level of
+its own size, and a point is looked up on every level that has features.
+
+On a grid whose latitudes and longitudes are axes of their own, features can be drawn line by line instead
+(``scanline``): the edges that cross a row of the grid, in order, give its runs of cells, at a cost by
+rows and edges and not by points.
 """
 
 from __future__ import annotations
@@ -14,14 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cube import Cube, aggregated, labelled, names
+from ..cube import Cube, labelled, names
 from ..detect import find_axis
 from ..functions import statistics as st
 from . import reduce as core
 
 RINGS = "array<array<struct<x:double,y:double>>>"
-#: A tile is as large as the mean feature's box, but so large that none covers more tiles than this a side.
-TILES = 64
+#: Tiles are no smaller than this power of two.
+LEAST_LEVEL = -20
 
 
 def features(spark: SparkSession, shapes: list[tuple], *columns: str) -> DataFrame:
@@ -102,8 +108,8 @@ def with_key(table: DataFrame, mask_dim: str | dict | None) -> tuple[DataFrame,
     return table.withColumn("__order", F.monotonically_increasing_id()).withColumn(name, order.cast("long")).drop("__order"), name
 
 
-def points_in_features(cube: Cube, table: DataFrame, key: str, lat: str, lon: str, all_touched: bool = False) -> DataFrame:
-    """(lat, lon, key) of each distinct point and each feature it lies in."""
+def pairs_to_test(cube: Cube, table: DataFrame, key: str, lat: str, lon: str, all_touched: bool = False) -> DataFrame:
+    """Each distinct point with each feature whose bounding box holds it (or its cell touches)."""
     points = cube.df.select(lat, lon).distinct()
     shapes = _bounded(table.select(key, "rings"))
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
@@ -111,24 +117,83 @@ def points_in_features(cube: Cube, table: DataFrame, key: str, lat: str, lon: st
     if all_touched:
         points = points.crossJoin(F.broadcast(_half_steps(cube, lon, "__rx"))).crossJoin(F.broadcast(_half_steps(cube, lat, "__ry")))  # one row each
         rx, ry = F.col("__rx"), F.col("__ry")
-    wide, high = F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")
-    tile = F.broadcast(shapes.agg(*[F.greatest(F.avg(side), F.max(side) / TILES, F.lit(1e-6)).alias(n) for side, n in ((wide, "__tx"), (high, "__ty"))]))  # one row
-    if all_touched:
         shapes = shapes.crossJoin(F.broadcast(points.select("__rx", "__ry").limit(1)))
-    sides = [F.sequence(F.floor((F.col(f"__{c}0") - r) / F.col(f"__t{c}")), F.floor((F.col(f"__{c}1") + r) / F.col(f"__t{c}"))) for c, r in (("x", rx), ("y", ry))]
-    shapes = shapes.crossJoin(tile).withColumn("__i", F.explode(sides[0])).withColumn("__j", F.explode(sides[1])).drop("__tx", "__ty", "__rx", "__ry")
-    points = points.crossJoin(tile).withColumns({"__i": F.floor(x / F.col("__tx")), "__j": F.floor(y / F.col("__ty"))})
+    sides = [F.col(f"__{c}1") - F.col(f"__{c}0") + 2 * r for c, r in (("x", rx), ("y", ry))]
+    level = F.greatest(F.ceil(F.log2(F.greatest(*sides))), F.lit(LEAST_LEVEL)).cast("int")
+    shapes = shapes.withColumn("__level", F.coalesce(level, F.lit(LEAST_LEVEL)))  # of size 0: no logarithm
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    for c, r, i in (("x", rx, "__i"), ("y", ry, "__j")):  # two tiles a side at most
+        shapes = shapes.withColumn(i, F.explode(F.sequence(F.floor((F.col(f"__{c}0") - r) / size), F.floor((F.col(f"__{c}1") + r) / size))))
+    levels = shapes.select("__level").distinct()  # powers of two between the sizes of features: some dozens
+    points = points.crossJoin(F.broadcast(levels)).withColumns({"__i": F.floor(x / size), "__j": F.floor(y / size)})
+    shapes = shapes.drop("__rx", "__ry")
     near = (x >= F.col("__x0") - rx) & (x <= F.col("__x1") + rx) & (y >= F.col("__y0") - ry) & (y <= F.col("__y1") + ry)
-    hit = touches(F.col("rings"), x, y, rx, ry) if all_touched else inside(F.col("rings"), x, y)
-    return points.join(shapes, ["__i", "__j"]).filter(near).filter(hit).select(lat, lon, key)
+    return points.join(shapes, ["__level", "__i", "__j"]).filter(near)
 
 
-def mask(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, lat: str | None = None, lon: str | None = None, union_geometries: bool = False, all_touched: bool = False, compact: bool = False) -> Cube:
+def points_in_features(cube: Cube, table: DataFrame, key: str, lat: str, lon: str, all_touched: bool = False) -> DataFrame:
+    """(lat, lon, key) of each distinct point and each feature it lies in."""
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    hit = touches(F.col("rings"), x, y, F.col("__rx"), F.col("__ry")) if all_touched else inside(F.col("rings"), x, y)
+    return pairs_to_test(cube, table, key, lat, lon, all_touched).filter(hit).select(lat, lon, key)
+
+
+def _axis_labels(cube: Cube, column: str, name: str) -> DataFrame:
+    """One row: the column's labels in order, as an array. Axes are short beside the grid."""
+    return cube.df.select(F.col(column).cast("double").alias("a")).distinct().agg(F.array_sort(F.collect_list("a")).alias(name))
+
+
+def _even(labels: Column) -> Column:
+    """Labels as they are, or an error where their steps differ."""
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.get(labels, i) - F.get(labels, i - 1))
+    even = (F.size(labels) < 3) | ((F.array_max(steps) - F.array_min(steps)) <= 1e-5 * F.array_max(steps))
+    return F.when(even, labels).otherwise(F.raise_error(F.lit("scanline needs evenly spaced latitudes and longitudes")))
+
+
+def _first_at_least(labels: Column, value: Column) -> Column:
+    """Place of the first of evenly spaced labels that isn't below a value; their number if there is
+    none. Worked out from the step, and put right by one where rounding has moved it."""
+    n = F.size(labels)
+    start, step = F.get(labels, F.lit(0)), F.try_divide(F.get(labels, n - 1) - F.get(labels, F.lit(0)), n - 1)
+    guess = F.least(F.greatest(F.coalesce(F.ceil((value - start) / step), F.lit(0)), F.lit(0)), n).cast("int")
+    down = F.when((guess > 0) & (F.get(labels, guess - 1) >= value), guess - 1).otherwise(guess)
+    return F.when((down < n) & (F.get(labels, down) < value), down + 1).otherwise(down).cast("int")
+
+
+def cells_by_scanline(cube: Cube, table: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """(lat, lon, key) of the grid's cells whose centres lie in each feature, as points_in_features, for axes
+    that are evenly spaced (an error where they aren't). Cells that the cube doesn't have are among them."""
+    axes = _axis_labels(cube, lat, "__ys").crossJoin(F.broadcast(_axis_labels(cube, lon, "__xs")))  # one row
+    axes = axes.withColumns({a: _even(F.col(a)) for a in ("__ys", "__xs")})
+    closed = F.transform("rings", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: F.struct(F.get(r, k).alias("a"), F.get(r, (k + 1) % F.size(r)).alias("b"))))
+    edges = table.select(key, F.explode(F.flatten(F.filter(closed, lambda r: F.size(r) > 2))).alias("e"))
+    edges = edges.select(key, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"]).filter("ay <> by")
+    placed = edges.crossJoin(F.broadcast(axes))
+    # a row is crossed where one end lies above it and the other doesn't: from the lower end on, below the upper
+    first, last = _first_at_least(F.col("__ys"), F.least("ay", "by")), _first_at_least(F.col("__ys"), F.greatest("ay", "by")) - 1
+    crossed = placed.withColumn("__r", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    y = F.get("__ys", F.col("__r"))
+    cuts = crossed.withColumn("__c", (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
+    rows = cuts.groupBy(key, "__r").agg(F.array_sort(F.collect_list("__c")).alias("__c")).crossJoin(F.broadcast(axes))  # a feature's crossings of one row
+    pairs = F.transform(F.sequence(F.lit(0), F.size("__c") - 2, F.lit(2)), lambda k: F.struct(_first_at_least(F.col("__xs"), F.get("__c", k)).alias("lo"), (_first_at_least(F.col("__xs"), F.get("__c", k + 1)) - 1).alias("hi")))
+    runs = rows.withColumn("__run", F.explode(pairs)).filter("__run.lo <= __run.hi")
+    cells = runs.select(key, F.get("__ys", F.col("__r")).alias(lat), F.explode(F.transform(F.sequence("__run.lo", "__run.hi"), lambda k: F.get("__xs", k))).alias(lon))
+    kinds = {f.name: f.dataType for f in cube.df.schema}
+    return cells.select(F.col(lat).cast(kinds[lat]).alias(lat), F.col(lon).cast(kinds[lon]).alias(lon), key)
+
+
+def _hits(cube: Cube, table: DataFrame, key: str, lat: str, lon: str, all_touched: bool, scanline: bool) -> DataFrame:
+    if scanline and all_touched:
+        raise ValueError("scanline goes by the centres of cells")
+    return cells_by_scanline(cube, table, key, lat, lon) if scanline else points_in_features(cube, table, key, lat, lon, all_touched)
+
+
+def mask(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, lat: str | None = None, lon: str | None = None, union_geometries: bool = False, all_touched: bool = False, compact: bool = False, scanline: bool = False) -> Cube:
     """Values inside each feature, missing elsewhere, along a new feature dimension; inside any of
     them if ``union_geometries``. ``compact`` leaves the cells outside out instead."""
     lat, lon = _axes(cube, lat, lon)
     table, key = with_key(table, mask_dim)
-    hits = points_in_features(cube, table, key, lat, lon, all_touched)
+    hits = _hits(cube, table, key, lat, lon, all_touched, scanline)
     if union_geometries:
         cells = hits.select(lat, lon).distinct()
         if compact:
@@ -143,11 +208,11 @@ def mask(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, la
     return Cube(whole.select(*dims, *cube.coords, *[F.when(F.col("__in"), F.col(v)).alias(v, metadata=cube.meta(v)) for v in cube.vars]), dims, cube.vars, cube.coords, cube.attrs)
 
 
-def masks_of(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, lat: str | None = None, lon: str | None = None, union_geometries: bool = False, all_touched: bool = False) -> Cube:
+def masks_of(cube: Cube, table: DataFrame, *, mask_dim: str | dict | None = None, lat: str | None = None, lon: str | None = None, union_geometries: bool = False, all_touched: bool = False, scanline: bool = False) -> Cube:
     """The masks themselves: 1 inside, 0 outside, for each distinct point and feature."""
     lat, lon = _axes(cube, lat, lon)
     points = Cube(cube.df.select(lat, lon).distinct().withColumn("mask", F.lit(1)), (lat, lon), ("mask",))
-    out = mask(points, table, mask_dim=mask_dim, lat=lat, lon=lon, union_geometries=union_geometries, all_touched=all_touched)
+    out = mask(points, table, mask_dim=mask_dim, lat=lat, lon=lon, union_geometries=union_geometries, all_touched=all_touched, scanline=scanline)
     return out.with_df(out.df.withColumn("mask", F.coalesce("mask", F.lit(0))))
 
 
@@ -163,7 +228,7 @@ def _mask_table(masks, mask_dim: str | None, shared: tuple[str, ...]) -> tuple[D
     return fold(DataFrame.unionByName, frames), key
 
 
-def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *, mask_arrays=None, weights=None, lat: str | None = None, lon: str | None = None, extra_reduce_dims=None, mask_dim=None, how_label: str | None = None, all_touched: bool = False, compact: bool = False, expanded: bool = False, squeeze: bool = False, return_geometry_as_coord: bool = False, **options) -> Cube:
+def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *, mask_arrays=None, weights=None, lat: str | None = None, lon: str | None = None, extra_reduce_dims=None, mask_dim=None, how_label: str | None = None, all_touched: bool = False, compact: bool = False, expanded: bool = False, squeeze: bool = False, return_geometry_as_coord: bool = False, scanline: bool = False, **options) -> Cube:
     """A statistic over the cells of each feature or mask, or over the whole grid.
 
     Features and masks without a cell give a missing value (a sum of 0). ``expanded`` carries the
@@ -181,7 +246,7 @@ def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *,
     work = cube
     if table is not None:
         table, key = with_key(table, mask_dim)
-        hits = points_in_features(cube, table, key, *_axes(cube, lat, lon), all_touched)
+        hits = _hits(cube, table, key, *_axes(cube, lat, lon), all_touched, scanline)
         work = Cube(cube.df.join(hits, [y, x]), (*cube.dims, key), cube.vars, cube.coords, cube.attrs)
         every = table.select(key)
     elif mask_arrays is not None:
@@ -192,12 +257,7 @@ def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *,
     over = (*spatial, *names(extra_reduce_dims))
     keys = work.without(*over)
     out = {v: labelled(v, how_label) for v in cube.vars}
-    if weights is not None:
-        work, w = core._weighted_frame(work, weights, lat)
-        exprs = {out[v]: st.weighted(how, F.col(v), w, **options) for v in cube.vars}
-    else:
-        exprs = {out[v]: st.aggregate(how, F.col(v), **options) for v in cube.vars}
-    result = aggregated(work, list(keys), keys, exprs, {out[v]: v for v in cube.vars})
+    result = core.grouped(work, keys, how, out, weights=weights, lat=lat, **options)
     for v, o in out.items():
         long_name = f"{how if isinstance(how, str) else how.__name__} {cube.meta(v).get('long_name', v)}"
         result = result.with_meta(o, long_name=long_name)

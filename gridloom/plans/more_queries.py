@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
-import uuid
+from functools import reduce as fold
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import Cube
-from ..detect import infer_frequency, spatial_info
+from ..detect import frequencies, spatial_info
+from ..functions.periods import Period
 from ..operators import climatology, ensemble, rates, spatial, temporal
 from ..operators import reduce as core
+from ..operators.partial import Partial
 from ..shared import shared_path
 from ..sources import from_csv, from_grib, from_netcdf, from_parquet, from_wide, geojson, message_index, to_grib, to_netcdf, to_parquet
-from ..streaming import resample_stream
-from .queries import _BOXES, _GRID, _W, _daily_grid, _regions, agg_sql, by_type, daily_events, events, gridded, hourly_totals, query, tidy
+from ..streaming import deaccumulate_stream, resample_stream, rolling_stream
+from .queries import _BOXES, _GRID, _W, _daily_grid, _regions, agg_sql, by_type, daily_events, events, gridded, hourly_totals, orders, query, tidy
 
 _DAILY = "(SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS t, sum(value) AS v FROM events GROUP BY ALL)"
 #: Daily sums of which those under a bound are missing; an absent day is one already.
@@ -252,10 +254,22 @@ def standardised_time(spark, sf_dir):
     return tidy(temporal.standardise_time(cube, "%Y-%m-15", time_dim="ts"))
 
 
-@query("SELECT 'dayofyear' AS daily, 'hour' AS hourly")
+#: Labels by day, week, month and quarter for the orders of each priority, and as they are for the last.
+_PACE = {"1-URGENT": ("D", "date_trunc('day', o_orderdate)"), "2-HIGH": ("W", "date_trunc('week', o_orderdate) + INTERVAL 6 DAY"), "3-MEDIUM": ("MS", "date_trunc('month', o_orderdate)"), "4-NOT SPECIFIED": ("YE", "make_date(year(o_orderdate), 12, 31)")}
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderpriority, CASE {' '.join(f"WHEN o_orderpriority = '{p}' THEN {e}" for p, (_, e) in _PACE.items())} ELSE o_orderdate END::TIMESTAMP AS t FROM orders),
+l AS (SELECT DISTINCT o_orderpriority, t FROM o), s AS (SELECT o_orderpriority, date_diff('day', lag(t) OVER (PARTITION BY o_orderpriority ORDER BY t), t) AS d FROM l)
+SELECT o_orderpriority, CASE WHEN min(d) = 1 AND max(d) = 1 THEN 'dayofyear' WHEN min(d) = 7 AND max(d) = 7 THEN 'weekofyear' WHEN min(d) >= 28 AND max(d) <= 31 THEN 'month' WHEN min(d) >= 365 AND max(d) <= 366 THEN 'year' END AS frequency FROM s GROUP BY ALL"""
+)
 def inferred_frequency(spark, sf_dir):
-    days, hours = daily_events(spark, sf_dir), core.resample(hourly_totals(spark, sf_dir), "h", "sum", time_dim="ts", extra_reduce_dims="event_type", fill_gaps=True)
-    return spark.createDataFrame([(infer_frequency(days, "ts"), infer_frequency(hours, "ts"))], "daily string, hourly string")
+    """Of each priority's labels, which are put at its own pace."""
+    cells = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("t"))
+    label = F.col("t")
+    for priority, (code, _) in _PACE.items():
+        label = F.when(F.col("o_orderpriority") == priority, Period.parse(code).label(F.col("t"))).otherwise(label)
+    return frequencies(cells.select("o_orderpriority", label.alias("t")), "t", "o_orderpriority")
 
 
 # Anomalies, attributes
@@ -267,23 +281,46 @@ def anomaly_how_tag(spark, sf_dir):
     return tidy(climatology.anomaly(cube, both, time_dim="ts", climatology_how_tag="mean"))
 
 
-@query("SELECT * FROM (VALUES ('anomaly', 'EUR', 'spend anomaly', 'spend_anomaly'), ('relative_anomaly', '%', 'spend relative anomaly', 'spend_relative_anomaly'), ('rate', 'EUR s^-1', 'spend rate', NULL), ('rate of 90 s', 'EUR (1.5 min)^-1', 'spend rate', NULL), ('rate of 3 h', 'EUR (3 hours)^-1', 'spend rate', NULL), ('rate of 5 days', 'EUR (5 days)^-1', 'spend rate', NULL), ('mean', 'EUR', 'spend', 'spend')) t(operator, units, long_name, standard_name)")
+_UNITS = {"anomaly": ("EUR", "anomaly"), "relative_anomaly": ("%", "relative anomaly"), "rate": ("EUR s^-1", "rate"), "rate of 90 s": ("EUR (1.5 min)^-1", "rate"), "rate of 3 h": ("EUR (3 hours)^-1", "rate"), "rate of 5 days": ("EUR (5 days)^-1", "rate"), "mean": ("EUR", "")}
+_STEPS = f"(SELECT event_type, t, v, lag(t) OVER (PARTITION BY event_type ORDER BY t) AS p, lead(t) OVER (PARTITION BY event_type ORDER BY t) AS n FROM {_DAILY})"
+_SECONDS = "date_diff('second', coalesce(p, t), CASE WHEN p IS NULL THEN n ELSE t END)"
+_TOTALS = {
+    "anomaly": f"SELECT event_type, max(v) - avg(v) AS top FROM {_DAILY} GROUP BY ALL",
+    "relative_anomaly": f"SELECT event_type, (max(v) - avg(v)) / avg(v) * 100 AS top FROM {_DAILY} GROUP BY ALL",
+    "mean": f"SELECT event_type, avg(v) AS top FROM {_DAILY} GROUP BY ALL",
+} | {f"rate{n}": f"SELECT event_type, max(v / {_SECONDS}) * {k} AS top FROM {_STEPS} GROUP BY ALL" for n, k in (("", 1), (" of 90 s", 90), (" of 3 h", 10800), (" of 5 days", 432000))}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS operator, event_type, round(top + 1e-8, 6) AS top, '{_UNITS[n][0]}' AS units, '{('spend ' + _UNITS[n][1]).strip()}' AS long_name FROM ({sql})" for n, sql in _TOTALS.items()))
 def attributes(spark, sf_dir):
+    """The largest value that several operators give each type, with the units and name that they give it."""
     cube = daily_events(spark, sf_dir).with_meta("value", units="EUR", long_name="spend", standard_name="spend")
     own = climatology.reduce(cube, "mean", time_dim="ts")
     made = {"anomaly": climatology.anomaly(cube, own, time_dim="ts"), "relative_anomaly": climatology.relative_anomaly(cube, own, time_dim="ts"), "mean": temporal.mean(cube, time_dim="ts")}
     made |= {n: rates.accumulation_to_rate(cube, time_dim="ts", rate_units=u) for n, u in (("rate", "seconds"), ("rate of 90 s", "90 seconds"), ("rate of 3 h", "3 hours"), ("rate of 5 days", "5 days"))}
-    rows = [(n, *[c.meta(c.vars[0]).get(k) for k in ("units", "long_name", "standard_name")]) for n, c in made.items()]
-    return spark.createDataFrame(rows, "operator string, units string, long_name string, standard_name string")
+    rows = []
+    for n, c in made.items():
+        (v,) = c.vars
+        meta = c.df.schema[v].metadata
+        rows.append(c.df.groupBy("event_type").agg(F.round(F.max(v) + 1e-8, 6).alias("top")).select(F.lit(n).alias("operator"), "event_type", "top", F.lit(meta.get("units")).alias("units"), F.lit(meta.get("long_name")).alias("long_name")))
+    return fold(DataFrame.unionByName, rows)
 
 
 # Axes
-@query("SELECT 'lat' AS lat, 'lon' AS lon, 'lat,lon' AS dims, true AS regular, false AS warped")
+_RARE = f"(SELECT DISTINCT event_type, lat, lon FROM {_GRID} WHERE value > 115)"
+
+
+@query(
+    f"""WITH g AS {_RARE}, y AS (SELECT event_type, lat - lag(lat) OVER (PARTITION BY event_type ORDER BY lat) AS s FROM (SELECT DISTINCT event_type, lat FROM g)), x AS (SELECT event_type, lon - lag(lon) OVER (PARTITION BY event_type ORDER BY lon) AS s FROM (SELECT DISTINCT event_type, lon FROM g))
+SELECT event_type, coalesce(any_value(a.ok), true) AND coalesce(any_value(b.ok), true) AS regular FROM g LEFT JOIN (SELECT event_type, max(s) - min(s) <= 1e-5 * max(s) AS ok FROM y GROUP BY ALL) a USING (event_type) LEFT JOIN (SELECT event_type, max(s) - min(s) <= 1e-5 * max(s) AS ok FROM x GROUP BY ALL) b USING (event_type) GROUP BY ALL"""
+)
 def grid_info(spark, sf_dir):
-    cube = _daily_grid(spark, sf_dir)
-    bent = cube.with_df(cube.df.withColumn("lat", F.pow(F.col("lat") / 10, F.lit(3))))
-    found = spatial_info(cube)
-    return spark.createDataFrame([(found["lat"], found["lon"], ",".join(found["spatial_dims"]), found["regular"], spatial_info(bent)["regular"])], "lat string, lon string, dims string, regular boolean, warped boolean")
+    """Whether the cells of each type's large values make a regular grid."""
+    cube = gridded(spark, sf_dir)
+    rare = cube.df.filter("value > 115")
+    types = [r[0] for r in rare.select("event_type").distinct().orderBy("event_type").collect()]  # five of them
+    found = [(t, spatial_info(Cube(rare.filter(F.col("event_type") == t), ("lat", "lon"), ("value",)))["regular"]) for t in types]
+    return spark.createDataFrame(found, "event_type string, regular boolean")
 
 
 @query(f"SELECT event_type, t, {agg_sql('std', 'value')} FROM (SELECT event_type, user_id % 5 AS m, date_trunc('day', ts)::TIMESTAMP AS t, avg(value) AS value FROM events GROUP BY ALL) GROUP BY ALL")
@@ -293,12 +330,181 @@ def ensemble_standard_deviation(spark, sf_dir):
     return tidy(ensemble.standard_deviation(members))
 
 
-# Streams
+# Streams. Files are read one by one; rows of the first days come once more with the last, too late to count.
+def _in_files(spark: SparkSession, rows: DataFrame, time: str, cut: str) -> str:
+    """A folder of three files of rows (time, event_type, value): up to a time, from then on, and late copies of
+    rows long past with one row far ahead, which moves the watermark on."""
+    path = shared_path(spark, "stream-in")
+    at = F.col(time)
+    late = rows.filter(at < F.lit("2024-01-03").cast("timestamp")).withColumn("value", F.lit(1e6))
+    ahead = rows.limit(1).withColumn(time, F.lit("2030-01-01").cast("timestamp"))
+    for part in (rows.filter(at < F.lit(cut).cast("timestamp")), rows.filter(at >= F.lit(cut).cast("timestamp")), late.unionByName(ahead)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _out(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """The stream's rows, appended to Parquet in the shared folder."""
+    path = shared_path(spark, "stream-out")
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _read_by_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS t, round(sum(value) + 1e-8, 6) AS value FROM events GROUP BY ALL")
 def stream_daily_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"daily_{uuid.uuid4().hex}"
-    source = spark.readStream.schema("ts timestamp_ntz, event_type string, value double").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = resample_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "D", "sum", time="ts", keys="event_type", values="value", watermark="1 day")
-    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("event_type", F.col("ts").cast("timestamp_ntz").alias("t"), F.round(F.col("value") + 1e-8, 6).alias("value"))
+    """Windows are given out when the watermark has passed them; the late rows belong to one of those."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    source = _read_by_file(spark, _in_files(spark, rows, "ts", "2024-01-20"), "ts timestamp, event_type string, value double")
+    out = _out(resample_stream(source, "D", "sum", time="ts", keys="event_type", values="value", watermark="1 day"), spark)
+    return out.select("event_type", F.col("ts").cast("timestamp_ntz").alias("t"), F.round(F.col("value") + 1e-8, 6).alias("value"))
+
+
+def _hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hourly_totals(spark, sf_dir).df.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return _read_by_file(spark, _in_files(spark, rows, "ts", "2024-01-20"), "ts timestamp, event_type string, value double")
+
+
+_HOURLY = "(SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS t, sum(value) AS v FROM events GROUP BY ALL)"
+
+
+@query(f"SELECT event_type, t, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY t) + 1e-8, 6) AS value FROM {_HOURLY}")
+def stream_deaccumulate(spark, sf_dir):
+    out = _out(deaccumulate_stream(_hourly_stream(spark, sf_dir), time="ts", keys="event_type", values="value", watermark="1 day"), spark)
+    return out.select("event_type", F.col("ts").cast("timestamp_ntz").alias("t"), F.round(F.when(~F.isnan("value"), F.col("value")) + 1e-8, 6).alias("value"))
+
+
+@query(f"SELECT event_type, t, CASE WHEN count(v) OVER w = 4 THEN round(avg(v) OVER w + 1e-8, 6) END AS value FROM {_HOURLY} WINDOW w AS (PARTITION BY event_type ORDER BY t ROWS 3 PRECEDING)")
+def stream_rolling_mean(spark, sf_dir):
+    out = _out(rolling_stream(_hourly_stream(spark, sf_dir), 4, "mean", time="ts", keys="event_type", values="value", watermark="1 day"), spark)
+    return out.select("event_type", F.col("ts").cast("timestamp_ntz").alias("t"), F.round(F.when(~F.isnan("value"), F.col("value")) + 1e-8, 6).alias("value"))
+
+
+# Groups of any size
+def _weighted_sql(cells: str, keys: str, q: float) -> str:
+    """The mean of the step function of the running weight w over a stretch of one effective weight."""
+    return f"""WITH c AS (SELECT {keys}, v, sum(w) AS w, sum(w * w) AS w2 FROM ({cells}) WHERE v IS NOT NULL AND w > 0 GROUP BY ALL), a AS (SELECT {keys}, sum(w) AS total, sum(w) ^ 2 / sum(w2) AS n FROM c GROUP BY ALL),
+s AS (SELECT {keys}, v, w, total / n AS size, {q} * (n - 1) * total / n AS low, coalesce(sum(w) OVER (PARTITION BY {keys} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c JOIN a USING ({keys}))
+SELECT {keys}, round(sum(v * greatest(0, least(low + size, b + w) - greatest(low, b))) / any_value(size) + 1e-8, 6) AS value FROM s GROUP BY ALL"""
+
+
+_OWN_WEIGHT = "1 + event_id % 7"
+
+
+def _with_weight(cube: Cube) -> Cube:
+    return Cube(cube.df.withColumn("w", (1 + F.col("event_id") % 7).cast("double")), cube.dims, cube.vars, ("w",))
+
+
+@query(_weighted_sql(f"SELECT event_type, value AS v, ({_OWN_WEIGHT})::DOUBLE AS w FROM events", "event_type", 0.25))
+def weighted_quantile_unequal(spark, sf_dir):
+    return tidy(core.reduce(_with_weight(by_type(spark, sf_dir)), "quantile", dim=("event_id", "ts"), weights="w", q=0.25))
+
+
+@query(_weighted_sql(f"SELECT hour(ts)::INTEGER AS hour, value AS v, ({_OWN_WEIGHT})::DOUBLE AS w FROM events", "hour", 0.5))
+def climatology_weighted_median(spark, sf_dir):
+    cube = _with_weight(by_type(spark, sf_dir))
+    return tidy(climatology.reduce(Cube(cube.df, ("ts",), cube.vars, ("w",)), "median", frequency="hour", time_dim="ts", weights="w"))
+
+
+def _far_std(keys: str, cells: str) -> str:
+    return f"WITH c AS ({cells}), m AS (SELECT {keys}, sum(w * v) / sum(w) AS m FROM c GROUP BY ALL) SELECT {keys}, round(sqrt(sum(w * (v - m) ^ 2) / sum(w)), 3) AS value FROM c JOIN m USING ({keys}) GROUP BY ALL"
+
+
+@query(_far_std("t", f"SELECT date_trunc('day', ts)::TIMESTAMP AS t, 1e9 + value AS v, ({_OWN_WEIGHT})::DOUBLE AS w FROM events"))
+def resample_weighted_std(spark, sf_dir):
+    """Deviations of values a billion off zero."""
+    cube = _with_weight(by_type(spark, sf_dir))
+    far = cube.with_df(cube.df.withColumn("value", 1e9 + F.col("value")))
+    out = core.resample(far, "D", "std", time_dim="ts", extra_reduce_dims=("event_type", "event_id"), weights="w").df
+    return out.select(F.col("ts").alias("t"), F.round("value", 3).alias("value"))
+
+
+@query(_far_std("region", f"SELECT region, 1e9 + value AS v, {_W} AS w FROM {_GRID} JOIN {_BOXES} ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1") + " UNION ALL SELECT 'none', NULL")
+def zonal_weighted_std(spark, sf_dir):
+    cube = gridded(spark, sf_dir)
+    far = cube.with_df(cube.df.withColumn("value", 1e9 + F.col("value")))
+    out = spatial.reduce(far, _regions(spark), "std", mask_dim="region", weights="latitude", extra_reduce_dims=("event_type", "event_id", "ts")).df
+    return out.select("region", F.round("value", 3).alias("value"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.9) + 1e-8, 6) AS value FROM events GROUP BY event_type")
+def quantile_of_large_groups(spark, sf_dir):
+    return tidy(core.reduce(by_type(spark, sf_dir), "quantile", dim=("event_id", "ts"), q=0.9, large_groups=True))
+
+
+@query("SELECT month(o_orderdate)::INTEGER AS month, 0.25::DOUBLE AS quantile, round(quantile_cont(o_totalprice, 0.25::DOUBLE) + 1e-8, 6) AS o_totalprice FROM orders GROUP BY ALL UNION ALL SELECT month(o_orderdate)::INTEGER, 0.9::DOUBLE, round(quantile_cont(o_totalprice, 0.9::DOUBLE) + 1e-8, 6) FROM orders GROUP BY ALL")
+def climatology_quantiles_of_large_groups(spark, sf_dir):
+    cube = Cube(orders(spark, sf_dir).df, ("o_orderdate",), ("o_totalprice",))
+    return tidy(climatology.quantiles(cube, [0.25, 0.9], frequency="month", time_dim="o_orderdate", large_groups=True))
+
+
+class Range(Partial):
+    """Largest less smallest value."""
+
+    def init(self):
+        return np.inf, -np.inf
+
+    def update(self, state, values):
+        return (min(state[0], values.min()), max(state[1], values.max())) if len(values) else state
+
+    def merge(self, a, b):
+        return min(a[0], b[0]), max(a[1], b[1])
+
+    def result(self, state):
+        return state[1] - state[0] if state[0] <= state[1] else None
+
+
+@query("SELECT event_type, user_id, round(max(value) - min(value) + 1e-8, 6) AS value FROM events GROUP BY event_type, user_id")
+def udf_range_partial(spark, sf_dir):
+    return tidy(core.reduce(events(spark, sf_dir), Range(), dim=("event_id", "ts")))
+
+
+# Long axes and blocks
+@query("WITH s AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS t, sum(value) AS v FROM events GROUP BY ALL) SELECT t, CASE WHEN count(v) OVER w = 24 THEN round(avg(v) OVER w + 1e-8, 6) END AS value FROM s WINDOW w AS (ORDER BY t ROWS 23 PRECEDING)")
+def rolling_long_series(spark, sf_dir):
+    """A series of time alone."""
+    return tidy(core.rolling_reduce(core.reduce(hourly_totals(spark, sf_dir), "sum", dim="event_type"), "mean", ts=24))
+
+
+for _how in ("prod", "argmin", "argmax"):
+    _value = "product(v / 1000) OVER w" if _how == "prod" else f"arg_{_how[3:]}(i, v) OVER w - (i - 2)"
+    _value = f"round({_value} + 1e-8, 6)" if _how == "prod" else f"({_value})::DOUBLE"
+
+    @query(f"SELECT event_type, t, CASE WHEN count(v) OVER w = 3 THEN {_value} END AS value FROM {_ONCE} WINDOW w AS (PARTITION BY event_type ORDER BY i RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)", f"rolling_{_how}")
+    def _(spark, sf_dir, how=_how):
+        cube = daily_events(spark, sf_dir)
+        cube = cube.with_df(cube.df.withColumn("value", F.col("value") / 1000)) if how == "prod" else cube
+        out = tidy(core.rolling_reduce(cube, how, ts=3))
+        return out if how == "prod" else out.withColumn("value", F.col("value").cast("double"))
+
+
+for _how, _sql in (("std", "stddev_pop(b.v)"), ("max", "max(b.v)"), ("count", "count(b.v)")):
+    _value = f"round({_sql} + 1e-8, 6)"
+
+    @query(f"""WITH s AS (SELECT (user_id % 10)::BIGINT AS grp, date_trunc('day', ts)::TIMESTAMP AS t, sum(value) AS v FROM events GROUP BY ALL),
+x AS (SELECT *, dense_rank() OVER (ORDER BY grp) AS gi, dense_rank() OVER (ORDER BY t) AS ti FROM s)
+SELECT a.grp, a.t, CASE WHEN count(b.v) >= 3 THEN {_value} END AS value FROM x a JOIN x b ON b.gi BETWEEN a.gi - 2 AND a.gi AND b.ti BETWEEN a.ti - 1 AND a.ti GROUP BY a.grp, a.t""", f"rolling_block_{_how}")
+    def _(spark, sf_dir, how=_how):
+        cells = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("grp"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "value").groupBy("grp", "ts").agg(F.sum("value").alias("value"))
+        out = core.rolling_reduce(Cube.of(cells, ("grp", "ts"), ["value"]), how, dim={"grp": 3, "ts": 2}, min_periods=3)
+        return tidy(out.with_df(out.df.withColumn("value", F.col("value").cast("double"))))
+
+
+# Features line by line, and of very different size
+@query(f"SELECT region, event_type, round(avg(value) + 1e-8, 6) AS value FROM (SELECT DISTINCT region, event_type FROM events, {_BOXES}) LEFT JOIN (SELECT region, event_type, value FROM {_GRID} JOIN {_BOXES} ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1) USING (region, event_type) GROUP BY ALL")
+def zonal_scanline(spark, sf_dir):
+    return tidy(spatial.reduce(gridded(spark, sf_dir), _regions(spark), "mean", mask_dim="region", extra_reduce_dims=("event_id", "ts"), scanline=True))
+
+
+@query(f"WITH f AS (SELECT 'world' AS name, -180.5 AS x0, -90.5 AS y0, 180.5 AS x1, 90.5 AS y1 UNION ALL SELECT DISTINCT 'user ' || user_id, (user_id % 36) * 10 - 181.0, (user_id % 19) * 10 - 91.0, (user_id % 36) * 10 - 179.0, (user_id % 19) * 10 - 89.0 FROM events) SELECT name, count(*) AS cells FROM f JOIN (SELECT DISTINCT lat, lon FROM {_GRID}) ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1 GROUP BY ALL")
+def features_of_all_sizes(spark, sf_dir):
+    """The whole grid, and a box about the cell of each user."""
+    x, y = (F.col("user_id") % 36) * 10.0 - 180, (F.col("user_id") % 19) * 10.0 - 90
+    corners = F.array(*[F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().select(F.concat(F.lit("user "), "user_id").alias("name"), F.array(corners).alias("rings"))
+    world = spatial.features(spark, [("world", spatial.box(-180.5, -90.5, 180.5, 90.5))], "name")
+    return spatial.points_in_features(_daily_grid(spark, sf_dir), users.unionByName(world), "name", "lat", "lon").groupBy("name").agg(F.count("*").alias("cells"))

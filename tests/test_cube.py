@@ -76,11 +76,6 @@ def test_weights_by_table(spark, nan2x2):
     assert column(core.reduce(nan2x2, "std", weights=w), "v") == [pytest.approx(math.sqrt((1 * 0.16 + 2 * 0.16 + 2 * 0.36) / 5))]
 
 
-def test_weighted_quantile():
-    assert st.weighted_quantile(np.array([1.0, NAN, 3, 4]), np.ones(4), 0.5) == 3.0
-    assert st.weighted_quantile(np.array([1.0, 2, 4, 8]), np.ones(4), 0.25) == np.quantile([1, 2, 4, 8], 0.25)
-
-
 def test_latitude_weights(spark):
     cube = Cube.of(spark.createDataFrame([(float(y), 1) for y in (-90, -60, 0, 60, 90)], "latitude double, v long"), "latitude")
     got = [r[0] for r in cube.df.orderBy("latitude").select(st.latitude_weight(F.col("latitude"))).collect()]
