@@ -13,9 +13,9 @@ The fourth holds the same for the whole word so far; these counts grow with the
 are never in one table: words are dealt out by how they begin, and each task counts its own.
 
 A gate, made of the place in the word and of how much the predictors have seen, selects weights; the
-weighted sum of the predictors' logits is squashed to a probability. The weights are fitted online:
-each task goes once through its words and carries them from step to step (a word itself being left out
-of what its slots have seen), and the results of the tasks are averaged. This is done for three
+weighted sum of the predictors' logits is squashed to a probability. The weights are fitted online: words
+are dealt out to parts by a hash, each part is gone through once in order, carrying its weights from step to
+step (a word itself being left out of what its slots have seen), and the results of the parts are averaged. This is done for three
 sets of weights: each word as often as it occurs, each word once, and each word as if it were new.
 
 A document mixes the three sets. Their shares start alike and are refined after each run of ``RUN``
@@ -57,6 +57,8 @@ LIMIT, PRIOR, BIAS = 12.0, 0.1, 0.4
 TAILS = 1024
 #: Words are dealt out by so many first bytes, and by twice as many where that leaves too much together.
 DEPTH = 3
+#: Least number of buckets of words: it follows from the texts alone, never from the cluster.
+LEAST_BUCKETS = 64
 #: By how much the whole-word predictor has seen; the last weight is the bias.
 INITIAL = ((0.0, 0.6, 0.3, 0.1, 0.0), (0.3, 0.4, 0.2, 0.1, 0.0), (0.6, 0.3, 0.1, 0.0, 0.0), (0.8, 0.2, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0, 0.0))
 
@@ -392,18 +394,22 @@ def _profiles(batches):
         yield pa.RecordBatch.from_arrays([pa.array([profile_of(byte_counts(t)).astype("<f4").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["profile"])
 
 
+#: Profiles are summed as whole numbers of this part, so that the sums don't depend on how rows lie in tasks.
+PART = 1 << 20
+
+
 def _sums(centres: np.ndarray):
-    """A task's number, sum and sum of squares of profiles for each centre."""
+    """A task's number, sum and sum of squares of profiles for each centre, in whole parts."""
 
     def run(batches):
-        total = np.zeros((len(centres), 129))
+        total = np.zeros((len(centres), 129), np.int64)
         for batch in batches:
             p = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<f4").reshape(-1, 64).astype(np.float64)
-            near = nearest(p, centres)
+            near, q = nearest(p, centres), np.rint(p * PART).astype(np.int64)
             for k in range(len(centres)):
-                own = p[near == k]
+                own = q[near == k]
                 total[k] += np.concatenate([[len(own)], own.sum(0), (own**2).sum(0)])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["k", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(list(total), pa.list_(pa.int64()))], names=["k", "sums"])
 
     return run
 
@@ -415,10 +421,10 @@ def class_centres(texts: DataFrame, rounds: int = 2) -> np.ndarray:
     profiles = written(texts.mapInArrow(_profiles, "profile binary"), "lm-profiles")
 
     def gathered(centres: np.ndarray) -> np.ndarray:
-        rows = profiles.mapInArrow(_sums(centres), "k int, sums array<double>").select("k", F.posexplode("sums").alias("at", "x")).groupBy("k", "at").agg(F.sum("x").alias("x")).collect()
+        rows = profiles.mapInArrow(_sums(centres), "k int, sums array<long>").select("k", F.posexplode("sums").alias("at", "x")).groupBy("k", "at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()
         out = np.zeros((len(centres), 129))
         for r in rows:
-            out[r.k, r.at] = r.x
+            out[r.k, r.at] = int(r.x) / (1 if r.at == 0 else PART if r.at < 65 else PART**2)
         return out
 
     centres = np.zeros((1, 64))
@@ -568,7 +574,7 @@ def _split(depth: int, fan_out: int):
     return run
 
 
-_LEXICON = "depth int, words binary, sizes binary, kinds binary, count binary, total binary, place binary, blocks array<long>, ends array<long>, numbers binary, letters array<long>, n_tokens long, n_distinct long"
+_LEXICON = "bucket long, depth int, words binary, sizes binary, kinds binary, count binary, total binary, place binary, blocks array<long>, ends array<long>, numbers binary, letters array<long>, n_tokens long, n_distinct long"
 
 
 def _pack(depth: int):
@@ -594,6 +600,7 @@ def _pack(depth: int):
         letters[END] += count.sum()
         return pa.table(
             {
+                "bucket": table["bucket"][:1],
                 "depth": pa.array([depth], pa.int32()),
                 "words": pa.array([own.data.tobytes()], pa.binary()),
                 "sizes": pa.array([own.size.astype("<u4").tobytes()], pa.binary()),
@@ -654,34 +661,49 @@ def _slot_counts(tree: Tree):
                     for row in slots:
                         np.add.at(seen, row, c)
                         np.add.at(ones, row, c * bit)
-        met = np.flatnonzero(seen.reshape(-1, CHUNK).any(1))
-        for at in np.array_split(met, max(1, len(met) // 64)):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([t[a * CHUNK : (a + 1) * CHUNK].astype("<f4").tobytes() for a in at], pa.binary()) for t in (seen, ones))], names=["chunk", "seen", "ones"])
+        while (met := np.flatnonzero(seen.reshape(-1, CHUNK).any(1))).size:  # more than once only where four bytes don't hold a count
+            for at in np.array_split(met, max(1, len(met) // 64)):
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([np.minimum(t[a * CHUNK : (a + 1) * CHUNK], 0xFFFFFFFF).astype("<u4").tobytes() for a in at], pa.binary()) for t in (seen, ones))], names=["chunk", "seen", "ones"])
+            for t in (seen, ones):
+                np.maximum(t - 0xFFFFFFFF, 0, out=t)
 
     return run
 
 
 def _sum_chunk(table: pa.Table) -> pa.Table:
     def total(name: str) -> bytes:
-        return sum(np.frombuffer(x, "<f4").astype(np.float64) for x in table[name].to_pylist()).astype("<f4").tobytes()
+        return sum(np.frombuffer(x, "<u4").astype(np.float64) for x in table[name].to_pylist()).astype("<f4").tobytes()
 
     return pa.table({"chunk": table["chunk"][:1], "seen": pa.array([total("seen")], pa.binary()), "ones": pa.array([total("ones")], pa.binary())})
 
 
+#: Distinct words for which there is a part that weights are fitted in, and the least number of parts.
+PART_WORDS, LEAST_PARTS = 1 << 18, 8
+
+
 def _fitted(shared):
-    """A task's weights after its words, and the number of words."""
+    """Rows (part, ...) sorted by part and bucket: each part's weights after its words, times their number,
+    and the number."""
 
     def run(batches):
         tree, seen, ones = shared.value
-        learners, n = [Learner(initial_weights()) for _ in range(SETS)], 0
+        at, learners, n = None, [], 0
+
+        def emit():
+            w = np.stack([x.w for x in learners]).ravel() * n
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w), pa.array([n] * len(w), pa.int64())], names=["cell", "w", "n"])
+
         for batch in batches:
             for k in range(len(batch)):
+                if batch["part"][k].as_py() != at:
+                    if n:
+                        yield emit()
+                    at, learners, n = batch["part"][k].as_py(), [Learner(initial_weights()) for _ in range(SETS)], 0
                 words, count, depth = _entries(batch, k)
                 learn_words(words, count, depth, tree, seen, ones, learners)
                 n += int((count > 0).sum())
         if n:
-            w = np.stack([x.w for x in learners]).ravel() * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w), pa.array([n] * len(w), pa.int64())], names=["cell", "w", "n"])
+            yield emit()
 
     return run
 
@@ -775,10 +797,14 @@ def fit_model(texts: DataFrame, centres: np.ndarray, tally: DataFrame, lexicon:
     for r in entries.mapInArrow(_slot_counts(tree), _TABLE).groupBy("chunk").applyInArrow(_sum_chunk, _TABLE).toLocalIterator():
         seen[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.seen, "<f4")
         ones[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.ones, "<f4")
-    cells = entries.mapInArrow(_fitted(spark.sparkContext.broadcast((tree, seen, ones))), "cell int, w double, n long").groupBy("cell").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+    # parts follow from the words alone, and sums of decimals don't depend on their order: so don't the weights on the cluster
+    parts = max(LEAST_PARTS, int(distinct) // PART_WORDS)
+    dealt = lexicon.select(F.pmod(F.xxhash64("depth", "bucket"), F.lit(parts)).alias("part"), "bucket", "depth", "words", "sizes", "kinds", "count").repartition(min(parts, shuffle_partitions(spark)), "part").sortWithinPartitions("part", "depth", "bucket")
+    fitted = dealt.mapInArrow(_fitted(spark.sparkContext.broadcast((tree, seen, ones))), "cell int, w double, n long")
+    cells = fitted.groupBy("cell").agg(F.sum(F.col("w").cast("decimal(38,12)")).alias("w"), F.sum("n").alias("n")).collect()
     weights = np.stack([initial_weights()] * SETS)
     for r in cells:
-        weights.ravel()[r.cell] = r.w
+        weights.ravel()[r.cell] = float(r.w) / r.n
     followed = np.zeros(len(centres) * TAILS * 256, np.int64)
     pairs = tally.filter("key is not null").select(F.explode(F.arrays_zip("key", "n")).alias("x")).groupBy("x.key").agg(F.sum("x.n").alias("n"))
     for batch in pairs.toPandas().itertuples(index=False):
@@ -808,7 +834,7 @@ def scores_and_model(docs: DataFrame, *, id_col: str, text_col: str, folds: int,
     rows = id_and_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False)))
     centres = class_centres(rows.filter(~F.col("held_out")).select("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(spark), 1 + chars // bucket_chars)
+    buckets = max(LEAST_BUCKETS, 1 + chars // bucket_chars)
     tally = written(rows.select("doc_id", "text", "held_out").mapInArrow(_tally(centres, buckets, block_docs, block_chars), _TALLY), "lm-tally", compression="zstd")
     lexicon = lexicon_of(tally.filter("bucket is not null"), bucket_bytes)
     model = fit_model(rows, centres, tally, lexicon)
