@@ -1,11 +1,13 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor.
 
-Every sentence of a text that mentions a licence is a header; a licence file (by name) is taken
-whole as well. Term weights come from the templates; a word they don't know weighs as one that
-occurs in none. A template is compared only with texts of the same telling words (names, versions
-and clauses that tell rivals apart: affero, lesser, nc, 2.1, ...), so that a near name is never taken
-for another. Templates at or above ``threshold`` name the licences; the best is the document's. Files
-without one of their own take that of the nearest directory above that holds a licence file.
+Every sentence of a text that mentions a licence is a header, and so are its parts where it is cut at "or",
+"and" and their like in German, French and Spanish; a licence file (by name) is taken whole as well. Term
+weights come from the templates; a word they don't know weighs as one that occurs in none. A template
+is compared with the texts that have all its telling words (names, versions and clauses that tell rivals
+apart: affero, lesser, nc, 2.1, ...), and of those that match a text the ones go whose telling words another
+one of a different licence has and exceeds: the Lesser GPL isn't taken for the GPL, but two licences in one
+sentence are both found. Templates at or above ``threshold`` name the licences; the best is the document's.
+Files without one of their own take that of the nearest directory above that holds a licence file.
 """
 
 from __future__ import annotations
@@ -62,15 +64,35 @@ _TEXTS = (
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("EUPL-1.2", "Licensed under the European Union Public Licence EUPL, version 1.2."),
     ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", "Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Apache-2.0", "Apache License 2.0."),
+    ("MIT", "The MIT License (MIT)."),
+    ("MIT", "Licensed under the MIT License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("GPL-3.0", "Licensed under the GNU GPL v3."),
+    ("GPL-3.0", "Licensed under the GPL version 3."),
+    ("GPL-2.0", "Licensed under the GNU GPL v2."),
+    ("GPL-2.0", "Licensed under the GPL version 2."),
+    ("LGPL-3.0", "Licensed under the GNU LGPL v3."),
+    ("LGPL-2.1", "Licensed under the GNU LGPL v2.1."),
+    ("AGPL-3.0", "Licensed under the GNU AGPL v3."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+    ("MPL-2.0", "Licensed under the MPL 2.0."),
+    *((name, sentence.format(said)) for name, said in (("MIT", "MIT"), ("Apache-2.0", "Apache 2.0"), ("BSD-3-Clause", "BSD 3-Clause"), ("BSD-2-Clause", "BSD 2-Clause"), ("GPL-3.0", "GNU GPL v3"), ("GPL-2.0", "GNU GPL v2"), ("LGPL-3.0", "GNU LGPL v3"), ("MPL-2.0", "MPL 2.0")) for sentence in ("Lizenziert unter der {}-Lizenz.", "Veröffentlicht unter der {}-Lizenz.", "Distribué sous licence {}.", "Publié sous la licence {}.", "Licenciado bajo la licencia {}.", "Publicado bajo la licencia {}.")),
 )
 #: Besides their texts, every licence's tag.
 TEMPLATES = (*_TEXTS, *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in _TEXTS)))
 #: Words that tell rivals apart.
 TELLING = (
-    "affero", "agpl", "apache", "bsd", "cc", "clause", "commons", "eclipse", "endorse", "epl", "eupl", "european", "gnu", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl",
+    "affero", "agpl", "apache", "boost", "bsd", "cc", "clause", "commons", "eclipse", "endorse", "epl", "eupl", "european", "gnu", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl",
     "nc", "nd", "noncommercial", "noderivatives", "sa", "sharealike", "unlicense", "0", "1.0", "1.1", "1.2", "2", "2.0", "2.1", "3", "3.0", "4.0",
 )
-MENTION = r"(?i)licen[cs]e|SPDX|permission is hereby granted|redistribution and use"
+MENTION = r"(?i)licen[cs]|lizen[zs]|SPDX|permission is hereby granted|permission to use|redistribution and use"
+#: Where a sentence that names several licences is cut.
+BETWEEN = r"(?i)\s+(?:or|and|oder|und|ou|et|o|y)\s+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 SENTENCE = r"\n|(?<=[.!?])\s+"
@@ -88,35 +110,37 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, float, f
     return rows, math.log(1 + len(bags)) + 1
 
 
-def telling(words: Column) -> Column:
-    """The telling words of an array of words, as text."""
-    return F.array_join(F.array_sort(F.array_distinct(F.array_intersect(words, F.array(*map(F.lit, TELLING))))), " ")
-
-
 def telling_of(text: str) -> str:
     return " ".join(sorted(set(re.findall(WORD, text.lower())) & set(TELLING)))
 
 
+_ROW = ("id", "row", "row2")
+
+
 def header_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.6) -> DataFrame:
-    """(row, whole, licence, score): the licences of each row of (row, path, text) with their best scores,
-    ``whole`` if the text as a whole was compared."""
+    """(id, row, row2, whole, licence, score): the licences of each row of (id, row, row2, path, text) with their
+    best scores, ``whole`` if the text as a whole was compared."""
     spark = docs.sparkSession
     rows, unseen = template_weights(templates)
-    kinds = [telling_of(t) for _, t in templates]
-    table = spark.createDataFrame([(*r, kinds[r[0]]) for r in rows], "template int, word string, weight double, idf double, telling string")  # as large as the templates
-    names = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(templates)], "template int, licence string")
+    kinds = [sorted(set(telling_of(t).split())) for _, t in templates]
+    table = spark.createDataFrame([(k, w, x, i, templates[k][0], kinds[k]) for k, w, x, i in rows], "template int, word string, weight double, idf double, licence string, tells array<string>")  # as large as the templates
     mentions = docs.filter(F.col("text").rlike(MENTION) | F.col("path").rlike(LICENCE_FILE))
-    sentences = F.filter(F.transform(F.split("text", SENTENCE, -1), lambda s: F.struct(F.lit(False).alias("whole"), s.alias("s"))), lambda x: x.s.rlike(MENTION))
+    sentences = F.filter(F.split("text", SENTENCE, -1), lambda s: s.rlike(MENTION))
+    parts = F.flatten(F.transform(sentences, lambda s: F.array_distinct(F.concat(F.array(s), F.split(s, BETWEEN, -1)))))
     files = F.when(F.col("path").rlike(LICENCE_FILE), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("s")))).otherwise(F.array().cast("array<struct<whole:boolean,s:string>>"))
-    headers = mentions.select("row", F.posexplode(F.concat(sentences, files)).alias("k", "h"))
-    bags = headers.select("row", "k", "h.whole", F.regexp_extract_all(F.lower("h.s"), F.lit(WORD), F.lit(0)).alias("bag"))
-    told = bags.withColumn("telling", telling(F.col("bag"))).filter(F.col("telling").isin(sorted(set(kinds))))  # below the explode: once for each header
-    words = told.select("row", "k", "whole", "telling", F.explode("bag").alias("word")).groupBy("row", "k", "whole", "telling", "word").agg(F.count("*").alias("n"))
+    headers = mentions.select(*_ROW, F.posexplode(F.concat(F.transform(parts, lambda s: F.struct(F.lit(False).alias("whole"), s.alias("s"))), files)).alias("k", "h"))
+    bags = headers.select(*_ROW, "k", "h.whole", F.regexp_extract_all(F.lower("h.s"), F.lit(WORD), F.lit(0)).alias("bag"))
+    told = bags.withColumn("telling", F.array_distinct(F.array_intersect("bag", F.array(*map(F.lit, TELLING)))))
+    words = told.select(*_ROW, "k", "whole", "telling", F.explode("bag").alias("word")).groupBy(*_ROW, "k", "whole", "telling", "word").agg(F.count("*").alias("n"))
     idf = table.select("word", "idf").distinct()
-    norms = words.join(F.broadcast(idf), "word", "left").groupBy("row", "k").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(unseen))) ** 2)).alias("norm"))
-    dots = words.join(F.broadcast(table), ["word", "telling"]).groupBy("row", "k", "whole", "template").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
-    best = dots.join(norms, ["row", "k"]).select("row", "whole", "template", (F.col("dot") / F.col("norm")).alias("score")).filter(F.col("score") >= threshold)
-    return best.join(F.broadcast(names), "template").groupBy("row", "whole", "licence").agg(F.max("score").alias("score"))
+    norms = words.join(F.broadcast(idf), "word", "left").groupBy(*_ROW, "k").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(unseen))) ** 2)).alias("norm"))
+    fitting = words.join(F.broadcast(table), "word").filter(F.size(F.array_except("tells", "telling")) == 0)
+    dots = fitting.groupBy(*_ROW, "k", "whole", "template", "licence", "tells").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, [*_ROW, "k"]).withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= threshold)
+    every = scored.groupBy(*_ROW, "k", "whole").agg(F.collect_set(F.struct("licence", "tells")).alias("all"), F.collect_list(F.struct("licence", "tells", "score")).alias("found"))  # as many as there are templates
+    each = every.select(*_ROW, "whole", "all", F.explode("found").alias("f"))
+    told_apart = F.exists("all", lambda o: (o.licence != F.col("f.licence")) & (F.size(F.array_except(F.col("f.tells"), o.tells)) == 0) & (F.size(o.tells) > F.size(F.col("f.tells"))))
+    return each.filter(~told_apart).groupBy(*_ROW, "whole", F.col("f.licence").alias("licence")).agg(F.max("f.score").alias("score"))
 
 
 def ancestors(path: Column) -> Column:
@@ -135,11 +159,13 @@ def licence_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     licence is what files below inherit. Repeated rows are judged alike. Files of a hot directory are
     salted over ``salts`` keys. Empty table: no rows.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[path_col].cast("string"), F.lit("")).alias("path"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "path", "text"))
-    matches = header_matches(rows.select("row", "path", "text"), templates, threshold).withColumn("score", F.round("score", 6))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[path_col].cast("string"), F.lit("")).alias("path"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    # rows are known by their id and two hashes of all of them: one hash of 64 bits isn't enough for as many
+    rows = rows.withColumns({"id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "row": F.xxhash64("doc_id", "path", "text"), "row2": F.xxhash64(F.lit(1), "text", "path")})
+    matches = header_matches(rows.select(*_ROW, "path", "text"), templates, threshold).withColumn("score", F.round("score", 6))
     first = F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("score")).alias("less"), "licence"))
-    found = written(matches.groupBy("row").agg(first.alias("m"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences")).select("row", (~F.col("m.part")).alias("whole"), (-F.col("m.less")).alias("score"), "m.licence", "licences"), "licences")
-    own = rows.select("doc_id", "path", "row").join(found, "row", "left")
+    found = written(matches.groupBy(*_ROW).agg(first.alias("m"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences")).select(*_ROW, (~F.col("m.part")).alias("whole"), (-F.col("m.less")).alias("score"), "m.licence", "licences"), "licences")
+    own = rows.select("doc_id", "path", *_ROW).join(found, list(_ROW), "left")
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     holders = own.filter(F.col("licence").isNotNull() & F.col("path").rlike(LICENCE_FILE)).withColumn("dir", directory)
     granted = holders.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("g"))

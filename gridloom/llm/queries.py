@@ -12,7 +12,7 @@ from .decontaminate import contaminated
 from .exact_dedup import grace_dedup
 from .jaccard_join import jaccard_components
 from .language_id import language_id
-from .licenses import MENTION, TELLING, TEMPLATES, WORD, licence_scan, telling_of, template_weights
+from .licenses import BETWEEN, MENTION, TELLING, TEMPLATES, WORD, licence_scan
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .packing import best_fit_packing
@@ -108,24 +108,30 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shi
 FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
 """
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _op9_sql() -> str:
-    """Sentences that mention a licence, and whole licence files, against the templates; then the
-    best of the folder, or of the one above."""
-    rows, unseen = template_weights()
-    kinds = [telling_of(t) for _, t in TEMPLATES]
-    weights = ", ".join(f"({k}, '{w}', {x!r}::DOUBLE, {i!r}::DOUBLE, '{kinds[k]}')" for k, w, x, i in rows)
-    names = ", ".join(f"({k}, '{n}')" for k, (n, _) in enumerate(TEMPLATES))
-    parts = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))"
+    """Term weights from the templates' texts; sentences that mention a licence, their parts, and whole
+    licence files against them; then the best of the folder, or of the one above."""
+    given = ", ".join(f"({k}, {_quoted(n)}, {_quoted(t)})" for k, (n, t) in enumerate(TEMPLATES))
+    parts = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, 'MENTION'))".replace("MENTION", MENTION)
+    cut = f"unnest(list_distinct(list_concat([s], string_split_regex(s, '{BETWEEN}'))))"
     tells = ", ".join(f"'{w}'" for w in TELLING)
+    told = f"list_distinct(list_filter(bag, lambda x: x IN ({tells})))"
     return f"""
-WITH t AS (SELECT * FROM (VALUES {weights}) AS t(template, word, weight, idf, telling)), names AS (SELECT * FROM (VALUES {names}) AS n(template, licence)),
+WITH tt AS (SELECT * FROM (VALUES {given}) AS t(template, licence, text)), tb AS (SELECT template, licence, regexp_extract_all(lower(text), '{WORD}') AS bag FROM tt), tk AS (SELECT template, licence, {told} AS tells FROM tb),
+tw AS (SELECT template, word, count(*) AS c FROM (SELECT template, unnest(bag) AS word FROM tb) GROUP BY ALL), df AS (SELECT word, ln((1 + (SELECT count(*) FROM tt)) / (1 + count(*))) + 1 AS idf FROM tw GROUP BY word),
+tn AS (SELECT template, sqrt(sum((c * idf) ^ 2)) AS norm FROM tw JOIN df USING (word) GROUP BY template), t AS (SELECT template, word, c * idf / norm AS weight, idf FROM tw JOIN df USING (word) JOIN tn USING (template)),
 d AS (SELECT doc_id, text, concat_ws('/', source, lang) AS folder, doc_id % 20 = 0 AS file FROM documents),
-s AS (SELECT doc_id, unnest({parts}) AS s, generate_subscripts({parts}, 1) AS k, false AS whole FROM d UNION ALL SELECT doc_id, text, 0, true FROM d WHERE file),
-bags AS (SELECT doc_id, k, whole, regexp_extract_all(lower(s), '{WORD}') AS bag FROM s WHERE whole OR regexp_matches(s, '{MENTION}')),
-w AS (SELECT doc_id, k, whole, telling, word, count(*) AS n FROM (SELECT doc_id, k, whole, array_to_string(list_sort(list_distinct(list_filter(bag, lambda x: x IN ({tells})))), ' ') AS telling, unnest(bag) AS word FROM bags) GROUP BY ALL),
-norms AS (SELECT doc_id, k, sqrt(sum((n * coalesce(idf, {unseen!r})) ^ 2)) AS norm FROM w LEFT JOIN (SELECT DISTINCT word, idf FROM t) USING (word) GROUP BY ALL),
-dots AS (SELECT doc_id, k, whole, template, sum(n * idf * weight) AS dot FROM w JOIN t USING (word, telling) GROUP BY ALL),
-best AS (SELECT doc_id, whole, licence, round(max(dot / norm), 6) AS score FROM dots JOIN norms USING (doc_id, k) JOIN names USING (template) WHERE dot / norm >= 0.6 GROUP BY ALL),
+s AS (SELECT doc_id, {cut} AS s, false AS whole FROM (SELECT doc_id, unnest({parts}) AS s FROM d) UNION ALL SELECT doc_id, text, true FROM d WHERE file),
+bags AS (SELECT doc_id, row_number() OVER () AS k, whole, regexp_extract_all(lower(s), '{WORD}') AS bag FROM s),
+w AS (SELECT doc_id, k, whole, telling, word, count(*) AS n FROM (SELECT doc_id, k, whole, {told} AS telling, unnest(bag) AS word FROM bags) GROUP BY ALL),
+norms AS (SELECT k, sqrt(sum((n * coalesce(idf, ln(1 + (SELECT count(*) FROM tt)) + 1)) ^ 2)) AS norm FROM w LEFT JOIN df USING (word) GROUP BY ALL),
+dots AS (SELECT doc_id, k, whole, template, licence, tells, sum(n * idf * weight) AS dot FROM w JOIN t USING (word) JOIN tk USING (template) WHERE list_has_all(telling, tells) GROUP BY ALL),
+cand AS (SELECT doc_id, k, whole, licence, tells, dot / norm AS score FROM dots JOIN norms USING (k) WHERE dot / norm >= 0.6),
+best AS (SELECT doc_id, whole, licence, round(max(score), 6) AS score FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.k = c.k AND o.licence <> c.licence AND list_has_all(o.tells, c.tells) AND len(o.tells) > len(c.tells)) GROUP BY ALL),
 own AS (SELECT doc_id, min((NOT whole, -score, licence)) AS m, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM best GROUP BY doc_id),
 given AS (SELECT folder, min((m[2], m[3])) AS g FROM own JOIN d USING (doc_id) WHERE file GROUP BY folder),
 up AS (SELECT d.doc_id, coalesce(a.g, b.g, c.g) AS g FROM d LEFT JOIN given a ON a.folder = d.folder LEFT JOIN given b ON contains(d.folder, '/') AND b.folder = string_split(d.folder, '/')[1] LEFT JOIN given c ON c.folder = '')
@@ -135,6 +141,33 @@ FROM d LEFT JOIN own USING (doc_id) LEFT JOIN up USING (doc_id)
 """
 
 
+#: Shared shingles of all pairs, then what links reach.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) > 0), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+j AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'g': array_to_string(w[i:i + k - 1], ' '), 'h1': w[i], 't1': array_to_string(w[i + 1:i + k - 1], ' '), 'h2': array_to_string(w[i:i + 1], ' '), 't2': w[i + k - 1]})) AS j FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k),
+g AS (SELECT lang, k, j.g AS g, j.h1 AS h1, j.t1 AS t1, j.h2 AS h2, j.t2 AS t2 FROM j),
+f AS (SELECT lang, g, lang || chr(10) || g AS key, any_value(k) AS k, count(*) AS f, any_value(h1) AS h1, any_value(t1) AS t1, any_value(h2) AS h2, any_value(t2) AS t2 FROM g GROUP BY lang, g), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+parts AS (SELECT lang, g, key, f AS a, 1 AS cut, lang || chr(10) || h1 AS h, lang || chr(10) || t1 AS t FROM c UNION ALL SELECT lang, g, key, f, 2, lang || chr(10) || h2, lang || chr(10) || t2 FROM c WHERE k = 3),
+cuts AS (SELECT p.lang, p.g, p.key, a, cut, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM parts p JOIN f x ON x.key = p.h JOIN f y ON y.key = p.t),
+best AS (SELECT lang, g, key, min((score, cut, a, l, r)) AS m FROM cuts GROUP BY ALL),
+longer AS (SELECT lang || chr(10) || h2 AS key, max(f) AS a FROM c WHERE k = 3 GROUP BY 1 UNION ALL SELECT lang || chr(10) || t1, max(f) FROM c WHERE k = 3 GROUP BY 1),
+inside AS (SELECT DISTINCT c.key FROM c JOIN longer o ON o.key = c.key WHERE c.k = 2 AND 100 * o.a >= 50 * c.f),
+kept AS (SELECT lang, g AS phrase, m[3] AS a, m[4] AS l, m[5] AS r, m[1] AS score FROM best LEFT JOIN inside i ON i.key = best.key WHERE i.key IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
@@ -156,4 +189,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql(), "op10_exact_dedup": OP10_SQL, "op11_jaccard_join": OP11_SQL, "op12_collocations": OP12_SQL}

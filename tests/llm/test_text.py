@@ -571,4 +571,44 @@ def test_pipeline(spark, tmp_path):
 
 def test_registration():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}
-    assert numbers == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_licences_named_beside_each_other_and_in_other_words(spark):
+    said = {
+        "Dual-licensed under the MIT License and the Apache License, Version 2.0.": "Apache-2.0,MIT",
+        "Apache License 2.0 or BSD 3-Clause License": "Apache-2.0,BSD-3-Clause",
+        "Licensed under the GNU GPL v3": "GPL-3.0",
+        "Boost Software License - Version 1.0": "BSL-1.0",
+        "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Lizenziert unter der MIT-Lizenz.": "MIT",
+        "Texte distribué sous licence Apache 2.0.": "Apache-2.0",
+        "Publicado bajo la licencia GNU GPL v2.": "GPL-2.0",
+        "We ask for a driving licence, version 2 of it, and the keys.": None,
+        "Keine Lizenz, nirgends.": None,
+    }
+    rows = [(k, f"d/{k}.txt", f"Words before.\n{s}\nWords after it.") for k, s in enumerate(said)]
+    rows += [(100, "d/x", None), (None, "d/y", "Released under the MIT License."), (101, None, "Released under the MIT License."), (3, "d/3.txt", rows[3][2])]
+    df = table(spark, rows, "doc_id long, path string, text string").withColumns({c: F.lit("!") for c in ("row", "row2", "id", "k", "whole", "bag", "telling", "score", "licence", "folder", "salt", "dir")})
+    got = licenses.licence_scan(df).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert {s: by_id[k].licences for k, s in enumerate(said)} == said
+    assert (by_id[None].licence, by_id[101].licence, by_id[100].licence) == ("MIT", "MIT", None)
+
+
+def test_lm_scores_do_not_depend_on_the_cluster(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["der", "die", "haus", "baum", "läuft", "weit", prose(rng, 1)]) for _ in range(rng.randint(0, 60)))) for k in range(150)]
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({r.doc_id: (r.n_tokens, r.base_score, r.score) for r in lm_scoring.lm_scores(table(spark, rows).repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    a, b = found
+    assert set(a) == set(range(150)) and all(a[k][0] == b[k][0] and a[k][1:] == pytest.approx(b[k][1:], rel=1e-9) for k in a)
