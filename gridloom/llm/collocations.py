@@ -1,16 +1,16 @@
 """Phrase collocations: counts of word n-grams by minimal perfect hashing.
 
-1. Bounds. Every task counts the words and pairs of its texts by hash; a pair of tables, one pass and one
-   shuffle of packed arrays give each hash's count, which no phrase can exceed. Hashes with enough set a
-   bit of a map of fixed size.
-2. Candidates. A second pass keeps the phrases whose parts all have their bits (Apriori: a phrase is
+1. Bounds. Every task counts the words and pairs of its texts by hash, in packed arrays; the sum of a hash
+   is a bound that none of its phrases can exceed. Hashes with enough set a bit of a map of fixed
+   size. A second pass does so for the triples whose pairs have their bits.
+2. Candidates. A third pass keeps the phrases that have their bits and whose parts do (Apriori: a phrase is
    no more frequent than its parts, and the map never lacks a frequent one), with their counts in each
    chunk of text, dealt out by a hash to blocks of bounded text.
-3. Index. Each block's distinct phrases get slots by a minimal perfect hash; the whole phrases are
-   stored in the order of their slots, and every lookup compares them.
-4. Counts. Tasks go through the chunks' phrases of a block, several tasks for each block, and bincount
-   them by slot; the arrays are summed up in a tree.
-5. Cuts. Blocks ask each other for the counts of the parts of their phrases, once for each block that
+3. Index and counts. Phrases whose own hash isn't seen often enough in their block go too (a bound once
+   more). The others get slots by a minimal perfect hash; the whole phrases are stored in the order of
+   their slots, and every lookup compares them. Each chunk's phrases are bincounted by slot, and the
+   arrays summed up in a tree.
+4. Cuts. Blocks ask each other for the counts of the parts of their phrases, once for each block that
    asks; the answers are read by slot. What is asked for also tells a phrase of the longer ones
    that hold it.
 
@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
-from .slots import StoredKeys, mixed, packed, unpacked
+from .slots import StoredKeys, counted, mixed, packed, uncounted, unpacked
 
 #: Bits of the Apriori map, 8 MB, and how many of them the low hash of a shard keeps.
 MAP_BITS = 26
 #: A chunk is at most about so many bytes of text, and a long text goes in slices of as many.
-CHUNK, SLICE = 16 << 20, 2 << 20
-#: Bytes of text for which there is a block; parts that each block is counted in.
-BLOCK_TEXT, PARTS, FAN_IN = 64 << 20, 8, 4
+CHUNK, SLICE = 5 << 20, 1 << 20
+#: Bytes of text for which there is a block.
+BLOCK_TEXT = 64 << 20
 _BREAK, _ID = 1, 21
 _FIXED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 
@@ -139,17 +139,47 @@ def _word_hashes(chunk: _Chunk) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, chunk.ids), np.uint64, len(chunk.ids))
 
 
-def _bound_rows(shard_bits: int):
-    """Of each chunk the counts of its words and pairs, by shard of their hashes."""
+class _Map:
+    """The Apriori map: a bit for each hash that may be frequent."""
+
+    def __init__(self, raw: bytes):
+        self.bits = np.frombuffer(raw, np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _hashed_grams(chunk: _Chunk, sizes, seen: _Map | None, own: bool):
+    """(language, words of the phrases, counts, hashes) of each size: of phrases whose shorter parts may all
+    be frequent, and they themselves if ``own``."""
+    words = _word_hashes(chunk)
+    for lang in chunk.rows:
+        for n, (codes, c) in enumerate(chunk.grams(lang), 1):
+            if n not in sizes:
+                continue
+            ids = _parts(codes, n)
+            if seen is not None:
+                for k in range(n - 1) if n > 2 else ():
+                    good = seen(_hashed(ids[k : k + 2], words, lang))
+                    ids, c = [x[good] for x in ids], c[good]
+            h = _hashed(ids, words, lang)
+            if own:
+                good = seen(h)
+                ids, c, h = [x[good] for x in ids], c[good], h[good]
+            yield lang, ids, c, h
+
+
+def _bound_rows(shard_bits: int, sizes, shared):
+    """Of each chunk the counts of its phrases of some sizes, by shard of their hashes."""
 
     def run(batches):
+        seen = _Map(shared.value) if shared is not None else None
         for chunk in _chunks(batches):
-            words = _word_hashes(chunk)
             hashes, counts = [], []
-            for lang in chunk.rows:
-                for n, (codes, c) in enumerate(chunk.grams(lang)[:2], 1):
-                    hashes.append(_hashed(_parts(codes, n), words, lang))
-                    counts.append(c)
+            for _, _, c, h in _hashed_grams(chunk, sizes, seen, False):
+                hashes.append(h)
+                counts.append(c)
             h, c = np.concatenate(hashes), np.concatenate(counts)
             order = np.argsort(h)
             h, c = h[order], np.minimum(c[order], 0xFFFFFFFF).astype(np.uint32)
@@ -199,20 +229,25 @@ def _map_of(least: int, shard_bits: int):
     return run
 
 
-def apriori_map(texts: DataFrame, least: int) -> bytes:
-    """A map of 2^MAP_BITS bits in which the hash of every word or pair that occurs ``least`` times
-    has its bit."""
+def apriori_map(texts: DataFrame, least: int, sizes=(1, 2), shared=None) -> bytes:
+    """A map of 2^MAP_BITS bits in which the hash of every phrase of these sizes that occurs ``least`` times
+    has its bit; with another map, shared, those of shorter phrases stay in it, and phrases whose parts
+    it lacks aren't counted."""
     n = shuffle_partitions(texts.sparkSession)
     shard_bits = min(MAP_BITS - 6, max(4, (4 * n - 1).bit_length()))
-    dealt = texts.mapInArrow(_bound_rows(shard_bits), "shard long, h binary, c binary").repartition(n, "shard").sortWithinPartitions("shard")
+    dealt = texts.mapInArrow(_bound_rows(shard_bits, sizes, shared), "shard long, h binary, c binary").repartition(n, "shard").sortWithinPartitions("shard")
     size = 1 << (MAP_BITS - shard_bits - 3)
-    out = bytearray(1 << (MAP_BITS - 3))
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8) if shared is None else np.frombuffer(shared.value, np.uint8).copy()
     for r in dealt.mapInArrow(_map_of(least, shard_bits), "shard long, bits binary").toLocalIterator():  # 8 MB in all
-        out[r.shard * size : (r.shard + 1) * size] = r.bits
-    return bytes(out)
+        out[r.shard * size : (r.shard + 1) * size] |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
 
+_GRAMS = "block long, chunk long, lang string, n long, grams binary"
 
-_GRAMS = "block long, chunk long, lang string, n long, h binary, c binary, ends binary, data binary"
+
+def _key_hashes(keys: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys.to_pylist()), np.uint64, len(keys))
 
 
 def _candidates(shared, blocks: int):
@@ -220,38 +255,27 @@ def _candidates(shared, blocks: int):
     row with its number of words, as block -1."""
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        seen = lambda h: bits[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+        seen = _Map(shared.value)
         chunk_id = TaskContext.get().partitionId() << 32
         for chunk in _chunks(batches):
-            words, texts = _word_hashes(chunk), pa.array(list(chunk.ids), pa.binary())
-            hashes, counts, keys, totals = [], [], [], []
-            for lang in chunk.rows:
-                for n, (codes, c) in enumerate(chunk.grams(lang), 1):
-                    if n == 1:
-                        totals.append((lang, int(c.sum())))
-                    ids = _parts(codes, n)
-                    good = np.ones(len(codes), bool)
-                    for k in range(max(1, n - 1)):
-                        good[good] = seen(_hashed([x[good] for x in ids[k : k + 2]], words, lang))
-                    ids = [x[good] for x in ids]
-                    key = texts.take(pa.array(ids[0]))
-                    for x in ids[1:]:
-                        key = pc.binary_join_element_wise(key, texts.take(pa.array(x)), b" ")
-                    key = pc.binary_join_element_wise(key, pa.scalar(lang.encode(), pa.binary()), b"\n")
-                    keys.append(key)
-                    counts.append(c[good])
+            texts = pa.array(list(chunk.ids), pa.binary())
+            counts, keys = [], []
+            for lang, ids, c, _ in _hashed_grams(chunk, (1, 2, 3), seen, True):
+                key = texts.take(pa.array(ids[0]))
+                for x in ids[1:]:
+                    key = pc.binary_join_element_wise(key, texts.take(pa.array(x)), b" ")
+                keys.append(pc.binary_join_element_wise(key, pa.scalar(lang.encode(), pa.binary()), b"\n"))
+                counts.append(c)
+            totals = [(lang, sum(int((at > _BREAK)[fresh].sum()) for at, fresh in rows)) for lang, rows in chunk.rows.items()]
             key = pa.concat_arrays([k.cast(pa.binary()) for k in keys])
-            raw = key.to_pylist()
-            h, c = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)), np.concatenate(counts)
-            block = (mixed(h) % np.uint64(blocks)).astype(np.int64)
+            c, block = np.concatenate(counts), (mixed(_key_hashes(key)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             present, first = np.unique(block[order], return_index=True)
             cuts = [*first.tolist(), len(order)]
-            rows = [(-1, chunk_id, lang, n, None, None, None, None) for lang, n in totals]
+            rows = [(-1, chunk_id, lang, n, None) for lang, n in totals]
             for b, lo, hi in zip(present.tolist(), cuts, cuts[1:], strict=False):
                 own = order[lo:hi]
-                rows.append((b, chunk_id, None, None, h[own].tobytes(), c[own].astype(np.int64).tobytes(), *packed(key.take(pa.array(own)))))
+                rows.append((b, chunk_id, None, None, counted(key.take(pa.array(own)), c[own])))
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist([dict(zip(_GRAMS_SCHEMA.names, r, strict=True)) for r in rows[k : k + 64]], schema=_GRAMS_SCHEMA)
             chunk_id += 1
@@ -259,68 +283,54 @@ def _candidates(shared, blocks: int):
     return run
 
 
-_GRAMS_SCHEMA = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())])
-_INDEX = "block long, sizes binary, bits binary, ends binary, data binary"
+_GRAMS_SCHEMA = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("grams", pa.binary())])
+_INDEX = "block long, sizes binary, bits binary, ends binary, data binary, counts binary"
 
 
-def _index(batches):
-    """Rows (block, h, ends, data) sorted by block: the distinct phrases of a block and their slots."""
-    at, parts, held = None, [], 0
+def _counted(least: int):
+    """Rows (block, grams) sorted by block: the phrases of a block that may be frequent, their slots and
+    exact counts by slot. A block's rows are held as they came, compressed."""
 
-    def joined():
-        return np.concatenate([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts])
+    def joined(parts):
+        return tuple(np.concatenate([p[k] for p in parts]) for k in (0, 2)), pa.concat_arrays([p[1] for p in parts])
 
-    def emit():
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in StoredKeys.of(*joined()).dump())], names=["block", "sizes", "bits", "ends", "data"])
+    def bincounts(stored: StoredKeys, rows: list[bytes]) -> np.ndarray:
+        """Sums of the chunks' counts by slot, two halves at a time."""
+        if len(rows) > 1:
+            return bincounts(stored, rows[: len(rows) // 2]) + bincounts(stored, rows[len(rows) // 2 :])
+        keys, n = uncounted(rows[0])
+        slot = stored(_key_hashes(keys), keys)
+        return np.bincount(slot[slot >= 0], weights=n[slot >= 0], minlength=len(stored)).astype(np.int64)  # exact: a chunk has few words
 
-    for batch in batches:
-        for block, h, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if block != at:
-                if parts:
-                    yield emit()
-                at, parts, held = block, [], 0
-            parts.append((np.frombuffer(h, np.uint64), unpacked(ends, data)))
-            held += len(parts[-1][0])
-            if held > 1 << 21 and len(parts) > 1:  # copies go before more come
-                h, keys = joined()
-                table = pa.table({"h": h, "k": keys}).group_by(["h", "k"]).aggregate([])
-                parts = [(table["h"].to_numpy(), table["k"].combine_chunks())]
-                held = len(parts[0][0]) // 2
-    if parts:
-        yield emit()
-
-
-def _counted(batches):
-    """Rows (block, part, kind, a, b, ends, data) sorted by the first three: kind 0 is a block's index,
-    kind 1 a chunk's phrases with their hashes and counts. Counts by slot for each (block, part)."""
-    at, keys, total = None, None, None
-
-    def emit():
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "part", "counts"])
-
-    for batch in batches:
-        for block, part, kind, a, b, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (block, part) != at:
-                if at is not None:
-                    yield emit()
-                at, keys, total = (block, part), None, None
-            if kind == 0:
-                keys = StoredKeys.load(a, b, ends, data)
-                total = np.zeros(len(keys), np.int64)
-            else:
-                slot = keys(np.frombuffer(a, np.uint64), unpacked(ends, data))
-                total += np.bincount(slot, weights=np.frombuffer(b, np.int64), minlength=len(total)).astype(np.int64)  # exact: a chunk has few words
-    if at is not None:
-        yield emit()
+    def emit(block, parts, rows):
+        (h, n), keys = joined(parts)
+        which = np.unique(h, return_inverse=True)[1]
+        often = np.flatnonzero(np.bincount(which, weights=n)[which] >= least)
+        stored = StoredKeys.of(h[often], keys.take(pa.array(often)))
+        columns = (*stored.dump(), bincounts(stored, rows).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=["block", "sizes", "bits", "ends", "data", "counts"])
 
+    def run(batches):
+        at, parts, rows, held = None, [], [], 0
+        for batch in batches:
+            for block, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != at:
+                    if parts:
+                        yield emit(at, parts, rows)
+                    at, parts, rows, held = block, [], [], 0
+                keys, n = uncounted(grams)
+                rows.append(grams)
+                parts.append((_key_hashes(keys), keys, n))
+                held += len(keys)
+                if held > 1 << 20 and len(parts) > 1:  # copies are drawn together before more come
+                    (h, n), keys = joined(parts)
+                    table = pa.table({"h": h, "k": keys, "n": n}).group_by(["h", "k"]).aggregate([("n", "sum")])
+                    parts = [(table["h"].to_numpy(), table["k"].combine_chunks(), table["n_sum"].to_numpy())]
+                    held = len(parts[0][0]) // 2
+        if parts:
+            yield emit(at, parts, rows)
 
-def _summed(batches):
-    """Rows (block, part, counts) sorted by (block, part): one array for each."""
-    for key, rows in _by_block(batches, 2):
-        total = np.frombuffer(rows[0][0], np.int64).copy()
-        for (raw,) in rows[1:]:
-            total += np.frombuffer(raw, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in key] + [pa.array([total.tobytes()], pa.binary())], names=["block", "part", "counts"])
+    return run
 
 
 def _frequent(row, least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[str, list[bytes]]]]:
@@ -456,20 +466,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     n = shuffle_partitions(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(n, -(-size // BLOCK_TEXT))
-    shared = spark.sparkContext.broadcast(apriori_map(texts, least))  # of fixed size
+    shared = spark.sparkContext.broadcast(apriori_map(texts, least))  # of fixed size, as the next
+    shared = spark.sparkContext.broadcast(apriori_map(texts, least, (3,), shared))
     grams = written(texts.mapInArrow(_candidates(shared, blocks), _GRAMS), "grams")
-    found = grams.filter("block >= 0")
-    index = written(found.select("block", "h", "ends", "data").repartition(n, "block").sortWithinPartitions("block").mapInArrow(_index, _INDEX), "gram-index")
-
-    parts = PARTS
-    own = index.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("kind"), F.col("sizes").alias("a"), F.col("bits").alias("b"), "ends", "data")
-    seen = found.select("block", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), F.lit(1).alias("kind"), F.col("h").alias("a"), F.col("c").alias("b"), "ends", "data")
-    level = own.unionByName(seen).repartition(n, "block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(_counted, "block long, part long, counts binary")
-    while parts > 1:
-        parts = -(-parts // FAN_IN)
-        dealt = level.select("block", F.floor(F.col("part") / FAN_IN).cast("long").alias("part"), "counts").repartition(n, "block", "part").sortWithinPartitions("block", "part")
-        level = dealt.mapInArrow(_summed, "block long, part long, counts binary")
-    table = written(index.join(level.drop("part"), "block"), "gram-counts")
+    found = grams.filter("block >= 0").select("block", "grams").repartition(n, "block").sortWithinPartitions("block")
+    table = written(found.mapInArrow(_counted(least), _INDEX), "gram-counts")
 
     asks = table.select("block", "ends", "data", "counts").mapInArrow(_asks(least, blocks), _ASKS)
     keys = table.select("block", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("asker"), F.col("sizes").alias("place"), F.col("counts").alias("f"), F.col("bits").alias("h"), "ends", "data")

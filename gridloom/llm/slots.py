@@ -74,6 +74,22 @@ def unpacked(ends: bytes, data: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
 
 
+def counted(keys: pa.Array, counts: np.ndarray) -> bytes:
+    """Keys and their counts in one compressed string; keys in order, which compresses best."""
+    order = pc.sort_indices(keys)
+    ends, data = packed(keys.take(order))
+    sizes = np.diff(np.frombuffer(ends, np.int32), prepend=np.int32(0)).astype(np.int32)
+    raw = len(keys).to_bytes(8, "little") + sizes.tobytes() + counts[order.to_numpy()].astype(np.int64).tobytes() + data
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def uncounted(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    sizes, counts = np.frombuffer(raw, np.int32, n, 8), np.frombuffer(raw, np.int64, n, 8 + 4 * n)
+    return unpacked(np.cumsum(sizes, dtype=np.int32).tobytes(), raw[8 + 12 * n :]), counts
+
+
 class StoredKeys:
     """A perfect hash with its keys in the order of their slots. Keys whose hash another key has
     already come after them, found by their bytes."""
@@ -88,6 +104,8 @@ class StoredKeys:
     @classmethod
     def of(cls, h: np.ndarray, keys: pa.Array) -> StoredKeys:
         """Of keys that may repeat."""
+        if not len(h):
+            return cls(PerfectHash([]), keys)
         unique, first = np.unique(h, return_index=True)
         own = keys.take(pa.array(first))
         same = pc.equal(own.take(pa.array(np.searchsorted(unique, h))), keys).to_numpy(zero_copy_only=False)
