@@ -259,7 +259,7 @@ def reduce(cube: Cube, table: DataFrame | None = None, how: st.How = "mean", *,
     out = {v: labelled(v, how_label) for v in cube.vars}
     result = core.grouped(work, keys, how, out, weights=weights, lat=lat, **options)
     for v, o in out.items():
-        long_name = f"{how if isinstance(how, str) else how.__name__} {cube.meta(v).get('long_name', v)}"
+        long_name = f"{how if isinstance(how, str) else getattr(how, "__name__", type(how).__name__)} {cube.meta(v).get('long_name', v)}"
         result = result.with_meta(o, long_name=long_name)
     if every is not None:
         result = _all_features(cube, result, every, key, how)
