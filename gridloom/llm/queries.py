@@ -47,7 +47,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(_documents(spark, sf_dir), labelled_findings(spark))
+    """Documents have no paths: a document's source and language stand for its folder."""
+    docs = _documents(spark, sf_dir).withColumn("path", F.concat_ws("/", "source", "lang"))
+    return secret_scan(docs, labelled_findings(spark), path_col="path")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

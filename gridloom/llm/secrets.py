@@ -1,9 +1,10 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
 All of it is DataFrame and SQL functions and Spark's own forest. A candidate is any value of four
-characters or more that a key word (password, token, ...) with = or : gives, and any run of at least
-``MIN_LENGTH`` letters, digits and _+/=- with a digit or both cases in it, runs joined by full stops
-being one. Features: length and shares of character kinds, transitions between kinds, how much of it
+characters or more that a key word (password, token, ... in four languages) gives with = or : or =>, or beside
+it in a list; a quoted one whole, of three characters or more; the password of an address, what
+follows "bearer", a block of a private key; and any run of at least ``MIN_LENGTH`` letters, digits and
+_+/=- with a digit or both cases in it, or of capitals, runs joined by full stops being one. Features: length and shares of character kinds, transitions between kinds, how much of it
 dictionary words cover, what it looks like as a path or a placeholder, the document's own path, and
 the words before and after. The forest learns from labelled
 findings (before, value, after, path, label); ``labelled_findings`` makes a set of them by rule.
@@ -20,15 +21,22 @@ from pyspark.sql.window import Window
 
 MIN_LENGTH = 16
 _RUN = r"[A-Za-z0-9_+/=\-]"
-_KEY = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)"
-_BEFORE_VALUE = rf"(?i:{_KEY})[\x22']?\x20{{0,2}}[=:]"
-_GIVEN = rf"(?<=[=:]\x20{{0,2}}[\x22']?)(?<={_BEFORE_VALUE}\x20{{0,2}}[\x22']?)[^\s\x22'=:,;<>()]{{4,}}"
-_MIXED = rf"(?={_RUN}{{{MIN_LENGTH}}})(?:[A-Za-z_+/=\-]*+[0-9]|[A-Z]*+[a-z]++[A-Z])"
+_KEY = r"(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|passwort|kennwort|contrase[ñn]a|clave|mot[ _-]de[ _-]passe|mdp|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|(?<![A-Za-z])key)"
+_BEFORE_VALUE = rf"(?i:{_KEY})[\w\-]{{0,12}}[\x22']?\]?[\x20\t]{{0,3}}(?:=>|[=:])\s{{0,3}}"
+_BESIDE = rf"[\x22'](?i:{_KEY})[\x22'],\x20{{0,2}}"
+_QUOTED = rf"(?<=[\x22'])(?:(?<=[=:>]\s{{0,3}}.)(?<={_BEFORE_VALUE}.)|(?<=,\x20{{0,2}}.)(?<={_BESIDE}.))[^\n\x22']{{3,120}}(?=[\x22'])"
+_GIVEN = rf"(?<=[=:>]\s{{0,3}})(?<={_BEFORE_VALUE})[^\s\x22'=:,;<>()]{{4,}}"
+_ADDRESS = r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@]{3,}(?=@)"
+_BEARER = r"(?<=\s)(?<=(?i:bearer)\s)[A-Za-z0-9_+/=\-.]{12,}"
+_BLOCK = r"-----BEGIN\x20[A-Z\x20]{0,24}PRIVATE\x20KEY-----[^-]{16,}+-----END\x20[A-Z\x20]{0,24}PRIVATE\x20KEY-----"
+_MIXED = rf"(?={_RUN}{{{MIN_LENGTH}}})(?:[A-Z]{{{MIN_LENGTH}}}|[A-Za-z_+/=\-]*+[0-9]|[A-Z]*+[a-z]++[A-Z])"
 _LONG = rf"(?<!{_RUN})(?=(?:[A-Za-z0-9_\-]{{2,12}}\.)?{_MIXED})(?<!{_RUN}\.)(?:{_RUN}{{{MIN_LENGTH},}}|[A-Za-z0-9_\-]{{2,12}}\.(?={_RUN}{{{MIN_LENGTH},}}\.{_RUN}{{{MIN_LENGTH}}}){_RUN}{{{MIN_LENGTH},}})(?:\.{_RUN}{{{MIN_LENGTH},}}+)*+"
-CANDIDATE = rf"{_GIVEN}|{_LONG}"
+CANDIDATE = rf"{_BLOCK}|{_QUOTED}|{_GIVEN}|{_ADDRESS}|{_BEARER}|{_LONG}"
 #: What every text with a candidate has, without looking back from each of its places.
-HINTS = (rf"[=:](?<={_BEFORE_VALUE})", rf"(?<!{_RUN}){_MIXED}")
+HINTS = (rf"[=:>](?<={_BEFORE_VALUE})", rf"(?<!{_RUN}){_MIXED}", _BESIDE, r"://[^\s/:@]{1,64}:[^\s/@]{3,}@", r"(?i)bearer\s[A-Za-z0-9_+/=\-.]{12}", r"PRIVATE\x20KEY-----")
 BEFORE, AFTER = 48, 24
+#: Put about candidates to cut texts at, a character that stands for none; in a text it counts as U+FFFD.
+_MARK = "\uFDD0"
 
 #: Words that stand in names, not in secrets; coverage by them speaks against a secret.
 DICTIONARY = (
@@ -42,14 +50,14 @@ DICTIONARY = (
     "setting", "source", "status", "string", "style", "summary", "system", "table", "template", "test", "theme", "thumbnail", "time", "title",
     "topic", "update", "upload", "user", "value", "version", "video", "view", "volume", "widget", "window", "world", "year",
 )
-_KEYED = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(orization)?|bearer|credential)"
+_KEYED = r"(?i)(token|secret|passw(or)?d|passwd|pwd|passphrase|passwort|kennwort|contrase[ñn]a|clave|mot[ _-]de[ _-]passe|mdp|://[^\s/:@]{1,64}:|\bkey|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(orization)?|bearer|credential)"
 #: What stands where a secret is to be put.
 _PLACEHOLDER = r"(?i)your|example|change|placeholder|dummy|sample|x{4}|\*{3}|\.{3}|\$[{(]?|%[sd(]|^(null|none|nil|true|false|undefined|empty|required|optional|string|value|redacted|hidden|process|os|env|config)\b"
 _HASHED = r"(?i)(sha-?(1|256|512)?|md5|commit|checksum|digest|etag|revision|integrity|uuid|guid|isbn|order|invoice|tracking)"
 
 FEATURES = (
     "length", "digits", "uppers", "lowers", "others", "vowels", "distinct", "hex", "kind_changes", "case_changes", "repeats",
-    "covered", "slashes", "hyphens", "specials", "dots", "placeholder", "dotted_after", "url_before", "test_path", "keyed", "assigned", "quoted", "hashed",
+    "covered", "spaces", "block", "in_address", "slashes", "hyphens", "specials", "dots", "placeholder", "dotted_after", "url_before", "test_path", "keyed", "assigned", "quoted", "hashed",
 )
 
 
@@ -57,8 +65,14 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, start, end, value, before, after, path): start and end in code points, end exclusive."""
     path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
     text = F.col("text")
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(path, F.lit("")).alias("path")).filter(text.rlike(HINTS[0]) | text.rlike(HINTS[1]))
-    parts = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"), F.monotonically_increasing_id().alias("row")).filter(F.size("found") > 0)
+    hinted = text.rlike(HINTS[0])
+    for hint in HINTS[1:]:
+        hinted = hinted | text.rlike(hint)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(path, F.lit("")).alias("path")).filter(hinted)
+    # one pass over a text: what is found stands at every other place of the cut text
+    cut = F.split(F.regexp_replace(F.translate("text", _MARK, "\uFFFD"), CANDIDATE, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    cut_rows = rows.select("doc_id", "path", cut.alias("cut"), F.monotonically_increasing_id().alias("row")).filter(F.size("cut") > 1)
+    parts = cut_rows.select("doc_id", "path", "row", F.filter("cut", lambda x, i: i % 2 == 1).alias("found"), F.filter("cut", lambda x, i: i % 2 == 0).alias("between"))
     zipped = F.zip_with(F.col("found"), F.slice("between", F.lit(1), F.size("found")), lambda v, b: F.struct(v.alias("value"), F.right(b, F.lit(BEFORE)).alias("before"), F.length(b).alias("gap")))
     after = F.transform(F.slice("between", F.lit(2), F.size("found")), lambda x: F.left(x, F.lit(AFTER)))
     each = parts.select("doc_id", "path", "row", F.posexplode(F.arrays_zip(zipped.alias("z"), after.alias("after"))).alias("k", "x")).select("doc_id", "path", "row", "k", "x.z.value", "x.z.before", "x.z.gap", "x.after")
@@ -91,6 +105,9 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "case_changes": _share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "repeats": _share(r"(.)(?=\1)"),
         "covered": 1 - left_over / F.length(v),
+        "spaces": F.regexp_count("value", F.lit(r"\s")).cast("double"),
+        "block": _flag(v.startswith("-----BEGIN")),
+        "in_address": _flag(before.rlike(r"://[^\s/:@]{1,64}:$") & after.startswith("@")),
         "slashes": F.regexp_count("value", F.lit("/")).cast("double"),
         "hyphens": F.regexp_count("value", F.lit("-")).cast("double"),
         "specials": _share(r"[^A-Za-z0-9_+/=\-.]"),
@@ -99,7 +116,7 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "dotted_after": _flag(after.rlike(r"^\.[a-z]{2,4}\b")),
         "url_before": _flag(before.rlike(r"(?i)(https?:|www\.|\.(com|org|net)/?|[/\\.@])\S{0,40}$")),
         "test_path": _flag(path.rlike(r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|docs?|samples?|mocks?)([/_.-]|$)")),
-        "keyed": _flag(before.rlike(_KEYED + r"\W{0,6}\w{0,12}\W{0,4}$")),
+        "keyed": _flag(before.rlike(_KEYED + r"\W{0,6}\w{0,16}\W{0,6}$")),
         "assigned": _flag(before.rlike(r"([=:]|=>)\s*[\"']?$")),
         "quoted": _flag(before.rlike(r"[\"']$") & after.rlike("^[\"']")),
         "hashed": _flag(before.rlike(_HASHED + r"\W{0,4}\w{0,8}\W{0,4}$")),
@@ -160,6 +177,25 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         ("import ", F.concat_ws(".", F.lit("org"), F.concat(word(1), word(2), word(3), F.lit("123456")), F.concat(word(4), word(5), word(6), F.lit("impl"))), ";", "src/main.java", 0),
         ("password: ", F.concat_ws("-", word(1), word(2)), " {w}", "docs/index.md", 0),
         ('{w} {w} ', F.concat(word(1), word(2), F.substring(figures, 1, 2), word(3)), " {w}", "", 0),
+        ("postgres://{w}:", short, "@db.{w}/main", "config/app.yml", 1),
+        ("https://{w}:", mixed, "@{w}.net/", "", 1),
+        ("ftp://{w}:", empty, "@{w}.net/", "docs/setup.md", 0),
+        ("Bearer ", letters, " {w}", "", 1),
+        ("{w} key = ", letters, "", "", 1),
+        ("{w} ", F.upper(letters), " {w}", "", 1),
+        ("{w} ", F.upper(capital), " {w}", "", 0),
+        ('password => "', short, '"', "app.rb", 1),
+        ('"password", "', short, '"', "app.py", 1),
+        ('"token", "', F.concat_ws(" ", word(1), word(2)), '"', "src/names.py", 0),
+        ('password="', F.concat_ws(" ", word(1), short), '"', "", 1),
+        ('secret = "', F.concat_ws(" ", F.lit("the"), word(1), word(2)), '"', "", 0),
+        ("password:\n  ", short, "", "deploy.yml", 1),
+        ("Passwort: ", short, " {w}", "", 1),
+        ("contraseña = ", mild, "", "", 1),
+        ("mot de passe : ", short, "", "", 1),
+        ("clave: ", word(5), " {w}", "", 0),
+        ("key: ", word(6), " {w}", "", 0),
+        ("", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.base64(F.unhex(h)), F.lit("\n-----END RSA PRIVATE KEY-----")), "", "id_rsa", 1),
     ]
     made = [F.struct(*[F.regexp_replace(F.lit(x), r"\{w\}", word(7 + k)).alias(n) if n in ("before", "after") else (F.lit(x) if not isinstance(x, Column) else x).alias(n) for n, x in zip(("before", "value", "after", "path", "label"), kind, strict=True)]) for k, kind in enumerate(kinds)]
     return spark.range(rows).select(F.element_at(F.array(*made), (F.pmod(F.hash("id", F.lit(99)), F.lit(len(kinds))) + 1).cast("int")).alias("x")).select("x.*")
