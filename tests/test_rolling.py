@@ -26,8 +26,7 @@ def windows(cells, sizes, center, least):
         yield k, own if len(own) >= least else None, [r[0] for r in ranges]
 
 
-@pytest.mark.parametrize("piece", [3, 5, 1 << 16])
-@pytest.mark.parametrize("center", [False, True])
+@pytest.mark.parametrize(("piece", "center"), [(3, False), (5, True), (1 << 16, False)])
 def test_one_long_series(spark, monkeypatch, piece, center):
     monkeypatch.setattr(core, "PIECE", piece)
     monkeypatch.setattr(core, "INTERVALS", 4)
@@ -56,8 +55,7 @@ def test_a_long_series_uses_many_tasks(spark, monkeypatch):
     assert windows and all("__piece" in line for line in windows if "__i_x" in line)
 
 
-@pytest.mark.parametrize("piece", [2, 1 << 16])
-@pytest.mark.parametrize("center", [False, True])
+@pytest.mark.parametrize(("piece", "center"), [(2, True), (1 << 16, False)])
 def test_blocks_with_absent_rows(spark, monkeypatch, piece, center):
     monkeypatch.setattr(core, "PIECE", piece)
     rng = random.Random(2)
