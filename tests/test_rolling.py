@@ -81,6 +81,22 @@ def test_blocks_over_three_dimensions_collect_nothing(spark):
         assert {(r.x, r.y, r.z): r.v for r in rows.collect()} == {k: None if w is None else pytest.approx(w) for k, w in want.items()}
 
 
+@pytest.mark.parametrize("piece", [4, 1 << 16])
+def test_running_sums_and_products_along_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(core, "PIECE", piece)
+    rng = random.Random(4)
+    cells = {(g, x): None if rng.random() < 0.2 else rng.uniform(0.8, 1.2) for g in ("a", "b", None) for x in range(0, 60, 2) if rng.random() < 0.8}
+    cube = Cube.of(spark.createDataFrame([(*k, v) for k, v in cells.items()], "g string, x int, v double").repartition(3), ("g", "x"))
+    for how, f in (("cumsum", np.cumsum), ("cumprod", np.cumprod)):
+        got = {(r.g, r.x): r.v for r in core.reduce(cube, how, dim="x").df.collect()}
+        for g in ("a", "b", None):
+            own = sorted(k for k in cells if k[0] == g)
+            want = f([(0 if how == "cumsum" else 1) if cells[k] is None else cells[k] for k in own])
+            assert [got[k] for k in own] == pytest.approx(want.tolist())
+    (alone,) = {tuple(core.reduce(Cube.of(spark.range(50).select("id", F.lit(1.0).alias("v")), "id"), "cumsum", dim="id").df.agg(F.sum("v"), F.max("v")).first())}
+    assert alone == (1275.0, 50.0)
+
+
 def test_rolling_drops_missing_labels(spark):
     cube = Cube.of(spark.createDataFrame([(k, g, None if (k, g) == (4, "b") else float(k)) for k in range(8) for g in "ab"], "x int, g string, v double"), ("x", "g"))
     assert sorted({r.x for r in core.rolling_reduce(cube, "mean", x=3, how_dropna="any").df.collect()}) == [2, 3, 7]
