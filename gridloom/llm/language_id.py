@@ -279,7 +279,9 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def keep_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_nats_per_byte: float = 3.2, **options) -> DataFrame:
     """The rows of docs, all columns kept, whose language is known: not ``und``, and coded by the
     best language in at most ``max_nats_per_byte`` (prose takes 1 to 2.5, random bytes 4 to 5.5).
-    A null lang takes the predicted value. Without labelled rows nothing is known, and all go."""
+    A null lang takes the predicted value. Repeated rows, and rows with a null id, are judged by their texts
+    alone; of languages that code a text alike the first by name counts. Null texts, and texts without a
+    letter, go. Without labelled rows nothing is known, and all go; empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_trees(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options))
     score, inner = _score(shared), docs.schema
 

@@ -477,7 +477,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns kept, without those of near_duplicates."""
+    """The rows of docs, all columns kept, without those of near_duplicates: of each group the rows with
+    the least id stay, also where several rows have it; ties of similarity count as similar. Rows with a
+    null id stay. Empty table: no rows."""
     id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, **options).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
