@@ -5,15 +5,18 @@ T = ceil(s * (n1 + n2) / (1 + s)) shingles, and so at least ceil(s * n) of eithe
 
 1. List lengths. How many documents hold a shingle is counted over all of them, by hash in a table of
    fixed size (bincount in each task, summed by ranges); it orders each record's lists.
-2. Blocks. Records go to index blocks of bounded size by the least hash of their set, which most
-   links share. A record's n - ceil(s * n) + 1 + c shortest lists are looked at: a link needs entries in more
-   than c of them. So a record is sent as a query to every block above its own that has as many.
-3. Search. A block's records are turned into inverted lists. For each query the longest lists are set
+2. First groups. Records with the same least hash of their set, by either of two orders of the hashes,
+   are searched in pieces of bounded size (as in 4); what these links join is a group.
+3. Blocks. Groups go to index blocks of bounded size, large ones above small ones. A record's
+   n - ceil(s * n) + 1 + c shortest lists are looked at: a link needs entries in more than c of them. So a
+   record is sent as a query to every block above its own that has as many of other groups than its
+   own; links within a group are known, so a group of m near copies isn't sent to its own blocks.
+4. Search. A block's records are turned into inverted lists. For each query the longest lists are set
    aside (DivideSkip), the short ones are merged, and what they hold often enough is looked for in the long
    ones by binary search. The merge of the sorted lists is numpy's stable sort, which merges runs,
    in place of a heap of Python objects. Records that already belong together aren't
    counted again, so a block gives a spanning forest of its links and not all pairs.
-4. Components of the links, least document first.
+5. Components of the links of both rounds, least document first.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ WANTED_BITS = 26
 RECORDS, SHINGLES, QUERIES = 1024, 1 << 20, 4096
 #: Entries of short lists for which there is a shard, and that a task packs at a time.
 SHARD, PACK = 1 << 21, 1 << 20
+#: Second order of hashes: by their product with an odd number.
+ORDER = np.uint64(0x9E3779B97F4A7C15)
 #: The share of lists set aside falls with the longest one's length at this rate.
 MU = 0.0085
 
@@ -109,19 +114,25 @@ def _keys_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | (np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def _whole(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) >> 1
+
+
 def _marks(shared, shingle: int, s: Fraction):
-    """(doc_id, same, n, low, short) of (doc_id, text): a digest of the set, its size, its least hash
-    and its shortest lists, packed."""
+    """(doc_id, same, n, low, other, whole, short) of (doc_id, text): a digest of the set, its size, its
+    least hash in either order, a hash of the text and the shortest lists, packed."""
 
     def run(batches):
         lengths = np.frombuffer(shared.value, np.uint32)
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
             short = [x[np.lexsort((x, lengths[_slot(x)]))][: len(x) - _least_shared(len(x), s) + 1 + _extra(len(x), s)] for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())]
-                + [pa.array([int(x[0]) >> 1 if len(x) else None for x in sets], pa.int64()), pa.array([_keys(x) for x in short], pa.binary())],
-                names=["doc_id", "same", "n", "low", "short"],
+                + [pa.array([int(x[0]) >> 1 if len(x) else None for x in sets], pa.int64()), pa.array([int((x * ORDER).min()) >> 1 if len(x) else None for x in sets], pa.int64())]
+                + [pa.array([_whole(t) for t in texts], pa.int64()), pa.array([_keys(x) for x in short], pa.binary())],
+                names=["doc_id", "same", "n", "low", "other", "whole", "short"],
             )
 
     return run
@@ -133,7 +144,7 @@ def _spread(key: np.ndarray) -> np.ndarray:
 
 
 def _entries(shards: int):
-    """Rows (node, block, short): entries of the lists, packed by shard of the shingle's hash."""
+    """Rows (node, block, component, short): entries of the lists, packed by shard of the shingle's hash."""
 
     def run(batches):
         parts, held = [], 0
@@ -141,8 +152,8 @@ def _entries(shards: int):
         def emit():
             nonlocal parts, held
             parts.sort(key=lambda p: p[0])
-            key = np.concatenate([p[2] for p in parts])
-            node, block = (np.repeat([p[k] for p in parts], [len(p[2]) for p in parts]).astype(np.int64) for k in range(2))
+            key = np.concatenate([p[3] for p in parts])
+            node, block, group = (np.repeat([p[k] for p in parts], [len(p[3]) for p in parts]).astype(np.int64) for k in range(3))
             shard = (key % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             own, lo = np.unique(shard[order], return_index=True)
@@ -150,13 +161,13 @@ def _entries(shards: int):
             parts, held = [], 0
             for k in range(0, len(own), 256):
                 rows = [order[a:b] for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False)]
-                columns = [[_keys(_spread(key[r])) for r in rows], [np.diff(node[r], prepend=0).tobytes() for r in rows], [block[r].tobytes() for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 256], pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["shard", "key", "node", "block"])
+                columns = [[_keys(_spread(key[r])) for r in rows], [np.diff(node[r], prepend=0).tobytes() for r in rows], [block[r].tobytes() for r in rows], [(group[r] - node[r]).tobytes() for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 256], pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["shard", "key", "node", "block", "apart"])
 
         for batch in batches:
-            for node, block, short in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parts.append((node, block, _keys_of(short)))
-                held += len(parts[-1][2])
+            for node, block, group, short in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                parts.append((node, block, group, _keys_of(short)))
+                held += len(parts[-1][3])
                 if held >= PACK:
                     yield from emit()
         if parts:
@@ -165,19 +176,23 @@ def _entries(shards: int):
     return run
 
 
-def _wanted(key: np.ndarray, node: np.ndarray, block: np.ndarray, most: int = 1 << 22):
-    """(block, node, indexed) of all lists: entries of a list that have company in their block or come
-    from one below are indexed there, the latter as queries."""
+def _wanted(key: np.ndarray, node: np.ndarray, block: np.ndarray, group: np.ndarray, most: int = 1 << 22):
+    """(block, node, indexed) of all lists: entries of a list that meet another group in their block or
+    from one below are indexed there; entries from below are its queries, unless all that the block
+    has of the list is of their own group."""
     order = np.lexsort((block, key))
-    key, node, block = key[order], node[order], block[order]
+    key, node, block, group = key[order], node[order], block[order], group[order]
     new_list = np.r_[True, key[1:] != key[:-1]]
-    new_group = new_list | np.r_[True, block[1:] != block[:-1]]
-    lo = np.flatnonzero(new_group)
+    lo = np.flatnonzero(new_list | np.r_[True, block[1:] != block[:-1]])
     hi = np.r_[lo[1:], len(key)]
     start = np.flatnonzero(new_list)[np.cumsum(new_list)[lo] - 1]
-    kept = (hi - lo > 1) | (lo > start)
+    change = ~new_list & np.r_[False, group[1:] != group[:-1]]
+    changes = np.cumsum(change)
+    run = np.maximum.accumulate(np.where(new_list | change, np.arange(len(key)), 0))  # where the entries of one group that end here begin
+    kept = changes[hi - 1] > changes[start]
     lo, hi, start = lo[kept], hi[kept], start[kept]
-    for role, first, last in ((1, lo, hi), (0, start, lo)):
+    mixed = changes[hi - 1] > changes[lo]
+    for role, first, last in ((1, lo, hi), (0, start, np.where(mixed, lo, run[lo]))):
         size = last - first
         ends = np.cumsum(size)
         k = 0
@@ -185,7 +200,11 @@ def _wanted(key: np.ndarray, node: np.ndarray, block: np.ndarray, most: int = 1
             stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most)))
             n = size[k:stop]
             at = np.repeat(first[k:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield np.repeat(block[lo[k:stop]], n), node[at], role
+            home = np.repeat(np.arange(k, stop), n)
+            if role == 0:
+                other = mixed[home] | (group[at] != group[lo[home]])
+                at, home = at[other], home[other]
+            yield block[lo[home]], node[at], role
             k = stop
 
 
@@ -198,30 +217,42 @@ def _counted(block: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 
 def _needs(batches):
-    """Rows (shard, key, node, block) sorted by shard: in how many of its lists each record meets a
-    block, and whether it is indexed there."""
+    """Rows (shard, key, node, block, apart) sorted by shard: in how many of its lists each record meets
+    other groups in a block, and whether it is indexed there; added up over a task's shards."""
+    found: dict[int, list] = {0: [], 1: []}
+    most = 1 << 22
+
+    def counted(role):
+        found[role] = [_counted(*(np.concatenate(x) for x in zip(*found[role], strict=True)))]
+        return found[role][0]
+
+    def emit(role):
+        block, node, n = counted(role)
+        found[role] = []
+        for k in range(0, len(block), 1 << 16):
+            own = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(block[own], pa.int64()), pa.array(node[own], pa.int64()), pa.array(np.full(len(block[own]), role, np.int32)), pa.array(n[own], pa.int64())], names=["block", "node", "role", "lists"])
 
     def of(parts):
-        found: dict[int, list] = {0: [], 1: []}
-        for block, node, role in _wanted(*(np.concatenate([p[k] for p in parts]) for k in range(3))):
+        for block, node, role in _wanted(*(np.concatenate([p[k] for p in parts]) for k in range(4))):
             found[role].append(_counted(block, node, np.ones(len(block), np.int64)))
-            if sum(len(b) for b, *_ in found[role]) > 1 << 22:
-                found[role] = [_counted(*(np.concatenate(x) for x in zip(*found[role], strict=True)))]
-        for role, own in found.items():
-            if own:
-                block, node, n = _counted(*(np.concatenate(x) for x in zip(*own, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(node, pa.int64()), pa.array(np.full(len(block), role, np.int32)), pa.array(n, pa.int64())], names=["block", "node", "role", "lists"])
+            if sum(len(b) for b, *_ in found[role]) > most and len(counted(role)[0]) > most // 2:
+                yield from emit(role)
 
     at, parts = None, []
     for batch in batches:
-        for shard, key, node, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for shard, key, node, block, apart in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if shard != at:
                 if parts:
                     yield from of(parts)
                 at, parts = shard, []
-            parts.append((_keys_of(key), np.cumsum(np.frombuffer(node, np.int64)), np.frombuffer(block, np.int64)))
+            node = np.cumsum(np.frombuffer(node, np.int64))
+            parts.append((_keys_of(key), node, np.frombuffer(block, np.int64), np.frombuffer(apart, np.int64) + node))
     if parts:
         yield from of(parts)
+    for role in found:
+        if found[role]:
+            yield from emit(role)
 
 
 def _bits(batches):
@@ -239,10 +270,9 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["range", "bits"])
 
 
-def _wanted_map(same: DataFrame) -> bytes:
-    """A bit for the digest (same) of each set that some block needs."""
-    head = F.conv(F.hex(F.substring("same", 1, 4)), 16, 10).cast("long")
-    slots = same.select(F.shiftright(head, 32 - WANTED_BITS).alias("slot")).distinct().select(F.shiftright("slot", WANTED_BITS - 6).alias("range"), "slot")
+def _wanted_map(texts: DataFrame) -> bytes:
+    """A bit for the hash (whole) of the text of each record that some block needs."""
+    slots = texts.select(F.shiftright("whole", 63 - WANTED_BITS).alias("slot")).distinct().select(F.shiftright("slot", WANTED_BITS - 6).alias("range"), "slot")
     out = bytearray(1 << (WANTED_BITS - 3))
     size = len(out) >> 6
     for r in slots.repartition(64, "range").sortWithinPartitions("range").mapInArrow(_bits, "range long, bits binary").toLocalIterator():  # 8 MB in all
@@ -251,17 +281,16 @@ def _wanted_map(same: DataFrame) -> bytes:
 
 
 def _sets(shared, shingle: int):
-    """(same, hashes) of the texts whose sets may be wanted; of copies in a run of texts one."""
+    """(same, hashes) of the texts that may be wanted; of copies in a run of texts one."""
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             out = {}
             for text in batch.column(0).to_pylist():
-                x = shingle_set(text, shingle)
-                same = xxhash.xxh3_128_digest(x.tobytes())
-                if len(x) and bits[int.from_bytes(same[:4], "big") >> (32 - WANTED_BITS)]:
-                    out[same] = x
+                if bits[_whole(text) >> (63 - WANTED_BITS)]:
+                    x = shingle_set(text, shingle)
+                    out[xxhash.xxh3_128_digest(x.tobytes())] = x
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), _lists(list(out.values()))], names=["same", "hashes"])
 
     return run
@@ -270,14 +299,14 @@ def _sets(shared, shingle: int):
 class Lists:
     """Inverted lists of a block's records, and the groups that links have made of them."""
 
-    def __init__(self, sets: list[np.ndarray], s: Fraction):
+    def __init__(self, sets: list[np.ndarray], s: Fraction, group: list[int] | None = None):
         self.s, self.n = s, np.fromiter(map(len, sets), np.int64, len(sets))
         every, record = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
         order = np.argsort(every, kind="stable")  # within a list by record
         self.record = record[order]
         self.keys, self.lo = np.unique(every[order], return_index=True)
         self.hi = np.r_[self.lo[1:], len(every)]
-        self.group = np.arange(len(sets))
+        self.group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
 
     def search(self, x: np.ndarray, own: int | None = None) -> np.ndarray:
         """Records as similar to the set x as asked, but for those in the group of ``own``."""
@@ -316,47 +345,52 @@ class Lists:
 
 
 def _searched(s: Fraction):
-    """Rows (block, part, role, node, hashes) sorted by (block, part, role falling): links of each part's
-    queries, and in part 0 of the indexed records, with the indexed."""
+    """Rows (block, part, role, node, component, hashes) sorted by (block, part, role falling): links of
+    each part's queries, and in part 0 of the indexed records, with the indexed. Records of one
+    component are linked already."""
 
     def run(batches):
-        at, nodes, sets, lists = None, [], [], None
+        at, nodes, groups, sets, lists, member = None, [], [], [], None, {}
         a, b = [], []
 
-        def within():
+        def indexed():
+            nonlocal lists, member
+            lists, member = Lists(sets, s, groups), {g: k for k, g in enumerate(groups)}
             for k in range(1, len(nodes)) if at[1] == 0 else ():
+                if not lists.group.min() < lists.group.max():
+                    break
                 for j in lists.drawn(lists.search(sets[k], k), k):
                     a.append(nodes[k])
                     b.append(nodes[j])
 
         for batch in batches:
-            hashes = batch.column(4)
+            hashes = batch.column(5)
             values, ends = hashes.values.to_numpy().view(np.uint64), hashes.offsets.to_numpy()
-            for k, (block, part, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            for k, (block, part, role, node, group) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 x = values[ends[k] : ends[k + 1]]
                 if (block, part) != at:
                     if lists is None and nodes:
-                        lists = Lists(sets, s)
-                        within()
-                    at, nodes, sets, lists = (block, part), [], [], None
+                        indexed()
+                    at, nodes, groups, sets, lists = (block, part), [], [], [], None
                 if role:
                     nodes.append(node)
+                    groups.append(group)
                     sets.append(x)
                     continue
                 if not nodes:  # none of the block's own shares enough
                     continue
                 if lists is None:
-                    lists = Lists(sets, s)
-                    within()
-                for j in lists.drawn(lists.search(x)):
+                    indexed()
+                own = member.get(group)
+                for j in lists.drawn(lists.search(x, own), own):
                     a.append(node)
                     b.append(nodes[j])
+                    member.setdefault(group, j)
             if len(a) > 1 << 16:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a.clear(), b.clear()
         if lists is None and nodes:
-            lists = Lists(sets, s)
-            within()
+            indexed()
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -378,16 +412,47 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
     lengths = spark.sparkContext.broadcast(list_lengths(texts, shingle).tobytes())  # of fixed size
-    marks = written(texts.mapInArrow(_marks(lengths, shingle, s), "doc_id long, same binary, n long, low long, short binary"), "jaccard-marks")
-    records = marks.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "short")])
+    marks = written(texts.mapInArrow(_marks(lengths, shingle, s), "doc_id long, same binary, n long, low long, other long, whole long, short binary"), "jaccard-marks")
+    records = marks.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.min("whole").alias("whole"), *[F.first(c).alias(c) for c in ("n", "low", "other", "short")])
     nodes = written(records.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     many, entries = nodes.agg(F.count("*"), F.sum(F.octet_length("short") / 6)).first()
-
-    homes = nodes.select("node", "n", "short", F.pmod(F.xxhash64("low"), F.lit(1 + 4 * many // RECORDS)).alias("home"))
-    cuts = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / RECORDS), F.ceil(F.sum("n") / SHINGLES)).alias("cut"))
-    placed = homes.join(cuts, "home").select("node", (F.col("home") * (1 << 32) + F.pmod(F.xxhash64("node"), "cut")).alias("block"), "short")
+    cut = F.greatest(F.ceil(F.count("*") / RECORDS), F.ceil(F.sum("n") / SHINGLES)).alias("cut")
+
+    def sets_of(rows):
+        """(node, hashes) of the rows' records."""
+        wanted = written(nodes.select("node", "same", "whole").join(rows.select("node").distinct(), "node"), "jaccard-wanted")
+        shared = spark.sparkContext.broadcast(_wanted_map(wanted))  # of fixed size
+        sets = texts.select("text").mapInArrow(_sets(shared, shingle), "same binary, hashes array<long>").groupBy("same").agg(F.first("hashes").alias("hashes"))
+        return written(wanted.join(sets, "same").select("node", "hashes"), "jaccard-sets")
+
+    def links(pieces):
+        rows = pieces.select("block", "part", "role", "node", "component", "hashes").repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("role"), "node")
+        return written(rows.mapInArrow(_searched(s), "a long, b long"), "jaccard-links")
+
+    # records that share a least hash; of pieces with the same records one
+    keyed = nodes.select("node", "n", F.posexplode(F.array("low", "other")).alias("kind", "key"))
+    keys = keyed.groupBy("kind", "key").agg(cut, F.count("*").alias("records"), F.min("node").alias("label"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("records > 1")
+    keys = keys.groupBy("who", "records").agg(F.min(F.struct("kind", "key", "cut", "label")).alias("one")).select("one.*")
+    close = keyed.join(keys, ["kind", "key"]).select("node", F.xxhash64("kind", "key").alias("bucket"), F.xxhash64("kind", "key", F.pmod(F.xxhash64("node", "kind"), "cut")).alias("block"), "label")
+    close = written(close, "jaccard-close")
+    first = components(links(close.select("node", "block").join(sets_of(close), "node").select("*", F.lit(0).cast("long").alias("part"), F.lit(1).alias("role"), F.col("node").alias("component"))))
+
+    # all others that may be linked, between the groups of these. Large groups have homes of their own; small
+    # ones and single records are placed with what shares a least hash with them, in two steps
+    members = first.groupBy("component").agg(F.count("*").alias("members"))
+    nearest = close.groupBy("node").agg(F.min("label").alias("label"))
+    nearest = close.select("node", "bucket").join(nearest, "node").groupBy("bucket").agg(F.min("label").alias("label"))
+    nearest = close.select("node", "bucket").join(nearest, "bucket").groupBy("node").agg(F.min("label").alias("label"))
+    groups = nodes.select("node", "n", "low").join(first.join(members, "component"), "node", "left").join(nearest, "node", "left")
+    groups = groups.select("node", "n", F.coalesce("component", "node").alias("component"), F.when(F.col("members") > RECORDS // 4, F.col("component")).alias("large"), F.coalesce("label", "low").alias("label"))
+    groups = written(groups, "jaccard-groups")
+    homes = F.lit(1 + 4 * many // RECORDS)
+    home = F.when(F.col("large").isNull(), F.pmod(F.xxhash64("label"), homes)).otherwise(homes + F.pmod(F.xxhash64("large"), homes))
+    placed = groups.select("node", "n", "component", home.cast("long").alias("home"))
+    placed = placed.join(placed.groupBy("home").agg(cut), "home").select("node", (F.col("home") * (1 << 32) + F.pmod(F.xxhash64("node"), "cut")).alias("block"), "component")
     shards = int(max(4 * n, (entries or 0) // SHARD))
-    dealt = placed.mapInArrow(_entries(shards), "shard long, key binary, node binary, block binary").repartition(n, "shard").sortWithinPartitions("shard")
+    packed = placed.join(nodes.select("node", "short"), "node").select("node", "block", "component", "short").mapInArrow(_entries(shards), "shard long, key binary, node binary, block binary, apart binary")
+    dealt = packed.repartition(n, "shard").sortWithinPartitions("shard")
     met = dealt.mapInArrow(_needs, "block long, node long, role int, lists long").groupBy("block", "node").agg(F.max("role").alias("role"), F.sum("lists").alias("lists"))
 
     def shared_of(n):
@@ -395,18 +460,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # one more than the lesser of both records' extra lists, and the other has at least s * n shingles
     enough = F.floor(shared_of(shared_of(F.col("n"))) / 8) + 1
-    needs = written(met.join(nodes.select("node", "n"), "node").filter(F.col("lists") >= enough).select("block", "node", "role"), "jaccard-needs")
-
-    wanted = nodes.select("node", "same").join(needs.select("node").distinct(), "node")
-    wanted = written(wanted, "jaccard-wanted")
-    shared = spark.sparkContext.broadcast(_wanted_map(wanted))  # of fixed size
-    sets = texts.select("text").mapInArrow(_sets(shared, shingle), "same binary, hashes array<long>").groupBy("same").agg(F.first("hashes").alias("hashes"))
-    sets = written(wanted.join(sets, "same").select("node", "hashes"), "jaccard-sets")
+    needs = written(met.join(groups.select("node", "n", "component"), "node").filter(F.col("lists") >= enough).select("block", "node", "component", "role"), "jaccard-needs")
     parts = needs.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("role") == 0, 1)) / QUERIES)).alias("parts"))
     own = F.when(F.col("role") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "parts")))
-    pieces = needs.join(parts, "block").select("block", F.explode(own).alias("part"), "role", "node").join(sets, "node").select("block", "part", "role", "node", "hashes")
-    found = pieces.repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("role"), "node").mapInArrow(_searched(s), "a long, b long")
-    named = components(written(found, "jaccard-links"))
+    found = links(needs.join(parts, "block").select("block", F.explode(own).alias("part"), "role", "node", "component").join(sets_of(needs), "node"))
+    named = components(found.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     grouped = nodes.select("same", "node", "least").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

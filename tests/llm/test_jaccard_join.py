@@ -106,3 +106,44 @@ def test_list_lengths_bound_every_list(spark):
     df = table(spark, list(enumerate(texts))).selectExpr("doc_id", "coalesce(text, '') text").repartition(3)
     lengths = j.list_lengths(df, 5)
     assert int(lengths.sum()) == 4 and sorted(lengths[lengths > 0].tolist()) in ([1, 1, 2], [1, 3], [4])
+
+
+def test_wanted_entries_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for size, blocks, groups in ((60, 3, 2), (200, 6, 4), (200, 5, 40)):
+        key = rng.integers(0, 9, size).astype(np.uint64)
+        node = np.concatenate([rng.permutation(size // 2)] * 2)
+        home, label = rng.integers(0, blocks, size), rng.integers(0, groups, size)
+        block, group = home[node], label[node]
+        want = set()
+        for k in range(size):
+            for i in range(size):
+                if key[i] == key[k] and group[i] != group[k] and block[i] <= block[k]:
+                    want.add((int(key[k]), int(block[k]), int(node[k]), 1))
+                    if block[i] < block[k]:
+                        want.add((int(key[k]), int(block[k]), int(node[i]), 0))
+        for most in (1 << 22, 3):
+            found = set()
+            for one in np.unique(key):
+                own = key == one
+                for at, nodes, role in j._wanted(key[own], node[own], block[own], group[own], most):
+                    found |= {(int(one), b, x, role) for b, x in zip(at.tolist(), nodes.tolist(), strict=True)}
+            # an indexed entry comes with all of its block once another group is there
+            assert want <= found and {x for x in found if x[3] == 0} == {x for x in want if x[3] == 0}
+
+
+def test_a_group_is_not_sent_to_its_own_blocks(spark, monkeypatch):
+    """Of near copies in many blocks that the first round joins, none is a query of another block."""
+    monkeypatch.setattr(j, "RECORDS", 8)
+    counts, written = {}, j.written
+
+    def counting(df, name, **options):
+        out = written(df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(j, "written", counting)
+    words = prose(random.Random(9), 80).split()
+    rows = [(k, " ".join([*words[:40], f"own{k}", *words[40:]])) for k in range(120)]
+    assert {c for _, _, c in got(table(spark, rows))} == {0}
+    assert counts["jaccard-needs"] < 2 * len(rows)
