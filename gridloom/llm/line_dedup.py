@@ -124,10 +124,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("row", "doc_id", "at", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2"), "line")
 
 
+def _code(of: str) -> Column:
+    """A line's id without its last bit; it only brings lines together that are then compared whole."""
+    return F.shiftright(of, 1)
+
+
 def _dealt(shared: DataFrame, block: int) -> DataFrame:
-    """Rows of (key, id, index) with the block that each lies in and those it is to meet."""
+    """Rows of (key, code, index) with the block that each lies in and those it is to meet."""
     sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / block).alias("g")).filter("g > 1")
-    placed = shared.join(sizes, "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("g")))
+    placed = shared.join(sizes, "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("code", F.lit(3)), F.col("g")))
     return placed.withColumn("others", F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).drop("g")
 
 
@@ -139,14 +144,18 @@ def near_lines(lines: DataFrame, *, edits: int, min_chars: int, block: int) -> t
     firsts = written(lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("n"), F.first(texts).alias("line")), "line-firsts", compression="zstd")
     rows = segment_keys(firsts.filter("line is not null").select("id", "line", length.alias("n")), edits)
     bucket = Window.partitionBy("key")
-    shared = written(rows.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket)).withColumn("any", F.max("index").over(bucket)).filter("lo <> hi and any").select("key", "id", "index"), "line-keys")
-    ids = shared.select("id").distinct()
+    # 63 bits of the id and index in one long: two numbers a row are shuffled
+    marks = rows.select("key", (F.shiftleft(_code("id"), 1) + F.col("index").cast("long")).alias("mark"))
+    met = marks.withColumn("lo", F.min("mark").over(bucket)).withColumn("hi", F.max("mark").over(bucket)).withColumn("any", F.bit_or("mark").over(bucket))
+    met = met.filter((_code("lo") != _code("hi")) & (F.col("any") % 2 != 0))
+    shared = written(met.select("key", _code("mark").alias("code"), (F.col("mark") % 2 != 0).alias("index")), "line-keys")
+    ids = shared.select("code").distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     counts = F.array(*[length - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in _LETTERS])
-    found = written(firsts.filter("line is not null").join(wanted, "id", "left_semi").select("id", "id2", "first", length.alias("chars"), "line", counts.alias("letters")), "line-texts")
+    found = written(firsts.filter("line is not null").withColumn("code", _code("id")).join(wanted, "code", "left_semi").select("code", "id", "id2", "first", length.alias("chars"), "line", counts.alias("letters")), "line-texts")
     dealt = written(_dealt(shared, block), "line-dealt")
-    x = dealt.select("key", "id", "index", F.explode("others").alias("meets")).join(found, "id")
-    y = dealt.select("key", "id", "index", "own").join(found, "id")
+    x = dealt.select("key", "code", "index", F.explode("others").alias("meets")).join(found, "code")
+    y = dealt.select("key", "code", "index", "own").join(found, "code")
     y = y.select(*[F.col(c).alias(f"{c}_y") for c in y.columns])
     apart = F.aggregate(F.zip_with("letters", "letters_y", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
     cond = (

@@ -236,3 +236,17 @@ def test_near_duplicates_beyond_the_first_forest(spark):
     for block in (4096, 8):
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, texts), block=block).collect()}
         assert got == {i: c for i, c in enumerate(want) if i != c} and 5 < len(got) < 59
+
+
+def test_line_keys_are_two_numbers(spark, monkeypatch):
+    """The key table names lines by 63 bits of their ids, and near lines are found through it."""
+    from gridloom.llm import line_dedup
+
+    kept, written = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, **o: kept.setdefault(name, written(df, name, **o)))
+    rows = [(1, "a line that is long enough\nanother that is long enough"), (2, "a line thet is long enough"), (3, "nothing like the lines before")]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    codes = {r[0] for r in kept["line-keys"].select("code").collect()}
+    assert kept["line-keys"].columns == ["key", "code", "index"] and len(codes) == 3
+    assert codes <= {r.id >> 1 for r in kept["line-firsts"].collect()}
