@@ -6,17 +6,20 @@ T = ceil(s * (n1 + n2) / (1 + s)) shingles, and so at least ceil(s * n) of eithe
 1. List lengths. How many documents hold a shingle is counted over all of them, by hash in a table of
    fixed size (bincount in each task, summed by ranges); it orders each record's lists.
 2. First groups. Records with the same least hash of their set, by either of two orders of the hashes,
-   are searched in pieces of bounded size (as in 4); what these links join is a group.
-3. Blocks. Groups go to index blocks of bounded size, large ones above small ones. A record's
-   n - ceil(s * n) + 1 + c shortest lists are looked at: a link needs entries in more than c of them. So a
-   record is sent as a query to every block above its own that has as many of other groups than its
-   own; links within a group are known, so a group of m near copies isn't sent to its own blocks.
-4. Search. A block's records are turned into inverted lists. For each query the longest lists are set
+   are searched in pieces of bounded size (as in 5); what these links join is a group.
+3. Records that may link. A record's n - ceil(s * n) + 1 + c shortest lists are looked at: a link needs
+   entries in more than c of them. So each record's lists that hold another group than its own are
+   counted first, which takes one number for an entry at most; records with too few are done. Most
+   share a line or passage with many others, whose blocks they'd all meet.
+4. Blocks. The groups of those left go to index blocks of bounded size, large ones above small ones. A
+   record is sent as a query to every block above its own that has enough of its lists from other
+   groups; links within a group are known, so a group of m near copies isn't sent to its own blocks.
+5. Search. A block's records are turned into inverted lists. For each query the longest lists are set
    aside (DivideSkip), the short ones are merged, and what they hold often enough is looked for in the long
    ones by binary search. The merge of the sorted lists is numpy's stable sort, which merges runs,
    in place of a heap of Python objects. Records that already belong together aren't
    counted again, so a block gives a spanning forest of its links and not all pairs.
-5. Components of the links of both rounds, least document first.
+6. Components of the links of both rounds, least document first.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, shuffle_partitions, written
 from .graph import components
 from .simhash import _lists, shingle_set
+from .slots import mixed as rehashed
 
 #: The table of list lengths has 2^LENGTH_BITS slots, 4 MB, and is summed in pieces of 2^RANGE_BITS.
 LENGTH_BITS, RANGE_BITS = 20, 12
@@ -216,43 +220,78 @@ def _counted(block: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return block[first], node[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _needs(batches):
+def _needs(ranges: int):
     """Rows (shard, key, node, block, apart) sorted by shard: in how many of its lists each record meets
-    other groups in a block, and whether it is indexed there; added up over a task's shards."""
-    found: dict[int, list] = {0: [], 1: []}
-    most = 1 << 22
-
-    def counted(role):
-        found[role] = [_counted(*(np.concatenate(x) for x in zip(*found[role], strict=True)))]
-        return found[role][0]
-
-    def emit(role):
-        block, node, n = counted(role)
-        found[role] = []
-        for k in range(0, len(block), 1 << 16):
-            own = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(block[own], pa.int64()), pa.array(node[own], pa.int64()), pa.array(np.full(len(block[own]), role, np.int32)), pa.array(n[own], pa.int64())], names=["block", "node", "role", "lists"])
-
-    def of(parts):
-        for block, node, role in _wanted(*(np.concatenate([p[k] for p in parts]) for k in range(4))):
-            found[role].append(_counted(block, node, np.ones(len(block), np.int64)))
-            if sum(len(b) for b, *_ in found[role]) > most and len(counted(role)[0]) > most // 2:
+    other groups in a block, and whether it is indexed there; added up over a task's shards, packed
+    by ranges of the records' hashes."""
+
+    def run(batches):
+        found: dict[int, list] = {0: [], 1: []}
+        most = 1 << 22
+
+        def counted(role):
+            found[role] = [_counted(*(np.concatenate(x) for x in zip(*found[role], strict=True)))]
+            return found[role][0]
+
+        def emit(role):
+            block, node, n = counted(role)
+            found[role] = []
+            own = (rehashed(node.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            used, lo = np.unique(own[order], return_index=True)
+            cuts = [*lo.tolist(), len(order)]
+            for k in range(0, len(used), 256):
+                rows = [order[a:b] for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False)]
+                columns = [[block[r].tobytes() for r in rows], [np.diff(node[r], prepend=0).tobytes() for r in rows], [n[r].astype(np.int32).tobytes() for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(used[k : k + 256], pa.int64()), pa.array(np.full(len(rows), role, np.int32)), *(pa.array(x, pa.binary()) for x in columns)], names=["range", "role", "block", "node", "lists"])
+
+        def of(parts):
+            for block, node, role in _wanted(*(np.concatenate([p[k] for p in parts]) for k in range(4))):
+                found[role].append(_counted(block, node, np.ones(len(block), np.int64)))
+                if sum(len(b) for b, *_ in found[role]) > most and len(counted(role)[0]) > most // 2:
+                    yield from emit(role)
+
+        at, parts = None, []
+        for batch in batches:
+            for shard, key, node, block, apart in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    if parts:
+                        yield from of(parts)
+                    at, parts = shard, []
+                node = np.cumsum(np.frombuffer(node, np.int64))
+                parts.append((_keys_of(key), node, np.frombuffer(block, np.int64), np.frombuffer(apart, np.int64) + node))
+        if parts:
+            yield from of(parts)
+        for role in found:
+            if found[role]:
                 yield from emit(role)
 
+    return run
+
+
+def _needs_added(batches):
+    """Rows (range, role, block, node, lists) of _needs sorted by range: (block, node, role, lists), one
+    for each block and record."""
     at, parts = None, []
+
+    def emit():
+        block, node, lists, role = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, record, total = _counted(block, node, lists)
+        indexed = _counted(block, node, role)[2] > 0
+        for k in range(0, len(own), 1 << 16):
+            cut = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(own[cut], pa.int64()), pa.array(record[cut], pa.int64()), pa.array(indexed[cut].astype(np.int32)), pa.array(total[cut], pa.int64())], names=["block", "node", "role", "lists"])
+
     for batch in batches:
-        for shard, key, node, block, apart in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != at:
+        for key, role, block, node, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != at:
                 if parts:
-                    yield from of(parts)
-                at, parts = shard, []
-            node = np.cumsum(np.frombuffer(node, np.int64))
-            parts.append((_keys_of(key), node, np.frombuffer(block, np.int64), np.frombuffer(apart, np.int64) + node))
+                    yield from emit()
+                at, parts = key, []
+            block = np.frombuffer(block, np.int64)
+            parts.append((block, np.cumsum(np.frombuffer(node, np.int64)), np.frombuffer(lists, np.int32).astype(np.int64), np.full(len(block), role)))
     if parts:
-        yield from of(parts)
-    for role in found:
-        if found[role]:
-            yield from emit(role)
+        yield from emit()
 
 
 def _bits(batches):
@@ -280,6 +319,17 @@ def _wanted_map(texts: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _marked(shared):
+    """Rows (same, whole, short) whose bit in the map of wanted sets is set: (same, short)."""
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(1).to_numpy() >> (63 - WANTED_BITS)])).select(["same", "short"])
+
+    return run
+
+
 def _sets(shared, shingle: int):
     """(same, hashes) of the texts that may be wanted; of copies in a run of texts one."""
 
@@ -413,57 +463,67 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = id_and_text(docs, id_col, text_col)
     lengths = spark.sparkContext.broadcast(list_lengths(texts, shingle).tobytes())  # of fixed size
     marks = written(texts.mapInArrow(_marks(lengths, shingle, s), "doc_id long, same binary, n long, low long, other long, whole long, short binary"), "jaccard-marks")
-    records = marks.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.min("whole").alias("whole"), *[F.first(c).alias(c) for c in ("n", "low", "other", "short")])
+    records = marks.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("least"), F.min("whole").alias("whole"), *[F.first(c).alias(c) for c in ("n", "low", "other")])
     nodes = written(records.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    many, entries = nodes.agg(F.count("*"), F.sum(F.octet_length("short") / 6)).first()
     cut = F.greatest(F.ceil(F.count("*") / RECORDS), F.ceil(F.sum("n") / SHINGLES)).alias("cut")
 
-    def sets_of(rows):
-        """(node, hashes) of the rows' records."""
-        wanted = written(nodes.select("node", "same", "whole").join(rows.select("node").distinct(), "node"), "jaccard-wanted")
-        shared = spark.sparkContext.broadcast(_wanted_map(wanted))  # of fixed size
-        sets = texts.select("text").mapInArrow(_sets(shared, shingle), "same binary, hashes array<long>").groupBy("same").agg(F.first("hashes").alias("hashes"))
-        return written(wanted.join(sets, "same").select("node", "hashes"), "jaccard-sets")
+    def shared_of(n):
+        return F.ceil(F.lit(s.numerator) * n / F.lit(s.denominator))
+
+    entries = nodes.agg(F.sum(F.col("n") - shared_of(F.col("n")) + 1 + F.floor(shared_of(F.col("n")) / 8))).first()[0]
+    shards = int(max(4 * n, (entries or 0) // SHARD))
 
     def links(pieces):
-        rows = pieces.select("block", "part", "role", "node", "component", "hashes").repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("role"), "node")
+        """Links found in pieces (block, part), rows (node, block, part, role, component). A set is sent once
+        to be found among its copies, and once to each piece."""
+        wanted = written(nodes.select("node", "same", "whole").join(pieces.select("node", "block", "part", "role", "component"), "node"), "jaccard-wanted")
+        shared = spark.sparkContext.broadcast(_wanted_map(wanted))  # of fixed size
+        sets = texts.select("text").mapInArrow(_sets(shared, shingle), "same binary, hashes array<long>").groupBy("same").agg(F.first("hashes").alias("hashes"))
+        rows = wanted.join(sets, "same").select("block", "part", "role", "node", "component", "hashes").repartition(n, "block", "part").sortWithinPartitions("block", "part", F.desc("role"), "node")
         return written(rows.mapInArrow(_searched(s), "a long, b long"), "jaccard-links")
 
+    def met(lists, placed):
+        """(block, node, role, lists) with enough lists, of rows (same, short) and (same, node, n, block, component)."""
+        short = lists.groupBy("same").agg(F.first("short").alias("short")).join(placed, "same").select("node", "block", "component", "short")
+        dealt = short.mapInArrow(_entries(shards), "shard long, key binary, node binary, block binary, apart binary").repartition(n, "shard").sortWithinPartitions("shard")
+        found = dealt.mapInArrow(_needs(n), "range long, role int, block binary, node binary, lists binary").repartition(n, "range").sortWithinPartitions("range")
+        found = found.mapInArrow(_needs_added, "block long, node long, role int, lists long")
+        # one more than the lesser of both records' extra lists, and the other has at least s * n shingles
+        enough = F.floor(shared_of(shared_of(F.col("n"))) / 8) + 1
+        return found.join(placed.select("node", "n", "component"), "node").filter(F.col("lists") >= enough).select("block", "node", "component", "role")
+
     # records that share a least hash; of pieces with the same records one
     keyed = nodes.select("node", "n", F.posexplode(F.array("low", "other")).alias("kind", "key"))
     keys = keyed.groupBy("kind", "key").agg(cut, F.count("*").alias("records"), F.min("node").alias("label"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("records > 1")
     keys = keys.groupBy("who", "records").agg(F.min(F.struct("kind", "key", "cut", "label")).alias("one")).select("one.*")
     close = keyed.join(keys, ["kind", "key"]).select("node", F.xxhash64("kind", "key").alias("bucket"), F.xxhash64("kind", "key", F.pmod(F.xxhash64("node", "kind"), "cut")).alias("block"), "label")
     close = written(close, "jaccard-close")
-    first = components(links(close.select("node", "block").join(sets_of(close), "node").select("*", F.lit(0).cast("long").alias("part"), F.lit(1).alias("role"), F.col("node").alias("component"))))
+    first = components(links(close.select("node", "block", F.lit(0).cast("long").alias("part"), F.lit(1).alias("role"), F.col("node").alias("component"))))
 
-    # all others that may be linked, between the groups of these. Large groups have homes of their own; small
-    # ones and single records are placed with what shares a least hash with them, in two steps
+    # all others that may be linked, between the groups of these: first the records that have enough lists
+    # in common with other groups at all
     members = first.groupBy("component").agg(F.count("*").alias("members"))
     nearest = close.groupBy("node").agg(F.min("label").alias("label"))
     nearest = close.select("node", "bucket").join(nearest, "node").groupBy("bucket").agg(F.min("label").alias("label"))
     nearest = close.select("node", "bucket").join(nearest, "bucket").groupBy("node").agg(F.min("label").alias("label"))
-    groups = nodes.select("node", "n", "low").join(first.join(members, "component"), "node", "left").join(nearest, "node", "left")
-    groups = groups.select("node", "n", F.coalesce("component", "node").alias("component"), F.when(F.col("members") > RECORDS // 4, F.col("component")).alias("large"), F.coalesce("label", "low").alias("label"))
+    groups = nodes.select("node", "same", "whole", "n", "low").join(first.join(members, "component"), "node", "left").join(nearest, "node", "left")
+    groups = groups.select("node", "same", "whole", "n", F.coalesce("component", "node").alias("component"), F.when(F.col("members") > RECORDS // 4, F.col("component")).alias("large"), F.coalesce("label", "low").alias("label"))
     groups = written(groups, "jaccard-groups")
-    homes = F.lit(1 + 4 * many // RECORDS)
-    home = F.when(F.col("large").isNull(), F.pmod(F.xxhash64("label"), homes)).otherwise(homes + F.pmod(F.xxhash64("large"), homes))
-    placed = groups.select("node", "n", "component", home.cast("long").alias("home"))
-    placed = placed.join(placed.groupBy("home").agg(cut), "home").select("node", (F.col("home") * (1 << 32) + F.pmod(F.xxhash64("node"), "cut")).alias("block"), "component")
-    shards = int(max(4 * n, (entries or 0) // SHARD))
-    packed = placed.join(nodes.select("node", "short"), "node").select("node", "block", "component", "short").mapInArrow(_entries(shards), "shard long, key binary, node binary, block binary, apart binary")
-    dealt = packed.repartition(n, "shard").sortWithinPartitions("shard")
-    met = dealt.mapInArrow(_needs, "block long, node long, role int, lists long").groupBy("block", "node").agg(F.max("role").alias("role"), F.sum("lists").alias("lists"))
+    lists = marks.filter("n > 0").select("same", "whole", "short")
+    asked = met(lists.drop("whole"), groups.select("same", "node", "n", F.lit(0).cast("long").alias("block"), "component"))
+    asked = written(groups.join(asked.select("node"), "node"), "jaccard-asked")
 
-    def shared_of(n):
-        return F.ceil(F.lit(s.numerator) * n / F.lit(s.denominator))
-
-    # one more than the lesser of both records' extra lists, and the other has at least s * n shingles
-    enough = F.floor(shared_of(shared_of(F.col("n"))) / 8) + 1
-    needs = written(met.join(groups.select("node", "n", "component"), "node").filter(F.col("lists") >= enough).select("block", "node", "component", "role"), "jaccard-needs")
+    # then their blocks. Large groups have homes of their own; small ones and single records are placed with
+    # what shares a least hash with them, in two steps
+    homes = F.lit(1 + 16 * asked.count() // RECORDS)
+    home = F.when(F.col("large").isNull(), F.pmod(F.xxhash64("label"), homes)).otherwise(homes + F.pmod(F.xxhash64("large"), homes))
+    placed = asked.select("same", "node", "n", "component", home.cast("long").alias("home"))
+    placed = placed.join(placed.groupBy("home").agg(cut), "home").select("same", "node", "n", (F.col("home") * (1 << 32) + F.pmod(F.xxhash64("node"), "cut")).alias("block"), "component")
+    shared = spark.sparkContext.broadcast(_wanted_map(asked))  # of fixed size
+    needs = written(met(lists.mapInArrow(_marked(shared), "same binary, short binary"), placed), "jaccard-needs")
     parts = needs.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("role") == 0, 1)) / QUERIES)).alias("parts"))
     own = F.when(F.col("role") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "parts")))
-    found = links(needs.join(parts, "block").select("block", F.explode(own).alias("part"), "role", "node", "component").join(sets_of(needs), "node"))
+    found = links(needs.join(parts, "block").select("node", "block", F.explode(own).alias("part"), "role", "component"))
     named = components(found.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     grouped = nodes.select("same", "node", "least").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -147,3 +147,29 @@ def test_a_group_is_not_sent_to_its_own_blocks(spark, monkeypatch):
     rows = [(k, " ".join([*words[:40], f"own{k}", *words[40:]])) for k in range(120)]
     assert {c for _, _, c in got(table(spark, rows))} == {0}
     assert counts["jaccard-needs"] < 2 * len(rows)
+
+
+def test_a_passage_that_all_texts_share_is_not_met_by_all_blocks(spark, monkeypatch):
+    """What is counted of texts with most of a passage in common follows their number, not its square."""
+    monkeypatch.setattr(j, "RECORDS", 8)
+    passage = prose(random.Random(3), 160)
+    made, plain = [], j._needs
+
+    def counting(batches, total):
+        for batch in batches:
+            total.add(sum(len(x) for x in batch.column("lists").to_pylist()) // 4)
+            yield batch
+
+    def needs(ranges):
+        run, total = plain(ranges), spark.sparkContext.accumulator(0)
+        made.append(total)
+        return lambda batches: counting(run(batches), total)
+
+    monkeypatch.setattr(j, "_needs", needs)
+    counts = []
+    for many in (80, 320):
+        made.clear()
+        rows = [(k, " ".join(f"w{k}x{i}" for i in range(40)) + " " + passage) for k in range(many)]
+        assert [c for _, _, c in sorted(got(table(spark, rows)))] == list(range(many))
+        counts.append(sum(x.value for x in made))
+    assert 0 < counts[1] < 6 * counts[0]
