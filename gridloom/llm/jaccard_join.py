@@ -471,7 +471,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return F.ceil(F.lit(s.numerator) * n / F.lit(s.denominator))
 
     entries = nodes.agg(F.sum(F.col("n") - shared_of(F.col("n")) + 1 + F.floor(shared_of(F.col("n")) / 8))).first()[0]
-    shards = int(max(4 * n, (entries or 0) // SHARD))
+    shards = int(max(n, (entries or 0) // SHARD))
 
     def links(pieces):
         """Links found in pieces (block, part), rows (node, block, part, role, component). A set is sent once
