@@ -209,6 +209,14 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(hashes)).tobytes()
 
 
+def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which hashes are among sorted ones, in time that hardly grows with the number of these
+    (np.isin sorts them anew with each call)."""
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+
+
 def _lists(parts: list) -> pa.Array:
     """Arrays of hashes as an Arrow column of lists."""
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
@@ -244,7 +252,7 @@ def _marks(texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             prefixes = []
             for s in sets:
-                late = np.isin(s, frequent)
+                late = _among(s, frequent)
                 prefixes.append(np.concatenate([s[~late], s[late]])[: len(s) + int(-similarity * len(s) // 1) + 1 if len(s) else 0])
             same, fps = (pa.array([f(s) for s in sets], pa.binary()) for f in (lambda s: xxhash.xxh3_128_digest(s.tobytes()), wide_fingerprint))
             yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array(list(map(len, sets)), pa.int32()), fps, _lists(prefixes)], names=["doc_id", "same", "n", "fp", "prefix"])
@@ -379,8 +387,7 @@ def _settled(bits: int, similarity: Fraction):
             own = every[ends[i] - n[i] : ends[i]]
             at = np.repeat(ends[j] - n[j] - (np.cumsum(n[j]) - n[j]), n[j]) + np.arange(int(n[j].sum()))
             other = every[at]
-            found = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
-            shared = np.add.reduceat(found.astype(np.int64), np.cumsum(n[j]) - n[j])
+            shared = np.add.reduceat(_among(other, own).astype(np.int64), np.cumsum(n[j]) - n[j])
             for k in j[shared * q >= (n[i] + n[j] - shared) * p].tolist():
                 if label[k] != label[i]:
                     label[label == label[k]] = label[i]
